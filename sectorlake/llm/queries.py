@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorlake.llm import chat_format, sharding, url_rules
+from sectorlake.llm import chat_format, sharding, substring_dedup, url_rules
 
 SHARDS = 24
 URL_RULES = [
@@ -33,6 +33,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.apply_rules(_table(spark, sf_dir, "pages"), URL_RULES, default="allow")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words that start earlier elsewhere, cut from all documents."""
+    return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), with_text=False).drop("text")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -55,6 +60,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op5_url_filter": op5_url_filter,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
@@ -106,6 +112,24 @@ fit AS (
   GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM parsed p LEFT JOIN fit f ON p.page_id = f.page_id
+""",
+    "op9_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+wins AS (
+  SELECT doc_id, i, md5(array_to_string(words[i + 1:i + 20], ' ')) AS h FROM w, unnest(range(len(words) - 19)) t(i)),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM wins) WHERE r > 1),
+gone AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM later, range(20) t(j)),
+lists AS (SELECT doc_id, list(p) AS gone FROM gone GROUP BY doc_id),
+pos AS (
+  SELECT doc_id, p, words[p + 1] AS word FROM w, unnest(range(len(words))) t(p)),
+kept AS (
+  SELECT pos.doc_id, string_agg(word, ' ' ORDER BY pos.p) AS text FROM pos ANTI JOIN gone ON pos.doc_id = gone.doc_id AND pos.p = gone.p GROUP BY pos.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN lists ON w.doc_id = lists.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id
 """,
     "op10_chat_format": r"""
 WITH turns AS (
