@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of the page table from which range boundaries are drawn; they only balance the partitions.
+#: About as many keys give the range boundaries, whatever the input; they only balance the partitions.
 BOUNDARY_SAMPLE = 20_000
 
 
@@ -31,13 +31,13 @@ def host_key(host: Column) -> Column:
 
 
 def _boundaries(keys: DataFrame, buckets: int) -> np.ndarray:
-    """At most buckets - 1 quantiles of a bounded sample of keys; a common key fills several."""
-    rows = keys.select("key", F.xxhash64("page_id", "key").alias("h")).orderBy("h").limit(BOUNDARY_SAMPLE).select("key").toPandas()
-    found = np.sort(rows["key"].to_numpy(dtype=object).astype(str).astype(object)) if len(rows) else np.array([], dtype=object)
+    """At most buckets - 1 quantiles of about BOUNDARY_SAMPLE keys, picked by hash; a common key fills several."""
+    share = BOUNDARY_SAMPLE / max(keys.count(), BOUNDARY_SAMPLE)
+    picked = F.pmod(F.xxhash64("page_id", "key"), F.lit(1 << 30)) < int(share * (1 << 30))
+    found = np.sort(keys.where(picked).select("key").toPandas()["key"].to_numpy(dtype=object))
     if not len(found):
         return found
-    at = (np.arange(1, buckets) * len(found)) // buckets
-    return found[at]
+    return found[(np.arange(1, buckets) * len(found)) // buckets]
 
 
 def apply_rules(
