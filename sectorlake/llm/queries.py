@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorlake.llm import chat_format, sharding, substring_dedup, url_rules
+from sectorlake.llm import chat_format, packing, sharding, substring_dedup, url_rules
 
 SHARDS = 24
 URL_RULES = [
@@ -28,6 +28,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut into sequences of 1024 tokens, with a digest of each piece's ids."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five rules against every page's url; pages that no rule fits are allowed."""
     return url_rules.apply_rules(_table(spark, sf_dir, "pages"), URL_RULES, default="allow")
@@ -59,6 +65,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_packing": op3_packing,
     "op5_url_filter": op5_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
