@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorlake.llm import chat_format, packing, sharding, substring_dedup, url_rules
+from sectorlake.llm import chat_format, near_dedup, packing, sharding, substring_dedup, url_rules
 
 SHARDS = 24
 URL_RULES = [
@@ -39,6 +41,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.apply_rules(_table(spark, sf_dir, "pages"), URL_RULES, default="allow")
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked at 0.85 over sets of 3-word shingles."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=Fraction(85, 100))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 20 words that start earlier elsewhere, cut from all documents."""
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), with_text=False).drop("text")
@@ -67,6 +74,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_packing": op3_packing,
     "op5_url_filter": op5_url_filter,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
 }
@@ -119,6 +127,24 @@ fit AS (
   GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM parsed p LEFT JOIN fit f ON p.page_id = f.page_id
+""",
+    "op8_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 3 THEN array_to_string(words, ' ') ELSE array_to_string(words[i + 1:i + 3], ' ') END AS s
+  FROM w, unnest(range(CASE WHEN len(words) = 0 THEN 0 ELSE greatest(len(words) - 2, 1) END)) t(i)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM inter JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT sym.b, reach.r FROM reach JOIN sym ON sym.a = reach.doc_id),
+low AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN low ON w.doc_id = low.doc_id LEFT JOIN sizes ON w.doc_id = sizes.doc_id
 """,
     "op9_substring_dedup": r"""
 WITH w AS (
