@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorlake.llm import chat_format, near_dedup, packing, sharding, substring_dedup, url_rules
+from sectorlake.llm import chat_format, embedding_itq, near_dedup, packing, sharding, substring_dedup, url_rules
 
 SHARDS = 24
 URL_RULES = [
@@ -36,6 +36,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 and their components over all embeddings."""
+    return embedding_itq.embedding_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five rules against every page's url; pages that no rule fits are allowed."""
     return url_rules.apply_rules(_table(spark, sf_dir, "pages"), URL_RULES, default="allow")
@@ -73,6 +78,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_packing": op3_packing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_url_filter": op5_url_filter,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
@@ -111,6 +117,17 @@ SELECT sized.doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS s
     substr(md5(coalesce(CAST(sized.doc_id AS VARCHAR), '') || '#' || CAST(text_crc32 AS VARCHAR)), 1, 3), sized.doc_id, text_crc32, size) - 1 AS slot,
   CAST(grown AS INTEGER) AS grown_shard
 FROM sized JOIN won ON sized.doc_id IS NOT DISTINCT FROM won.doc_id
+""",
+    "op4_embedding_dedup": """
+WITH RECURSIVE links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95),
+reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.vec_id),
+low AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT low.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, low.vec_id = component_id AS kept
+FROM low LEFT JOIN counts ON low.vec_id = counts.a
 """,
     "op5_url_filter": r"""
 WITH rules(verdict, host, path) AS (VALUES
