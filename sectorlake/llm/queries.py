@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorlake.llm import chat_format, embedding_itq, near_dedup, packing, sharding, substring_dedup, url_rules
+from sectorlake.llm import chat_format, embedding_itq, near_dedup, packing, quality_rules, sharding, substring_dedup, url_rules
 
 SHARDS = 24
 URL_RULES = [
@@ -30,6 +30,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a rule ensemble learned outside the held-out fold."""
+    return quality_rules.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut into sequences of 1024 tokens, with a digest of each piece's ids."""
     pieces = packing.pack(_table(spark, sf_dir, "documents"))
@@ -77,6 +82,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_url_filter": op5_url_filter,
