@@ -247,15 +247,12 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: i
     model = fit(text_statistics(docs), labels, rows)
     names = docs.columns
 
-    # Statistics ride on the rows themselves, so that no join by id is needed.
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(docs.schema)
+    # Statistics are taken row by row again, so that no join by id is needed.
+    place = names.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = schema.get_field_index("text")
         for batch in batches:
-            plain = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["doc_id", "text"])
+            plain = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place)], ["doc_id", "text"])
             for part in _statistics(iter([plain])):
                 values = np.column_stack([part.column(i + 1).to_numpy() for i in range(len(STATISTICS))])
                 rows_ = part.column(0).filter(pa.array(model.predict(values) >= threshold))

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorlake.llm import chat_format, embedding_itq, near_dedup, packing, quality_rules, sharding, substring_dedup, url_rules
+from sectorlake.llm import chat_format, decontamination, embedding_itq, near_dedup, packing, pseudo_likelihood, quality_rules, sharding, substring_dedup, url_rules
 
 SHARDS = 24
 URL_RULES = [
@@ -51,6 +51,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.apply_rules(_table(spark, sf_dir, "pages"), URL_RULES, default="allow")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihoods of all documents under a window network trained on all of them."""
+    return pseudo_likelihood.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose tiles cover four fifths of a benchmark item or more, with that item."""
+    return decontamination.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked at 0.85 over sets of 3-word shingles."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=Fraction(85, 100))
@@ -86,6 +96,8 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_decontamination": op7_decontamination,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,

@@ -20,6 +20,9 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For words without punctuation: all ASCII bytes but letters and digits separate.
+_BREAK = np.zeros(256, bool)
+_BREAK[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -97,8 +100,11 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def segments(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SEGMENT_BYTES) -> Iterator[Words]:
-    """Words of ``texts`` (null: empty) in segments of about ``limit`` bytes, in order."""
+def segments(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SEGMENT_BYTES, bare: bool = False) -> Iterator[Words]:
+    """Words of ``texts`` (null: empty) in segments of about ``limit`` bytes, in order.
+
+    ``lower`` lower-cases A-Z; ``bare`` also separates words at ASCII punctuation, which drops it.
+    """
     whole = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     base = 0
     for chunk in whole.chunks if isinstance(whole, pa.ChunkedArray) else [whole]:
@@ -106,15 +112,15 @@ def segments(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int
         lo = 0
         while lo < len(chunk):
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-            yield _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, base + lo)
+            yield _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, base + lo, _BREAK if bare else _SPACE)
             lo = hi
         base += len(chunk)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, lower: bool, lo: int) -> Words:
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool, lo: int, separators: np.ndarray) -> Words:
     if lower:
         data = _LOWER[data]
-    inner = ~_SPACE[data]
+    inner = ~separators[data]
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
     before = np.zeros(len(data), bool)
