@@ -7,7 +7,7 @@ sequence also starts earlier: in a document of smaller doc_id, or earlier in the
    pick equal phrases.  Picked phrases are counted over the corpus; those met twice are recurring.
 2. Documents are dealt to shards of bounded size by doc_id, with the recurring phrases that their
    own shard picked.  A shard compiles its phrases into an Aho-Corasick automaton over word codes
-   and streams its documents through it; every window around an occurrence is a candidate.
+   and streams its documents that hold any through it; every window around an occurrence is a candidate.
 3. Each shard reports the first place of each candidate window; the first over all shards keeps it.
 4. Documents with candidates meet the windows that their shard lost, and words are cut.
 
@@ -31,7 +31,7 @@ from sectorlake.llm import words as W
 from sectorlake.llm.tables import materialize
 
 WINDOW = 20
-PHRASE = 6
+PHRASE = 10
 #: Text bytes of a shard; more text makes more shards.
 SHARD_BYTES = 8 << 20
 #: Null doc_ids come after all others.
@@ -72,6 +72,16 @@ def _phrases(window: int, phrase: int):
     return per_batch
 
 
+#: A word is LETTERS letters of six bits of its hash: nodes of an automaton have few branches, and a
+#: place that agrees by chance or out of step is dropped by the windows' own hashes.
+LETTERS = 4
+
+
+def _letters(hashes: np.ndarray) -> str:
+    bits = hashes[:, None] >> (np.uint64(6) * np.arange(LETTERS, dtype=np.uint64))
+    return ((bits & np.uint64(63)).astype(np.uint8) + np.uint8(48)).tobytes().decode("latin-1")
+
+
 _LOCATED = "shard int, doc_key bigint, h1 bigint, h2 bigint, doc_id {kind}, text string, n_words bigint, n_removed bigint, kept_sha256 string, hashes array<bigint>, starts array<int>"
 _CUT = "doc_id {kind}, text string, n_words bigint, n_removed bigint, kept_sha256 string"
 
@@ -110,53 +120,63 @@ def _locate(window: int, phrase: int, with_text: bool, kind: str, schema: pa.Sch
         wanted = np.sort(a[~is_copy].astype(np.int64).view(np.uint64))
         keys = list(zip(docs["doc_key"].to_pylist(), docs["h1"].to_pylist(), docs["h2"].to_pylist(), strict=True))
         ids, shard = docs["doc_id"].to_pylist(), docs["shard"][0].as_py()
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        if len(wanted):
-            for words in W.segments(docs["text"]):
-                hashes, at, _ = words.windows(phrase)
-                found = np.isin(hashes, wanted)
-                _, one = np.unique(hashes[found], return_index=True)
-                code = (words.hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                for p in at[found][one].tolist():
-                    automaton.add_word(tuple(code[p : p + phrase].tolist()), 1)
+        automaton = ahocorasick.Automaton()
+        parts = list(W.segments(docs["text"]))
+        holds = []
+        for words in parts:
+            hashes, at, doc = words.windows(phrase)
+            found = np.isin(hashes, wanted)
+            holds.append(np.bincount(doc[found], minlength=len(words.counts)) > 0)
+            letters = _letters(words.hashes)
+            _, one = np.unique(hashes[found], return_index=True)
+            for p in (LETTERS * at[found][one]).tolist():
+                automaton.add_word(letters[p : p + LETTERS * phrase], 1)
+        if len(automaton):
             automaton.make_automaton()
-        rows, met, seen = [], set(), {}
-        for words in W.segments(docs["text"]):
-            codes = (words.hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        rows, met, found_hash, found_row, found_start = [], set(), [], [], []
+        for words, some in zip(parts, holds, strict=True):
+            letters = _letters(words.hashes)
             window_hash, window_at, _ = words.windows(window)
             for d, n in enumerate(words.counts.tolist()):
                 row = words.lo + d
                 key = keys[row]
-                first_word = words.first[d]
+                first_word = int(words.first[d])
                 whole = key in copies or key in met
                 met.add(key)
-                hashes, starts = [], []
                 if n >= window and whole:
                     text, digest = ("" if with_text else None), hashlib.sha256(b"").hexdigest()
-                    rows.append((shard, *key, ids[row], text, n, n, digest, None, None))
+                    rows.append((shard, *key, ids[row], text, n, n, digest))
+                    continue
+                if n >= window and some[d]:
+                    stretch = letters[LETTERS * first_word : LETTERS * (first_word + n)]
+                    ends = np.array([e for e, _ in automaton.iter(stretch)]) + 1
+                    p = ends[ends % LETTERS == 0] // LETTERS - phrase
+                    delta = np.zeros(n + 2, np.int64)
+                    np.add.at(delta, np.maximum(p - (window - phrase), 0), 1)
+                    np.add.at(delta, p + 1, -1)
+                    candidate = np.flatnonzero(np.cumsum(delta)[: n - window + 1] > 0)
+                    found_hash.append(window_hash[np.searchsorted(window_at, first_word) + candidate])
+                    found_row.append(np.full(len(candidate), len(rows)))
+                    found_start.append(candidate)
+                    # the text is carried on, for the cut
+                    text = words.data[words.offsets[d] : words.offsets[d + 1]].tobytes().decode()
+                    rows.append((shard, *key, ids[row], text, n, None, None))
                     continue
-                if n >= window and len(automaton):
-                    ends = [e for e, _ in automaton.iter(tuple(codes[first_word : first_word + n].tolist()))]
-                    if ends:
-                        p = np.array(ends) - (phrase - 1)
-                        delta = np.zeros(n + 2, np.int64)
-                        np.add.at(delta, np.maximum(p - (window - phrase), 0), 1)
-                        np.add.at(delta, p + 1, -1)
-                        candidate = np.flatnonzero(np.cumsum(delta)[: n - window + 1] > 0)
-                        base = np.searchsorted(window_at, first_word)
-                        own = window_hash[base + candidate].view(np.int64).tolist()
-                        for h, s in zip(own, candidate.tolist(), strict=True):
-                            if h not in seen:
-                                seen[h] = True
-                                hashes.append(h)
-                                starts.append(s)
-                        # text is carried on, for the cut
-                        text = words.data[words.offsets[d] : words.offsets[d + 1]].tobytes().decode()
-                        rows.append((shard, *key, ids[row], text, n, None, None, hashes, starts))
-                        continue
                 text, digest = _kept(words, d, None, with_text)
-                rows.append((shard, *key, ids[row], text, n, 0, digest, None, None))
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows.append((shard, *key, ids[row], text, n, 0, digest))
+        # The first place of each candidate window in this shard, listed with its document.
+        every = np.concatenate(found_hash) if found_hash else np.zeros(0, np.uint64)
+        _, one = np.unique(every, return_index=True)
+        one.sort()
+        owner = np.concatenate(found_row)[one] if found_row else one
+        start = np.concatenate(found_start)[one] if found_start else one
+        offsets = pa.array(np.searchsorted(owner, np.arange(len(rows) + 1)).astype(np.int32))
+        columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=False)]
+        lists = [
+            pa.ListArray.from_arrays(offsets, pa.array(every[one].view(np.int64))),
+            pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32))),
+        ]
+        return pa.Table.from_arrays([*columns, *(x.cast(f.type) for x, f in zip(lists, list(schema)[-2:], strict=True))], schema=schema)
 
     return per_shard
 
@@ -236,15 +256,16 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True, window: int = WIND
         keyed.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(_locate(window, phrase, with_text, kind, located_arrow), located_sql),
         "substring-located",
     )
-    places = located.where("hashes is not null").select("shard", "doc_key", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select(
-        "shard", F.col("w.hashes").alias("hash"), F.struct("doc_key", F.col("w.starts").alias("start")).alias("place")
+    open_ = located.where("n_removed is null")
+    places = open_.select("shard", "doc_key", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select(
+        F.col("w.hashes").alias("hash"), "doc_key", F.col("w.starts").alias("start"), "shard"
     )
     # Each shard has one row for a window, so a window's rows are at most as many as the shards.
-    best = F.min("place").over(Window.partitionBy("hash"))
-    lost = places.withColumn("best", best).where("place != best").select("shard", "hash")
+    turn = F.row_number().over(Window.partitionBy("hash").orderBy("doc_key", "start"))
+    lost = places.withColumn("turn", turn).where("turn > 1").select("shard", "hash")
 
     cut_sql, cut_arrow = arrow(_CUT)
-    open_ = located.where("hashes is not null").select("shard", "doc_key", "h1", "h2", "doc_id", "text")
-    cut = open_.groupBy("shard").cogroup(lost.groupBy("shard")).applyInArrow(_cut(window, with_text, cut_arrow), cut_sql)
+    texts = open_.select("shard", "doc_key", "h1", "h2", "doc_id", "text")
+    cut = texts.groupBy("shard").cogroup(lost.groupBy("shard")).applyInArrow(_cut(window, with_text, cut_arrow), cut_sql)
     names = ["doc_id", "text", "n_words", "n_removed", "kept_sha256"]
-    return located.where("hashes is null").select(*names).unionByName(cut.select(*names))
+    return located.where("n_removed is not null").select(*names).unionByName(cut.select(*names))

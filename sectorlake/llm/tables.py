@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: While a table is written, its query's shuffle files go as soon as it ends: nothing reads them again.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: list[str] = []
 _RUN = uuid.uuid4().hex
 
@@ -44,7 +46,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         _SWEPT.add(root)
         atexit.register(_sweep, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
