@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,7 +18,9 @@ from sectorlake.llm.tables import materialize
 WINDOW = 1024
 END_ID = 0
 #: Words whose ids a Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Unknown words are encoded in joined texts of JOINED words, BATCHED texts at a time.
+JOINED, BATCHED = 64, 128
 #: Text bytes that are tokenized into one output batch.
 BATCH_BYTES = 4 << 20
 
@@ -27,10 +30,13 @@ class WordTokenizer:
 
     A byte-level pre-tokenizer always starts a piece at a single space before a character that is
     not white space, so a text is the concatenation of such words and each can be looked up.  Texts
-    in which a space stands beside other white space, or that hold an added token, and files with
-    any other pre-tokenizer or normalizer, are encoded whole.
+    in which a space stands before other white space or the end, or that hold an added token, and
+    files with any other pre-tokenizer or a normalizer, are encoded whole.
     """
 
+    #: A space that doesn't begin a word: before white space of any definition, or at the end.
+    odd = re.compile(r" [\s\x1c-\x1f]| \Z")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -40,36 +46,44 @@ class WordTokenizer:
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of each id: one character a byte
+        self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.memory: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for lo in range(0, len(texts), BATCHED):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + BATCHED], add_special_tokens=False)]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words, joined by spaces, and cut the ids where the words' bytes end."""
+        joined = [words[lo : lo + JOINED] for lo in range(0, len(words), JOINED)]
+        for own, ids in zip(joined, self._encode([" " + " ".join(own) for own in joined]), strict=True):
+            upto = np.cumsum(self.width[np.frombuffer(ids, "<u4")])
+            ends = np.searchsorted(upto, np.cumsum([len(w.encode()) + 1 for w in own])) + 1
+            begin = 0
+            for word, end in zip(own, (4 * ends).tolist(), strict=True):
+                self.memory[word] = ids[begin:end]
+                begin = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        split = {}
-        whole = []
-        for i, text in enumerate(texts):
-            words = text.split(" ")
-            if self.by_word and all(words) and not any(w[0].isspace() for w in words[1:]) and not any(a in text for a in self.added):
-                split[i] = words
-            else:
-                whole.append(i)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        plain = [self.by_word and not self.odd.search(t) and not any(a in t for a in self.added) for t in texts]
+        whole = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if not p]))
+        split = [t.split(" ") for t, p in zip(texts, plain, strict=True) if p]
+        heads = self._encode([w[0] for w in split])
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        memory = self.memory
-        heads = [w[0] for w in split.values()]
-        new = set()
-        for words in split.values():
-            new.update(words[1:])
-        new = [w for w in new if w not in memory]
-        memory.update(zip(new, self._encode([" " + w for w in new]), strict=True))
-        for (i, words), head in zip(split.items(), self._encode(heads), strict=True):
-            out[i] = head + b"".join(map(memory.__getitem__, words[1:]))
-        return out
+        new: set[str] = set()
+        for words in split:
+            del words[0]
+            new.update(words)
+        self._learn([w for w in new if w not in self.memory])
+        look = self.memory.__getitem__
+        by_word = iter([head + b"".join(map(look, words)) for head, words in zip(heads, split, strict=True)])
+        return [next(by_word if p else whole) for p in plain]
 
 
 @cache
