@@ -277,3 +277,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(component < LAST, component).alias("component_id")
     ).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of one document of each component.
+
+    Of rows that share a kept doc_id one stays.  Rows without a doc_id cannot be told apart by one:
+    one of each distinct text stays.
+    """
+    kept = near_duplicates(docs, shingle, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)

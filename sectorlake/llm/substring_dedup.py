@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sectorlake.llm import words as W
 from sectorlake.llm.tables import materialize
@@ -33,7 +35,7 @@ from sectorlake.llm.tables import materialize
 WINDOW = 20
 PHRASE = 10
 #: Text bytes of a shard; more text makes more shards.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Null doc_ids come after all others.
 LAST = (1 << 63) - 1
 
@@ -82,8 +84,7 @@ def _letters(hashes: np.ndarray) -> str:
     return ((bits & np.uint64(63)).astype(np.uint8) + np.uint8(48)).tobytes().decode("latin-1")
 
 
-_LOCATED = "shard int, doc_key bigint, h1 bigint, h2 bigint, doc_id {kind}, text string, n_words bigint, n_removed bigint, kept_sha256 string, hashes array<bigint>, starts array<int>"
-_CUT = "doc_id {kind}, text string, n_words bigint, n_removed bigint, kept_sha256 string"
+_DONE = "text string, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
 def _kept(words: W.Words, doc: int, gone: np.ndarray | None, with_text: bool) -> tuple[str | None, str]:
@@ -103,11 +104,19 @@ def _kept(words: W.Words, doc: int, gone: np.ndarray | None, with_text: bool) ->
     return text, hashlib.sha256(joined).hexdigest()
 
 
+def _with(docs: pa.Table, made: list, schema: pa.Schema) -> pa.Table:
+    """The documents' own columns, as far as ``schema`` has them, and the made ones behind."""
+    own = list(schema)[: len(schema) - len(made)]
+    new = list(schema)[len(own) :]
+    arrays = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, new, strict=True)]
+    return pa.Table.from_arrays([*(docs[f.name].cast(f.type) for f in own), *arrays], schema=schema)
+
+
 def _ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_key", "ascending"), ("h1", "ascending"), ("h2", "ascending")]).combine_chunks()
 
 
-def _locate(window: int, phrase: int, with_text: bool, kind: str, schema: pa.Schema):
+def _locate(window: int, phrase: int, with_text: bool, schema: pa.Schema):
     """Per shard: the documents, and the recurring phrases and whole copies that concern them."""
 
     def per_shard(docs: pa.Table, side: pa.Table) -> pa.Table:
@@ -119,7 +128,6 @@ def _locate(window: int, phrase: int, with_text: bool, kind: str, schema: pa.Sch
         copies = set(zip(a[is_copy].tolist(), b[is_copy].tolist(), c[is_copy].tolist(), strict=True))
         wanted = np.sort(a[~is_copy].astype(np.int64).view(np.uint64))
         keys = list(zip(docs["doc_key"].to_pylist(), docs["h1"].to_pylist(), docs["h2"].to_pylist(), strict=True))
-        ids, shard = docs["doc_id"].to_pylist(), docs["shard"][0].as_py()
         automaton = ahocorasick.Automaton()
         parts = list(W.segments(docs["text"]))
         holds = []
@@ -145,7 +153,7 @@ def _locate(window: int, phrase: int, with_text: bool, kind: str, schema: pa.Sch
                 met.add(key)
                 if n >= window and whole:
                     text, digest = ("" if with_text else None), hashlib.sha256(b"").hexdigest()
-                    rows.append((shard, *key, ids[row], text, n, n, digest))
+                    rows.append((text, n, n, digest))
                     continue
                 if n >= window and some[d]:
                     stretch = letters[LETTERS * first_word : LETTERS * (first_word + n)]
@@ -160,10 +168,10 @@ def _locate(window: int, phrase: int, with_text: bool, kind: str, schema: pa.Sch
                     found_start.append(candidate)
                     # the text is carried on, for the cut
                     text = words.data[words.offsets[d] : words.offsets[d + 1]].tobytes().decode()
-                    rows.append((shard, *key, ids[row], text, n, None, None))
+                    rows.append((text, n, None, None))
                     continue
                 text, digest = _kept(words, d, None, with_text)
-                rows.append((shard, *key, ids[row], text, n, 0, digest))
+                rows.append((text, n, 0, digest))
         # The first place of each candidate window in this shard, listed with its document.
         every = np.concatenate(found_hash) if found_hash else np.zeros(0, np.uint64)
         _, one = np.unique(every, return_index=True)
@@ -171,12 +179,11 @@ def _locate(window: int, phrase: int, with_text: bool, kind: str, schema: pa.Sch
         owner = np.concatenate(found_row)[one] if found_row else one
         start = np.concatenate(found_start)[one] if found_start else one
         offsets = pa.array(np.searchsorted(owner, np.arange(len(rows) + 1)).astype(np.int32))
-        columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=False)]
         lists = [
             pa.ListArray.from_arrays(offsets, pa.array(every[one].view(np.int64))),
             pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32))),
         ]
-        return pa.Table.from_arrays([*columns, *(x.cast(f.type) for x, f in zip(lists, list(schema)[-2:], strict=True))], schema=schema)
+        return _with(docs, [*zip(*rows, strict=True), *lists], schema)
 
     return per_shard
 
@@ -188,7 +195,6 @@ def _cut(window: int, with_text: bool, schema: pa.Schema):
         if not docs.num_rows:
             return schema.empty_table()
         docs = _ordered(docs)
-        ids = docs["doc_id"].to_pylist()
         elsewhere = np.sort(lost["hash"].to_numpy().astype(np.int64).view(np.uint64))
         parts = list(W.segments(docs["text"]))
         every = [p.windows(window) for p in parts]
@@ -207,30 +213,32 @@ def _cut(window: int, with_text: bool, schema: pa.Schema):
             for d, n in enumerate(words.counts.tolist()):
                 own = gone[words.first[d] : words.first[d + 1]]
                 text, digest = _kept(words, d, own, with_text)
-                rows.append((ids[words.lo + d], text, n, int(own.sum()), digest))
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows.append((text, n, int(own.sum()), digest))
+        return _with(docs, list(zip(*rows, strict=True)), schema)
 
     return per_shard
 
 
-def dedup_substrings(docs: DataFrame, with_text: bool = True, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, text, n_words, n_removed, kept_sha256).
+def dedup_substrings(
+    docs: DataFrame, with_text: bool = True, carry: tuple[str, ...] = (), window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, carried columns, text, n_words, n_removed, kept_sha256).
 
     ``text`` (null unless ``with_text``) is the input's where nothing goes, else the kept words with
     the white space behind each.  A null text has no words; texts under ``window`` words stay.  Null
     doc_ids come after all others; of rows that share a doc_id the one of smaller text hash is first,
-    and of identical rows one.  An empty table gives no rows.  Other columns are ignored.
+    and of identical rows one.  An empty table gives no rows.  Columns not named in ``carry`` are ignored.
     """
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)["doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_bytes))
+    extra = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
     keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), "doc_id", text.alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), "doc_id", extra.alias("extra"), text.alias("text")
     ).select(
         F.pmod(F.xxhash64("doc_key"), F.lit(shards)).cast("int").alias("shard"), "doc_key",
-        F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2"), "doc_id", "text",
+        F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2"), "doc_id", "extra", "text",
     )
 
     phrases = keyed.select("shard", "text").mapInArrow(_phrases(window, phrase), "phrase bigint, shard int, n bigint")
@@ -245,15 +253,11 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True, window: int = WIND
         copies.select("shard", F.lit(1).alias("kind"), F.col("doc_key").alias("a"), F.col("h1").alias("b"), F.col("h2").alias("c"))
     )
 
-    def arrow(schema: str) -> tuple[str, pa.Schema]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        filled = schema.format(kind=kind)
-        return filled, to_arrow_schema(spark.createDataFrame([], filled).schema)
-
-    located_sql, located_arrow = arrow(_LOCATED)
+    made = spark.createDataFrame([], _DONE).schema
+    head = keyed.drop("text").schema
+    located_sql = StructType([*head, *made, *spark.createDataFrame([], "hashes array<bigint>, starts array<int>").schema])
     located = materialize(
-        keyed.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(_locate(window, phrase, with_text, kind, located_arrow), located_sql),
+        keyed.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(_locate(window, phrase, with_text, to_arrow_schema(located_sql)), located_sql),
         "substring-located",
     )
     open_ = located.where("n_removed is null")
@@ -264,8 +268,8 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True, window: int = WIND
     turn = F.row_number().over(Window.partitionBy("hash").orderBy("doc_key", "start"))
     lost = places.withColumn("turn", turn).where("turn > 1").select("shard", "hash")
 
-    cut_sql, cut_arrow = arrow(_CUT)
-    texts = open_.select("shard", "doc_key", "h1", "h2", "doc_id", "text")
-    cut = texts.groupBy("shard").cogroup(lost.groupBy("shard")).applyInArrow(_cut(window, with_text, cut_arrow), cut_sql)
-    names = ["doc_id", "text", "n_words", "n_removed", "kept_sha256"]
+    cut_sql = StructType([head["doc_id"], head["extra"], *made])
+    waiting = open_.select("shard", "doc_key", "h1", "h2", "doc_id", "extra", "text")
+    cut = waiting.groupBy("shard").cogroup(lost.groupBy("shard")).applyInArrow(_cut(window, with_text, to_arrow_schema(cut_sql)), cut_sql)
+    names = ["doc_id", *(F.col("extra")[c].alias(c) for c in carry), "text", "n_words", "n_removed", "kept_sha256"]
     return located.where("n_removed is not null").select(*names).unionByName(cut.select(*names))
