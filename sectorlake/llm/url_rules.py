@@ -115,7 +115,8 @@ def apply_rules(
                 paths.append(path)
                 names.append(best[1] if best else None)
                 verdicts.append(best[2] if best else default)
-            yield pd.DataFrame({"page_id": pd.Series(ids, dtype=object), "host": hosts, "path": paths, "rule": pd.Series(names, dtype=object), "verdict": verdicts})
+            if ids:
+                yield pd.DataFrame({"page_id": pd.Series(ids, dtype=object), "host": hosts, "path": paths, "rule": pd.Series(names, dtype=object), "verdict": verdicts})
 
     judged = swept.mapInPandas(sweep, "page_id string, host string, path string, rule string, verdict string")
     return judged.withColumn("page_id", F.col("page_id").cast(kind))
