@@ -117,7 +117,7 @@ def category(value: Column) -> Column:
 
 def payload(value: Column) -> Column:
     """The bits behind a category; a negative value as its complement."""
-    return F.when(value >= 0, value.cast("long")).otherwise(value + F.shiftleft(F.lit(1).cast("long"), category(value).cast("int")) - 1)
+    return F.when(value >= 0, value.cast("long")).otherwise(value + F.call_function("shiftleft", F.lit(1).cast("long"), category(value).cast("int")) - 1)
 
 
 def round_half_away(value: Column) -> Column:
