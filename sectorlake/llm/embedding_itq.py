@@ -24,7 +24,7 @@ ITERATIONS = 40
 #: that differ in at most bytes - BYTES_PER_KEY bits share a key for certain, most others nearby do.
 BYTES_PER_KEY = 2
 #: Codes of a bucket further apart than this are not vectors of cosine 0.95: it is three standard
-#: deviations over the 6.5 bits expected at that angle.
+#: deviations over the 6.5 bits expected at that angle.  Vectors of no more components all share a bucket.
 RADIUS = 14
 LAST = (1 << 63) - 1
 
@@ -36,10 +36,10 @@ def learn_rotation(sample: np.ndarray, bits: int, iterations: int = ITERATIONS,
     mean = sample.mean(0) if len(sample) else np.zeros(d)
     centred = sample - mean
     if len(sample) > 1:
-        _, _, axes = np.linalg.svd(centred, full_matrices=True)
+        axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
     else:
         axes = np.linalg.qr(rng.normal(size=(d, d)))[0]
-    axes = axes[:bits].T
+    axes = axes[:, :bits]
     turn = np.linalg.qr(rng.normal(size=(axes.shape[1], axes.shape[1])))[0]
     low = centred @ axes
     for _ in range(iterations if len(sample) > 1 else 0):
@@ -87,7 +87,7 @@ def _tables(models: dict[int, tuple[np.ndarray, np.ndarray]]):
                 d = vectors.shape[1]
                 codes = encode(vectors, _model_of(models, d))
                 parts = codes[:, None] >> (np.uint64(8) * np.arange(-(-min(BITS, d) // 8), dtype=np.uint64)) & np.uint64(255)
-                chosen = list(combinations(range(parts.shape[1]), min(BYTES_PER_KEY, parts.shape[1])))
+                chosen = list(combinations(range(parts.shape[1]), min(BYTES_PER_KEY, parts.shape[1]))) if d > RADIUS else [()]
                 keys = np.zeros((len(codes), len(chosen)), np.uint64)
                 for t, bytes_ in enumerate(chosen):
                     key = np.full(len(codes), (d << 16) + t, np.uint64)
