@@ -3,53 +3,54 @@
 from __future__ import annotations
 
 import json
-import re
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sectorlake.llm import words as W
 from sectorlake.llm.tables import materialize
 
 WINDOW = 1024
 END_ID = 0
-#: Words whose ids a Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 800_000
-#: Unknown words are encoded in joined texts of JOINED words, BATCHED texts at a time.
-JOINED, BATCHED = 64, 128
-#: Text bytes that are tokenized into one output batch.
-BATCH_BYTES = 4 << 20
-
-
-class WordTokenizer:
-    """Ids of whole texts by a public tokenizer file, with a bounded memory of words seen.
-
-    A byte-level pre-tokenizer always starts a piece at a single space before a character that is
-    not white space, so a text is the concatenation of such words and each can be looked up.  Texts
-    in which a space stands before other white space or the end, or that hold an added token, and
-    files with any other pre-tokenizer or a normalizer, are encoded whole.
+#: Units whose ids a Python worker remembers; the memory is emptied when it is full.
+REMEMBERED = 300_000
+#: Unknown units are encoded in joined texts of JOINED units, BATCHED texts at a time.
+JOINED, BATCHED = 256, 32
+#: White space beyond ASCII's six; a text with any is encoded whole.
+ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+class UnitTokenizer:
+    """Ids of whole texts by a public tokenizer file, with a bounded memory of units seen.
+
+    A unit is a word with the white space before it, cut where marks follow a letter, or white space at
+    a text's end.  A byte-level pre-tokenizer never joins a character to white space behind it, nor a
+    letter to marks (an apostrophe aside) behind it, so a text's ids are those of its units; equal
+    units of a batch are found by hash and looked up once.  Texts that hold other white
+    space or an added token, and files with any other pre-tokenizer or a normalizer, are encoded whole.
     """
 
-    #: A space that doesn't begin a word: before white space of any definition, or at the end.
-    odd = re.compile(r" [\s\x1c-\x1f]| \Z")
-
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         pre = spec.get("pre_tokenizer") or {}
-        self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.by_unit = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of each id: one character a byte
         self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self.memory: dict[str, bytes] = {}
+        self.memory: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -57,38 +58,90 @@ class WordTokenizer:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + BATCHED], add_special_tokens=False)]
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words, joined by spaces, and cut the ids where the words' bytes end."""
-        joined = [words[lo : lo + JOINED] for lo in range(0, len(words), JOINED)]
-        for own, ids in zip(joined, self._encode([" " + " ".join(own) for own in joined]), strict=True):
+    def _learn(self, units: list[bytes]) -> None:
+        """Encode new units, those between words joined, and cut the ids where the units' bytes end."""
+        inner = [u for u in units if u[0] in WHITE and u[-1] not in WHITE]
+        outer = [u for u in units if u[0] not in WHITE or u[-1] in WHITE]
+        self.memory.update(zip(outer, self._encode([u.decode() for u in outer]), strict=True))
+        joined = [inner[lo : lo + JOINED] for lo in range(0, len(inner), JOINED)]
+        for own, ids in zip(joined, self._encode([b"".join(own).decode() for own in joined]), strict=True):
             upto = np.cumsum(self.width[np.frombuffer(ids, "<u4")])
-            ends = np.searchsorted(upto, np.cumsum([len(w.encode()) + 1 for w in own])) + 1
+            ends = 4 * (np.searchsorted(upto, np.cumsum([len(u) for u in own])) + 1)
             begin = 0
-            for word, end in zip(own, (4 * ends).tolist(), strict=True):
-                self.memory[word] = ids[begin:end]
+            for unit, end in zip(own, ends.tolist(), strict=True):
+                self.memory[unit] = ids[begin:end]
                 begin = end
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        plain = [self.by_word and not self.odd.search(t) and not any(a in t for a in self.added) for t in texts]
-        whole = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if not p]))
-        split = [t.split(" ") for t, p in zip(texts, plain, strict=True) if p]
-        heads = self._encode([w[0] for w in split])
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        new: set[str] = set()
-        for words in split:
-            del words[0]
-            new.update(words)
-        self._learn([w for w in new if w not in self.memory])
-        look = self.memory.__getitem__
-        by_word = iter([head + b"".join(map(look, words)) for head, words in zip(heads, split, strict=True)])
-        return [next(by_word if p else whole) for p in plain]
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts must be encoded whole."""
+        if not self.by_unit:
+            return np.ones(len(texts), bool)
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        for content in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
+        return odd.to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first text, tokens of each text, ids of all) for stretches of ``texts``, ``end_id`` behind each text."""
+        texts = pc.fill_null(texts, "")
+        every_odd = self._whole(texts)
+        for words in W.segments(texts, hashed=False):
+            n, data, offsets = len(words.counts), words.data, words.offsets
+            odd = every_odd[words.lo : words.lo + n]
+            cut = LETTER[data[:-1]] & MARK[data[1:]]
+            cut[offsets[(offsets > 0) & (offsets < len(data))] - 1] = False
+            stops = np.sort(np.r_[words.ends, np.flatnonzero(cut) + 1], kind="stable")
+            first = np.searchsorted(stops, offsets, "right")
+            counts = np.diff(first)
+            doc = np.repeat(np.arange(n), counts)
+            begin = np.r_[0, stops[:-1]][: len(stops)]
+            some = counts > 0
+            begin[first[:-1][some]] = offsets[:-1][some]
+            tail = offsets[:-1].copy()  # where the last unit ends
+            tail[some] = stops[first[1:][some] - 1]
+            stay = ~odd[doc]
+            begin, stop, doc = begin[stay], stops[stay], doc[stay]
+            tailed = np.flatnonzero((tail < offsets[1:]) & ~odd)
+            # Units in order: a text's words, its tail or its whole, its end.
+            counts = np.where(odd, 0, counts)
+            last = np.zeros(n, np.int64)
+            last[tailed] = 1
+            last[odd] = 1
+            base = np.cumsum(counts + last + 1) - (counts + last + 1)
+            at = base[doc] + np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
+            begins, stops = np.r_[begin, tail[tailed]], np.r_[stop, offsets[1:][tailed]]
+            _, one, which = np.unique(W._spans(W._BYTE[data], begins, stops), return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            units = [raw[a:b] for a, b in zip(begins[one].tolist(), stops[one].tolist(), strict=True)]
+            if len(self.memory) > REMEMBERED:
+                self.memory.clear()
+            self._learn([u for u in units if u not in self.memory])
+            ids = [self.memory[u] for u in units]
+            wholes = np.flatnonzero(odd)
+            ids += self._encode([texts[words.lo + int(d)].as_py() for d in wholes])
+            ids.append(np.array([end_id], "<u4").tobytes())
+            order = np.full(int((counts + last + 1).sum()), len(ids) - 1)
+            order[at] = which[: len(doc)]
+            order[(base + counts)[tailed]] = which[len(doc) :]
+            order[(base + counts)[wholes]] = len(units) + np.arange(len(wholes))
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            size = np.array([len(x) // 4 for x in ids])
+            where = np.cumsum(size) - size
+            each = size[order]
+            upto = np.cumsum(each)
+            tokens = flat[np.repeat(where[order] - (upto - each), each) + np.arange(upto[-1])]
+            yield words.lo, np.diff(np.r_[0, upto[base + counts + last]]), tokens
+
+
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
+WHITE = b" \t\n\x0b\x0c\r"
 
 
 @cache
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str) -> UnitTokenizer:
+    return UnitTokenizer(path)
 
 
 def _tokenize(path: str | None, end_id: int):
@@ -99,18 +152,15 @@ def _tokenize(path: str | None, end_id: int):
             encoder = tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
         else:
             encoder = tokenizer(path)
-        end = np.array([end_id], "<u4").tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            cuts = np.cumsum([len(t) for t in texts]) // BATCH_BYTES
-            for lo, hi in ((a[0], a[-1] + 1) for a in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(cuts)) + 1) if len(a)):
-                ids = [x + end for x in encoder.encode(texts[lo:hi])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for lo, n, ids in encoder.encode(batch.column(1), end_id):
                 local = before + np.cumsum(n) - n
-                before += int(n.sum())
+                before += len(ids)
+                offsets = np.r_[0, 4 * np.cumsum(n)].astype(np.int32)
+                lists = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(local), pa.array(n), pa.array(ids, pa.binary())],
+                    [pa.array(np.full(len(n), part, np.int32)), batch.column(0).slice(lo, len(n)), pa.array(local), pa.array(n.astype(np.int64)), lists],
                     ["part", "doc_id", "local", "tokens", "ids"],
                 )
 

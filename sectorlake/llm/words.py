@@ -41,7 +41,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2**64; kept for the next call."""
     if len(_POWERS[0]) <= n:
-        size = max(n + 1, 2 * len(_POWERS[0]), 1 << 16)
+        size = n + 1 + (n >> 3)
         for i, base in enumerate((_BASE, _U(pow(int(_BASE), -1, 1 << 64)))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -100,10 +100,11 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def segments(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SEGMENT_BYTES, bare: bool = False) -> Iterator[Words]:
+def segments(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SEGMENT_BYTES, bare: bool = False, hashed: bool = True) -> Iterator[Words]:
     """Words of ``texts`` (null: empty) in segments of about ``limit`` bytes, in order.
 
-    ``lower`` lower-cases A-Z; ``bare`` also separates words at ASCII punctuation, which drops it.
+    ``lower`` lower-cases A-Z; ``bare`` also separates words at ASCII punctuation, which drops it;
+    ``hashed`` False leaves the words' hashes out.
     """
     whole = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     base = 0
@@ -112,12 +113,12 @@ def segments(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int
         lo = 0
         while lo < len(chunk):
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-            yield _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, base + lo, _BREAK if bare else _SPACE)
+            yield _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, base + lo, _BREAK if bare else _SPACE, hashed)
             lo = hi
         base += len(chunk)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, lower: bool, lo: int, separators: np.ndarray) -> Words:
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool, lo: int, separators: np.ndarray, hashed: bool) -> Words:
     if lower:
         data = _LOWER[data]
     inner = ~separators[data]
@@ -129,7 +130,8 @@ def _words(data: np.ndarray, offsets: np.ndarray, lower: bool, lo: int, separato
     after[:-1] = inner[1:]
     starts = np.flatnonzero(inner & (~before | border[:-1]))
     ends = np.flatnonzero(inner & (~after | border[1:])) + 1
-    return Words(data, offsets, starts, ends, _spans(_BYTE[data], starts, ends), np.searchsorted(starts, offsets), lo)
+    hashes = _spans(_BYTE[data], starts, ends) if hashed else np.zeros(0, np.uint64)
+    return Words(data, offsets, starts, ends, hashes, np.searchsorted(starts, offsets), lo)
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
