@@ -150,8 +150,8 @@ def embedding_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, ra
     Vectors of cosine ``threshold`` or more, in double precision, are linked; a link is only ever
     between vectors of one length.  Null, empty and zero vectors and those with a null, NaN or infinite
     component link with nothing.  ``n_links`` counts other rows, ``component_id`` is the smallest
-    vec_id reachable, ``kept`` marks its row.  Equal vectors are one class and need no pairs.  Null
-    vec_ids come last and have a null component_id unless linked to others; an empty table gives no rows;
+    vec_id reachable, ``kept`` marks its row.  Equal vectors are one class and need no pairs.  Rows
+    that share a vec_id, or have none, are linked only if their vectors are.  Null vec_ids come last and have a null component_id unless linked to others; an empty table gives no rows;
     other columns are ignored.
 
     Codes of all classes are dealt to tables by chosen bytes.  Nearby codes of a bucket bind candidate
@@ -164,9 +164,9 @@ def embedding_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, ra
     keyed = keyed.withColumns({
         "ok": F.coalesce(sound, F.lit(False)), "h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), F.col("vector"))
     })
-    classes = materialize(
-        keyed.where("ok").groupBy("h1", "h2").agg(F.min("key").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "vectors"
-    )
+    # A class is a node of its own, whatever vec_ids its rows have.
+    classes = keyed.where("ok").groupBy("h1", "h2").agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     total = classes.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
     share = min(1.0, SAMPLE_NUMBERS / max(total, 1))
     picked = classes.where(F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vector").toArrow()
@@ -183,9 +183,11 @@ def embedding_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, ra
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     roots = connected_components(found.where("kind = 1"), "a", "b")
 
-    by_class = classes.select("h1", "h2", "node", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    by_class = classes.select("h1", "h2", "node", "first", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    by_class = by_class.withColumn("component", F.coalesce("component", "node"))
+    by_class = by_class.drop("first").join(by_class.groupBy("component").agg(F.min("first").alias("first")), "component")
     rows = keyed.select("vec_id", "key", "ok", "h1", "h2").join(by_class.withColumn("ok", F.lit(True)), ["h1", "h2", "ok"], "left")
-    component = F.coalesce("component", "node", "key")
+    component = F.coalesce("first", "key")
     return rows.select(
         "vec_id",
         F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),

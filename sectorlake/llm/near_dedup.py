@@ -109,13 +109,9 @@ def _sketch(k: int):
                     d1[some] = np.add.reduceat(hashes, at)
                     d2[some] = np.add.reduceat(W.mix(hashes ^ _U(0x5851F42D4C957F2D)), at)
                 sketch = registers(hashes, doc, n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(words.lo, n), batch.column(1).slice(words.lo, n), pa.array(size.astype(np.int64)),
-                        pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([r.tobytes() for r in sketch], pa.binary()),
-                    ],
-                    ["doc_key", "doc_id", "n", "d1", "d2", "sketch"],
-                )
+                own = [batch.column(c).slice(words.lo, n) for c in (0, 1, 3, 4)]
+                made = [pa.array(size.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([r.tobytes() for r in sketch], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *made], ["doc_key", "doc_id", "h1", "h2", "n", "d1", "d2", "sketch"])
 
     return per_batch
 
@@ -237,28 +233,27 @@ def _confirm(k: int, threshold: Fraction):
     return per_block
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_key, doc_id, text, h1, h2): null doc_ids come last; a row is told from others by its key and its text's hashes."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), "doc_id", text.alias("text"),
+        F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"),
+    )
 
-    Words are runs of bytes other than white space with A-Z lower-cased; a text's set holds its
-    distinct runs of ``shingle`` words, a shorter text's whole sequence is one, and a null text or
-    one without words has none and links with nothing.  Texts whose sets have a Jaccard similarity
-    of ``threshold`` or more are linked; ``component_id`` is the smallest doc_id reachable and ``kept``
-    marks its row.  Equal sets are one class and need no pairs.  Rows that share a doc_id count as one
-    document; null doc_ids come last, and a component of nothing else has a null component_id and is
-    kept.  An empty table gives no rows; other columns are ignored.
 
-    Sketches are banded; buckets are compared in blocks of registers, and pairs whose corrected
-    estimate lies no further than SLACK standard errors under the threshold bind candidate groups.
-    Within such a group every pair is confirmed on full sets, again in blocks, so neither a bucket nor
-    a group is ever gathered or written out as pairs.
-    """
+def _found(docs: DataFrame, shingle: int, threshold: Fraction, bands: int, rows: int) -> DataFrame:
+    """(doc_key, doc_id, h1, h2, row, n, first) per row of ``docs``: ``first`` is the least (doc_key, h1, h2, row) of its component."""
     share = float(threshold)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = _keyed(docs)
     kind = dict(docs.dtypes)["doc_id"]
-    sketched = materialize(keyed.mapInArrow(_sketch(shingle), f"doc_key bigint, doc_id {kind}, n bigint, d1 bigint, d2 bigint, sketch binary"), "sketches")
+    sketches = keyed.mapInArrow(_sketch(shingle), f"doc_key bigint, doc_id {kind}, h1 bigint, h2 bigint, n bigint, d1 bigint, d2 bigint, sketch binary")
+    sketched = materialize(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    own = F.struct("doc_key", "h1", "h2", "row")
+    # A class is a node of its own, whatever doc_ids its rows have.
     classes = materialize(
-        sketched.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_key").alias("node"), F.first("sketch").alias("sketch")), "classes"
+        sketched.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(own).alias("first"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()),
+        "classes",
     )
     # Below this many shingles only equal sets reach the threshold.
     least = -(-threshold.numerator // (threshold.denominator - threshold.numerator)) if threshold < 1 else LAST
@@ -268,23 +263,51 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction
     near = blocks.map_groups(met, ["bucket", "lo", "hi"], _candidates(share), "a bigint, b bigint")
     groups = blocks.group_members(connected_components(near, "a", "b"))
     members = blocks.deal_blocks(groups, "members").select("component", "lo", "hi", "chunk", "node")
-    full = members.join(keyed.select(F.col("doc_key").alias("node"), "text"), "node")
-    sure = blocks.map_groups(full, ["component", "lo", "hi"], _confirm(shingle, threshold), "a bigint, b bigint")
+    # One text stands for a class; rows that share its key and text hold the same.
+    chosen = classes.join(groups.select("node"), "node", "left_semi").select("node", "first.doc_key", "first.h1", "first.h2")
+    texts = keyed.join(chosen, ["doc_key", "h1", "h2"]).groupBy("node").agg(F.first("text").alias("text"))
+    sure = blocks.map_groups(members.join(texts, "node"), ["component", "lo", "hi"], _confirm(shingle, threshold), "a bigint, b bigint")
     roots = connected_components(sure, "a", "b")
 
-    found = sketched.join(classes.select("n", "d1", "d2", "node"), ["n", "d1", "d2"], "left").join(roots, "node", "left")
-    component = F.coalesce("component", "node", "doc_key")
-    return found.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(component < LAST, component).alias("component_id")
-    ).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    placed = classes.select("n", "d1", "d2", "node", "first").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = placed.groupBy("component").agg(F.min("first").alias("first"))
+    by_class = placed.drop("first").join(firsts, "component").select("n", "d1", "d2", "first")
+    return sketched.join(by_class, ["n", "d1", "d2"], "left").select("doc_key", "doc_id", "h1", "h2", "row", "n", F.coalesce("first", own).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
+
+    Words are runs of bytes other than white space with A-Z lower-cased; a text's set holds its
+    distinct runs of ``shingle`` words, a shorter text's whole sequence is one, and a null text or
+    one without words has none and links with nothing.  Texts whose sets have a Jaccard similarity
+    of ``threshold`` or more are linked; ``component_id`` is the smallest doc_id reachable and ``kept``
+    marks its row.  Equal sets are one class and need no pairs.  Links are between texts: rows that share
+    a doc_id, or have none, are linked only if their texts are.  Null doc_ids come last: a component of
+    nothing else has a null component_id, and one of its rows is kept.  An empty table gives no rows;
+    other columns are ignored.
+
+    Sketches are banded; buckets are compared in blocks of registers, and pairs whose corrected
+    estimate lies no further than SLACK standard errors under the threshold bind candidate groups.
+    Within such a group every pair is confirmed on full sets, again in blocks, so neither a bucket nor
+    a group is ever gathered or written out as pairs.
+    """
+    component = F.col("first.doc_key")
+    return _found(docs, shingle, threshold, bands, rows).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(component < LAST, component).alias("component_id"),
+        F.when(component < LAST, F.col("doc_key") == component).otherwise(F.col("row") == F.col("first.row")).alias("kept"),
+    )
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of one document of each component.
+    """The rows of ``docs``, with all their columns, that come first in their component by (doc_id, hash of the text).
 
-    Of rows that share a kept doc_id one stays.  Rows without a doc_id cannot be told apart by one:
-    one of each distinct text stays.
+    Null doc_ids come last.  Rows without words are a component each, but of rows that share doc_id and text one stays.
     """
-    kept = near_duplicates(docs, shingle, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    first = F.col("first")
+    kept = _found(docs, shingle, threshold, BANDS, ROWS).where(first["row"] == F.col("row")).select(*(F.col(c).alias(f"_{c}") for c in ("doc_key", "h1", "h2"))).distinct()
+    text = F.coalesce("text", F.lit(""))
+    own = docs.withColumns({
+        "_doc_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text), "_null": F.col("text").isNull()
+    })
+    return own.join(kept, ["_doc_key", "_h1", "_h2"], "left_semi").dropDuplicates(["_doc_key", "_h1", "_h2", "_null"]).select(*docs.columns)

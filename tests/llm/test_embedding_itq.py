@@ -40,6 +40,15 @@ def test_recall_and_exactness(spark):
     assert all(got[10_000 + i] == want[10_000 + i] for i in range(len(odd)))
 
 
+def test_null_and_shared_ids_are_no_bridges(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 64))
+    rows = [(5, a), (9, b), (7, a + 0.01), (7, b + 0.01), (None, a + 0.02), (None, b + 0.02), (None, -a)]
+    docs = spark.createDataFrame([(i, [float(x) for x in v], 1, 2, "c", 3) for i, v in rows], COLUMNS)
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in embedding_itq.embedding_duplicates(docs).collect())
+    assert got == [("5", 2, "5"), ("7", 2, "5"), ("7", 2, "7"), ("9", 2, "7"), ("None", 0, "None"), ("None", 2, "5"), ("None", 2, "7")]
+
+
 def test_rotation_balances_and_keeps_neighbours():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 32)) @ rng.normal(size=(32, 32))

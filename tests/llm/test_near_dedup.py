@@ -76,6 +76,27 @@ def test_null_ids_and_empty(spark):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [9, 10]
 
 
+def test_null_and_shared_ids_are_no_bridges(spark):
+    a, b, c = (words(800 + i, 60) for i in range(3))
+    changed = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [
+        row(5, " ".join(a)), row(9, " ".join(b)), row(7, changed(a)), row(7, changed(b)), row(None, changed(a) + " x"), row(None, changed(b) + " x"),
+        row(None, " ".join(c)), row(None, changed(c)), row(None, " ".join(c)), row(None, "no other is like this"), row(11, ""), row(None, ""), row(None, None),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    want = [
+        ("5", "5", True), ("9", "7", False), ("7", "5", False), ("7", "7", True), ("None", "5", False), ("None", "7", False),
+        ("None", "None", True), ("None", "None", False), ("None", "None", False), ("None", "None", True), ("11", "11", True), ("None", "None", True), ("None", "None", True),
+    ]
+    assert got == sorted(want)
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.deduplicate(docs).collect()]
+    assert sorted((str(i), str(t)) for i, t in kept if t not in (" ".join(c), changed(c))) == sorted(
+        [("5", " ".join(a)), ("7", changed(b)), ("None", "no other is like this"), ("11", ""), ("None", ""), ("None", "None")]
+    )
+    assert sum(t in (" ".join(c), changed(c)) for _, t in kept) == 1
+
+
 def test_large_block_by_matrix_products():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 4000, rng.integers(1, 900)).astype(np.uint64)) for _ in range(40)]
