@@ -247,7 +247,7 @@ def disc_lba(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _defective(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Layouts of all sources as containers, with defects seeded by frame and source number."""
     n = F.substring("stream_id", 4, 9).cast("long")
-    frames = _interleaved(spark, sf_dir).where(F.col("frame") < 4000).withColumn("n", n)
+    frames = _interleaved(spark, sf_dir).withColumn("n", n)
     spoiled = frames.select(
         "stream_id", "frame",
         (F.col("video_sector") - F.when((F.col("n") % 5 == 1) & (F.col("frame") % 17 == 3), 2).otherwise(0)).alias("video_sector"),
