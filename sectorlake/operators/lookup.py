@@ -1,54 +1,42 @@
-"""Position lookups: as-of and containment matching by bucketed equi-joins."""
+"""Position lookups: as-of and containment matching in one order of marks and probes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectorlake.functions.units import circular_distance, div
+from sectorlake.functions.prefix import running
+from sectorlake.functions.units import circular_distance
 
 
-def range_join(probes: DataFrame, position: str, intervals: DataFrame, lo: str, hi: str, bucket: int, how: str = "left") -> DataFrame:
-    """Probes with the interval [lo, hi) that holds their position.
+def last_at_or_before(probes: DataFrame, position: str, marks: DataFrame, mark: str, value: str) -> DataFrame:
+    """(probes, value, mark) of the last mark at or before a position; of equal marks the one of the largest value.
 
-    An interval is listed in each bucket that it touches and a probe in its own, so the join is an
-    equi-join with the bounds as a residual, never a nested loop.
+    Null before the first mark.  Marks and probes are put in one order, in chunks of positions, and
+    each probe takes the last mark that was met, so neither gaps nor busy stretches matter.
     """
-    listed = intervals.where(F.col(hi) > F.col(lo)).withColumn("_bucket", F.explode(F.sequence(div(F.col(lo), bucket), div(F.col(hi) - 1, bucket))))
-    own = probes.withColumn("_bucket", div(F.col(position), bucket))
-    held = (own["_bucket"] == listed["_bucket"]) & (own[position] >= listed[lo]) & (own[position] < listed[hi])
-    return own.join(listed, held, how).drop(own["_bucket"]).drop(listed["_bucket"])
+    null = lambda df, column: F.lit(None).cast(df.select(column.alias("x")).schema["x"].dataType)
+    probe, pair, tie = F.struct(*probes.columns), F.struct(mark, value), F.col(value)
+    met = marks.where(F.col(mark).isNotNull()).select(
+        F.col(mark).cast("long").alias("_pos"), F.lit(0).alias("_kind"), tie.alias("_tie"), pair.alias("_mark"), null(probes, probe).alias("_probe")
+    )
+    asked = probes.select(F.col(position).cast("long").alias("_pos"), F.lit(1).alias("_kind"), null(marks, tie).alias("_tie"), null(marks, pair).alias("_mark"), probe.alias("_probe"))
+    found = running(met.unionByName(asked), ["_pos", "_kind", "_tie"], {"_found": ("last", F.col("_mark"))}, inclusive=True).where("_kind = 1")
+    return found.select("_probe.*", F.col("_found")[value].alias(value), F.col("_found")[mark].alias(mark))
 
 
-def sector_to_frame(probes: DataFrame, sector: str, frames: DataFrame, bucket: int = 64) -> DataFrame:
+def sector_to_frame(probes: DataFrame, sector: str, frames: DataFrame) -> DataFrame:
     """The first frame whose start is at or behind the sector or whose extent holds it; past the end the last.
 
     ``frames`` (frame, start_sector, end_sector) in timeline order.  A frame answers for all sectors
-    from the previous frame's end to its own.
+    from the previous frame's end to its own: it is the first whose end lies behind the sector, which
+    is a search for the last mark at or before in reverse.
     """
-    keyed = frames.withColumn("_chunk", div(F.col("frame"), 4096))
-    # The previous end within a chunk; the first of a chunk takes it from the chunk before.
-    ends = keyed.groupBy("_chunk").agg(F.max("end_sector").alias("_end")).select((F.col("_chunk") + 1).alias("_chunk"), "_end")
-    order = Window.partitionBy("_chunk").orderBy("frame")
-    covers = keyed.join(ends, "_chunk", "left").withColumn("_from", F.coalesce(F.lag("end_sector").over(order), F.col("_end"), F.lit(0)))
+    ends = frames.select((-F.col("end_sector").cast("long")).alias("_end"), (-F.col("frame")).alias("_frame"))
+    back = probes.withColumn("_back", -F.col(sector).cast("long") - 1)
     last = frames.agg(F.max("frame").alias("_last"))
-    met = range_join(probes, sector, covers.select("frame", "_from", "end_sector"), "_from", "end_sector", bucket)
-    return met.drop("_from", "end_sector").join(F.broadcast(last)).withColumn("frame", F.coalesce("frame", "_last")).drop("_last")  # one row
-
-
-def last_at_or_before(probes: DataFrame, position: str, marks: DataFrame, mark: str, value: str, bucket: int = 65536) -> DataFrame:
-    """The value of the last mark at or before a position (null before the first).
-
-    Marks become intervals up to the next mark, bucket by bucket, so no window spans the stream.
-    """
-    keyed = marks.withColumn("_chunk", div(F.col(value), 4096))
-    firsts = keyed.groupBy("_chunk").agg(F.min(mark).alias("_next")).select((F.col("_chunk") - 1).alias("_chunk"), "_next")
-    order = Window.partitionBy("_chunk").orderBy(value)
-    far = probes.agg(F.max(position).alias("_far"))
-    spans = keyed.join(firsts, "_chunk", "left").join(F.broadcast(far)).withColumn(  # one row
-        "_to", F.coalesce(F.lead(mark).over(order), F.col("_next"), F.greatest(F.col("_far") + 1, F.col(mark) + 1))
-    )
-    return range_join(probes, position, spans.select(value, mark, "_to"), mark, "_to", bucket).drop("_to")
+    met = last_at_or_before(back, "_back", ends, "_end", "_frame").drop("_back", "_end")
+    return met.join(F.broadcast(last)).withColumn("frame", F.coalesce(-F.col("_frame"), "_last")).drop("_frame", "_last")  # one row
 
 
 def nearest_ahead(slots: DataFrame, by: list[str], frame: Column, target: Column, n: int, max_skip: int, slot: str) -> DataFrame:

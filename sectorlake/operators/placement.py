@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectorlake.functions.prefix import exclusive_sums
+from sectorlake.functions.prefix import exclusive_sums, running
 from sectorlake.functions.units import HALF_BYTES, PREROLL_BLOCKS, SECTOR_BYTES, div, sectors
 
+#: Consecutive frames, blocks or the like of a chunk in two-level sums.
+DENSE = 4096
+
 
 def variable_slots(payloads: DataFrame, key: str, n_bytes: Column, first_sector: int = 0) -> DataFrame:
     """Each payload takes as many sectors as it needs, one behind the other in ``key`` order."""
@@ -23,10 +26,8 @@ def refill_schedule(blocks: DataFrame, num: int, den: int, rate: int) -> DataFra
     """
     refills = blocks.where(F.col("block") >= PREROLL_BLOCKS)
     deadline = div((F.col("block").cast("long") - 1) * (2 * HALF_BYTES) * num, rate * den)
-    so_far = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    return refills.withColumn("deadline_frame", deadline).withColumn(
-        "frame", F.col("block") + F.max(F.col("deadline_frame") - F.col("block")).over(so_far)
-    )
+    late = running(refills.withColumn("deadline_frame", deadline), ["block"], {"_late": ("max", F.col("deadline_frame") - F.col("block"))}, ("stream_id",), inclusive=True, width=DENSE)
+    return late.withColumn("frame", F.col("block") + F.col("_late")).drop("_late")
 
 
 def audio_blocks(streams: DataFrame) -> DataFrame:
@@ -44,9 +45,8 @@ def interleaved(frames: DataFrame, refills: DataFrame, stride: int, data_start:
     """
     carried = frames.join(refills.select("stream_id", "frame", "block", F.col("sectors").alias("audio_sectors")), ["stream_id", "frame"], "left")
     carried = carried.withColumn("audio_sectors", F.coalesce("audio_sectors", F.lit(0)))
-    before = Window.partitionBy("stream_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("audio_sectors") + stride).over(before), F.lit(0)) + data_start + preroll
-    return carried.withColumn("video_sector", start.cast("long")).withColumn(
+    placed = exclusive_sums(carried, "frame", {"_before": F.col("audio_sectors") + stride}, ("stream_id",), width=DENSE)
+    return placed.withColumn("video_sector", F.col("_before") + data_start + preroll).drop("_before").withColumn(
         "audio_sector", F.when(F.col("audio_sectors") > 0, F.col("video_sector") + stride).otherwise(0)
     )
 
@@ -63,11 +63,10 @@ def paced_chunks(frames: DataFrame, lead: int, chunk: int) -> DataFrame:
     target = div((F.col("frame").cast("long") + 1) * F.col("audio_bytes"), F.col("n_frames"))
     over = target - (lead + chunk - 1) * SECTOR_BYTES
     due = F.when(over <= 0, F.lit(0).cast("long")).otherwise(div(over + (chunk * SECTOR_BYTES - 1), chunk * SECTOR_BYTES))
-    order = Window.partitionBy("stream_id").orderBy("frame")
-    counted = frames.withColumn("due", F.when(F.col("frame") == 0, F.lit(0).cast("long")).otherwise(due)).withColumn(
-        "chunks", F.col("frame") + F.min(F.col("due") - F.col("frame")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    earlier = F.coalesce(F.lag("chunks").over(order), F.lit(0))
+    due = frames.withColumn("due", F.when(F.col("frame") == 0, F.lit(0).cast("long")).otherwise(due))
+    counted = running(due, ["frame"], {"_least": ("min", F.col("due") - F.col("frame"))}, ("stream_id",), width=DENSE)
+    earlier = F.coalesce(F.col("frame") - 1 + F.col("_least"), F.lit(0))  # chunks up to the frame before
+    counted = counted.withColumn("chunks", F.col("frame") + F.least("_least", F.col("due") - F.col("frame")))
     begin = F.when(F.col("frame") == 0, F.lit(0).cast("long")).otherwise(F.least(total, lead + earlier * chunk))
     last = F.col("frame") == F.col("n_frames") - 1
     end = F.when(last, total).otherwise(F.least(total, lead + F.col("chunks") * chunk))
@@ -77,9 +76,9 @@ def paced_chunks(frames: DataFrame, lead: int, chunk: int) -> DataFrame:
 
 
 def overlaps(extents: DataFrame, by: list[str], start: str, end: str, tie: list[str]) -> DataFrame:
-    """Extents that begin before the previous one, in (start, end) order, has ended."""
-    order = Window.partitionBy(*by).orderBy(start, end, *tie)
-    return extents.withColumn("previous_end", F.lag(end).over(order)).where(F.col(start) < F.col("previous_end"))
+    """Extents that begin before the previous one, in (start, end, tie) order, has ended; rows are distinct in it."""
+    found = running(extents, [start, end, *tie], {"previous_end": ("last", F.col(end))}, tuple(by))
+    return found.where(F.col(start) < F.col("previous_end"))
 
 
 def contiguous_batches(items: DataFrame, by: list[str], position: str, cap: int = 8) -> DataFrame:

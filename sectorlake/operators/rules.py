@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sectorlake.functions.prefix import exclusive_sums, running
 from sectorlake.functions.units import ADPCM_RATES, FLAG_ADPCM, HALF_BYTES, HALF_SECTORS, sectors
+from sectorlake.operators.placement import DENSE
 
 HEADER_BYTES, ENTRY_BYTES = 64, 32
 MAX_FRAMES, MAX_STRIDE, MAX_MP2_SECTORS = 4096, 4, 8
@@ -58,15 +60,15 @@ def violations(streams: DataFrame, frames: DataFrame) -> DataFrame:
     ``frames`` has (stream_id, frame, video_sector, video_size, video_sectors, video_crc32, audio_sector,
     a_sectors, audio_byte_offset, payload_crc32).
     """
-    order = Window.partitionBy("stream_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
     preroll = F.call_function("div", F.col("preroll_sectors").cast("long") + (HALF_SECTORS - 1), F.lit(HALF_SECTORS).cast("long"))
-    carried = F.coalesce(F.sum(F.when(F.col("a_sectors") > 0, 1).otherwise(0)).over(order), F.lit(0))
-    joined = frames.join(streams.drop("magic", "width", "height"), "stream_id").withColumn("next_block", preroll + carried)
+    counted = exclusive_sums(frames, "frame", {"_carried": F.when(F.col("a_sectors") > 0, 1).otherwise(0)}, ("stream_id",), width=DENSE)
+    joined = counted.join(streams.drop("magic", "width", "height"), "stream_id").withColumn("next_block", preroll + F.col("_carried"))
     extents = frames.select("stream_id", "frame", F.col("video_sector").alias("start"), (F.col("video_sector") + F.col("video_sectors")).alias("end")).unionByName(
         frames.where("a_sectors > 0").select("stream_id", "frame", F.col("audio_sector").alias("start"), (F.col("audio_sector") + F.col("a_sectors")).alias("end"))
     )
-    by_start = Window.partitionBy("stream_id").orderBy("start", "end", "frame")
-    overlapping = extents.withColumn("before", F.lag("end").over(by_start)).where("start < before").select("stream_id", "frame", F.lit("V11").alias("rule"))
+    # Extents of a timeline lie dense, so chunks of sectors are chunks of rows.
+    met = running(extents, ["start", "end", "frame"], {"before": ("last", F.col("end"))}, ("stream_id",), width=MAX_STRIDE * DENSE)
+    overlapping = met.where("start < before").select("stream_id", "frame", F.lit("V11").alias("rule"))
     chunks = frames.groupBy("stream_id").agg(F.sum(F.when(F.col("a_sectors") > 0, 1).otherwise(0)).alias("chunks"))
     covered = streams.join(chunks, "stream_id", "left").where(F.col("flags").bitwiseAND(F.lit(FLAG_ADPCM)) != 0)
     blocks = F.call_function("div", F.col("audio_bytes").cast("long") + (HALF_BYTES - 1), F.lit(HALF_BYTES).cast("long"))

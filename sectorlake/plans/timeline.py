@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorlake.functions import units as U
-from sectorlake.functions.prefix import exclusive_sums
+from sectorlake.functions.prefix import exclusive_sums, numbered
 from sectorlake.operators import lookup, placement, rules
 from sectorlake.plans.registry import query
 
@@ -27,7 +27,7 @@ def source_frames(spark: SparkSession, sf_dir: str, fixed: bool = True) -> DataF
     """Each source's documents as the frames of one stream, numbered by doc_id; ``fixed`` keeps those that fit a slot."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("stream_id"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
     docs = docs.where(U.sectors(F.col("bytes")) <= STRIDE) if fixed else docs
-    return docs.withColumn("frame", (F.row_number().over(Window.partitionBy("stream_id").orderBy("doc_id")) - 1).cast("long"))
+    return numbered(docs, "doc_id", "frame", ("stream_id",))
 
 
 _SIZED = "sized AS (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes FROM documents)"
@@ -274,7 +274,7 @@ def _defective(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(
     "rule_violations",
     f"""WITH RECURSIVE {_INTERLEAVED},
-x AS (SELECT p.*, CAST(substr(p.stream_id, 4) AS BIGINT) AS n, s.block FROM placed p LEFT JOIN schedule s ON s.stream_id = p.stream_id AND s.frame = p.frame AND s.block > 1 WHERE p.frame < 4000),
+x AS (SELECT p.*, CAST(substr(p.stream_id, 4) AS BIGINT) AS n, s.block FROM placed p LEFT JOIN schedule s ON s.stream_id = p.stream_id AND s.frame = p.frame AND s.block > 1),
 f AS (SELECT stream_id, n, frame, video_sector - CASE WHEN n % 5 = 1 AND frame % 17 = 3 THEN 2 ELSE 0 END AS v0,
   CASE WHEN n % 5 = 2 AND frame % 13 = 4 THEN 9000 ELSE greatest(bytes, 1) END AS size, audio_sectors AS a,
   CASE WHEN audio_sectors > 0 THEN video_sector + 4 ELSE 0 END AS a0, CASE WHEN audio_sectors > 0 THEN block * 65536 + CASE WHEN n % 5 = 3 THEN 2048 ELSE 0 END ELSE 0 END AS off,

@@ -1,8 +1,10 @@
 """Every reference query against its DuckDB oracle on the smallest tables."""
 
+import numbers
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -25,7 +27,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def shown(v):
         if pd.isna(v):
             return ""
-        return f"{float(v) + 0.0:.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return f"{float(v) + 0.0:.5f}" if isinstance(v, numbers.Number) and not isinstance(v, (bool, np.bool_)) else str(v)
 
     return sorted(tuple(map(shown, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
