@@ -33,7 +33,7 @@ class UnitTokenizer:
     A unit is a word with the white space before it, cut where marks follow a letter, or white space at
     a text's end.  A byte-level pre-tokenizer never joins a character to white space behind it, nor a
     letter to marks (an apostrophe aside) behind it, so a text's ids are those of its units; equal
-    units of a batch are found by hash and looked up once.  Texts that hold other white
+    units of a batch are found by hash, compared byte by byte and looked up once.  Texts that hold other white
     space or an added token, and files with any other pre-tokenizer or a normalizer, are encoded whole.
     """
 
@@ -111,6 +111,10 @@ class UnitTokenizer:
             at = base[doc] + np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
             begins, stops = np.r_[begin, tail[tailed]], np.r_[stop, offsets[1:][tailed]]
             _, one, which = np.unique(W._spans(W._BYTE[data], begins, stops), return_index=True, return_inverse=True)
+            # Equal hashes are not taken for equal bytes: a unit that differs from its like stands for itself.
+            differs = np.flatnonzero(~same_bytes(data, begins, stops, one[which]))
+            which[differs] = len(one) + np.arange(len(differs))
+            one = np.r_[one, differs]
             raw = data.tobytes()
             units = [raw[a:b] for a, b in zip(begins[one].tolist(), stops[one].tolist(), strict=True)]
             if len(self.memory) > REMEMBERED:
@@ -133,6 +137,19 @@ class UnitTokenizer:
             yield words.lo, np.diff(np.r_[0, upto[base + counts + last]]), tokens
 
 
+def same_bytes(data: np.ndarray, begins: np.ndarray, stops: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """For each span of ``data`` whether it holds the same bytes as span number ``like``."""
+    size = stops - begins
+    same = size == size[like]
+    own = np.flatnonzero(same & (like != np.arange(len(like))))
+    length = size[own]
+    ends = np.cumsum(length)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
+    wrong = np.flatnonzero(data[np.repeat(begins[own], length) + at] != data[np.repeat(begins[like[own]], length) + at])
+    same[own[np.searchsorted(ends, wrong, "right")]] = False
+    return same
+
+
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sectorlake.llm import words as W
 from sectorlake.llm.tables import materialize
@@ -91,10 +92,10 @@ class Rule:
     tests: tuple[tuple[str, bool, float], ...]
     weight: float
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         held = F.lit(True)
         for name, above, cut in self.tests:
-            held = held & (F.col(name) > cut if above else F.col(name) <= cut)
+            held = held & (F.col(prefix + name) > cut if above else F.col(prefix + name) <= cut)
         return held.cast("double") * self.weight
 
     def holds(self, values: np.ndarray) -> np.ndarray:
@@ -110,11 +111,11 @@ class RuleModel:
     bias: float
     rules: tuple[Rule, ...]
 
-    def column(self) -> Column:
-        """The probability of label 1 as a Spark expression over the statistics."""
+    def column(self, prefix: str = "") -> Column:
+        """The probability of label 1 as a Spark expression over the statistics' columns, named with ``prefix``."""
         total = F.lit(self.bias)
         for rule in self.rules:
-            total = total + rule.column()
+            total = total + rule.column(prefix)
         return 1 / (1 + F.exp(-total))
 
     def predict(self, values: np.ndarray) -> np.ndarray:
@@ -215,17 +216,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def fit(statistics: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> RuleModel:
-    """Fit on at most about ``rows`` labelled rows outside the held-out fold.
+def training_labels(labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """(label_id, label): about ``rows`` distinct labels at most outside the held-out fold, picked by hash.
 
-    ``labels`` has (doc_id, quality); rows with nulls are left out, repeated ids count as often.
+    ``labels`` has (doc_id, quality); rows with nulls are left out.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label")).where("label_id is not null and label is not null")
-    known = known.where(~held_out(F.col("label_id")))
+    known = known.where(~held_out(F.col("label_id"))).distinct()
     share = min(1.0, rows / max(known.count(), 1))
-    picked = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    joined = statistics.join(picked, F.col("doc_id") == F.col("label_id")).select("doc_id", "label", *STATISTICS).toPandas().sort_values(["doc_id", *STATISTICS])
-    return fit_rules(joined[STATISTICS].to_numpy(float), (joined["label"].to_numpy(float) > 0).astype(float))
+    return known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def fit(statistics: DataFrame, picked: DataFrame, rows: int = TRAINING_ROWS) -> RuleModel:
+    """Fit on the rows of ``statistics`` (doc_id, ...) that have a label in ``picked``, about ``rows`` at most.
+
+    Rows equal in id, statistics and label count once, so repeated rows don't add up; of what is left,
+    as where many texts share an id, a share is picked by hash.
+    """
+    joined = statistics.join(picked, F.col("doc_id") == F.col("label_id")).select("doc_id", "label", *STATISTICS).distinct()
+    joined = materialize(joined, "training-rows")
+    share = min(1.0, rows / max(joined.count(), 1))
+    chosen = joined.where(F.pmod(F.xxhash64(F.lit(7), *joined.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+    table = chosen.toPandas().sort_values(["doc_id", *STATISTICS, "label"])
+    return fit_rules(table[STATISTICS].to_numpy(float), (table["label"].to_numpy(float) > 0).astype(float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -237,25 +250,32 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ro
     table gives no rows; other columns are ignored.
     """
     statistics = materialize(text_statistics(docs), "text-statistics")
-    model = fit(statistics, labels, rows)
+    model = fit(statistics, training_labels(labels, rows), rows)
     scored = statistics.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = TRAINING_ROWS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score reaches ``threshold``."""
-    model = fit(text_statistics(docs), labels, rows)
-    names = docs.columns
-
-    # Statistics are taken row by row again, so that no join by id is needed.
-    place = names.index("text")
+    """The rows of ``docs``, with all their columns, whose score reaches ``threshold``.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows are scored as by ``score_quality``, by the compiled column; only labelled rows are measured for
+    learning.  Repeated rows, null ids and null texts are judged like any other; columns may have any
+    name.
+    """
+    picked = training_labels(labels, rows)
+    labelled = docs.select("doc_id", "text").join(picked.select(F.col("label_id").alias("doc_id")), "doc_id", "left_semi")
+    model = fit(text_statistics(labelled), picked, rows)
+    place = docs.columns.index("text")
+    prefix = "_"
+    while any(prefix + s in docs.columns for s in STATISTICS):
+        prefix += "_"
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             plain = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place)], ["doc_id", "text"])
             for part in _statistics(iter([plain])):
-                values = np.column_stack([part.column(i + 1).to_numpy() for i in range(len(STATISTICS))])
-                rows_ = part.column(0).filter(pa.array(model.predict(values) >= threshold))
-                yield batch.take(rows_)
+                own = batch.take(part.column(0))
+                yield pa.RecordBatch.from_arrays([*own.columns, *part.columns[1:]], [*own.schema.names, *(prefix + s for s in STATISTICS)])
 
-    return docs.select(*names).mapInArrow(keep, docs.schema)
+    schema = StructType([*docs.schema, *(StructField(prefix + s, DoubleType()) for s in STATISTICS)])
+    return docs.mapInArrow(measured, schema).where(model.column(prefix) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -15,10 +15,12 @@ _RUN = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (local tests)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset on a local master (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="sectorlake-"))
     return _LOCAL[0]
@@ -30,8 +32,17 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def _sweep(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        _remove(spark, path)
+    """Delete ``path`` when Python ends, or when the JVM does if the session has been stopped by then."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop)
+    system.deleteOnExit(hadoop)
+
+    def now() -> None:
+        if spark.sparkContext._jsc is not None:
+            _remove(spark, path)
+
+    atexit.register(now)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     root = f"{shared_dir(spark)}/sectorlake-{_RUN}"
     if root not in _SWEPT:
         _SWEPT.add(root)
-        atexit.register(_sweep, spark, root)
+        _sweep(spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(RELEASE, None)
     spark.conf.set(RELEASE, "true")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,6 @@ import pyarrow.compute as pc
 SEGMENT_BYTES = 1 << 21
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: For words without punctuation: all ASCII bytes but letters and digits separate.
@@ -34,27 +34,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Word hashes are values of polynomials modulo this prime at a fixed random point: two different words agree
+#: with a probability of about their length over 2**61.  A second point gives pairs of 122 bits.
+PRIME = (1 << 61) - 1
+# The two points, drawn once.
+POINTS = (0x0D93E4A1B7C26F35, 0x15F2C08B6A4D7E99)
+_P, _M29, _M30, _M31, _M32 = (_U((1 << k) - 1) for k in (61, 29, 30, 31, 32))
+#: Bytes count as 1 to 256.
+_BYTE = np.arange(1, 257, dtype=np.uint16)
+#: Longer spans of bytes are summed in reduced products.
+LONG_SPAN = 1 << 22
+_POWERS: dict[int, list[np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse modulo 2**64; kept for the next call."""
-    if len(_POWERS[0]) <= n:
-        size = n + 1 + (n >> 3)
-        for i, base in enumerate((_BASE, _U(pow(int(_BASE), -1, 1 << 64)))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
+
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers under 2**61, from halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> _U(31), a & _M31, b >> _U(31), b & _M31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << _U(1)) + (middle >> _U(30)) + ((middle & _M30) << _U(31)) + a0 * b0)
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each span, equal for equal content wherever it stands."""
-    power, inverse = _powers(len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+def _powers(n: int, point: int) -> list[np.ndarray]:
+    """Powers 0..n of a point and of its inverse; kept for the next call."""
+    have = _POWERS.get(point)
+    if have is None or len(have[0]) <= n:
+        size = n + 1 + (n >> 3)
+        have = []
+        for base in (POINTS[point], pow(POINTS[point], -1, PRIME)):
+            out = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                more = min(done, size - done)
+                out[done : done + more] = _times(out[:more], np.full(more, pow(base, done, PRIME), np.uint64))
+                done += more
+            have.append(out)
+        _POWERS[point] = have
+    return have
+
+
+class Prefixes:
+    """Prefix sums over ``values``, from which any span's hash follows, equal for equal content wherever it stands."""
+
+    def __init__(self, values: np.ndarray, point: int = 0, longest: int = 0):
+        power, self.inverse = _powers(len(values), point)
+        power = power[: len(values)]
+        self.low, self.high = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint64)
+        if values.dtype == np.uint16 and longest <= LONG_SPAN:
+            low, high = values * (power & _M32), values * (power >> _U(32))
+        else:
+            whole = _times(_reduced(values.astype(np.uint64)), power)
+            low, high = whole & _M32, whole >> _U(32)
+        np.cumsum(low, out=self.low[1:])
+        np.cumsum(high, out=self.high[1:])
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of values[start:end]; sums may wrap, but what lies between two of them does not."""
+        low, high = _reduced(self.low[ends] - self.low[starts]), _reduced(self.high[ends] - self.high[starts])
+        total = _reduced(low + (high >> _U(29)) + ((high & _M29) << _U(32)))
+        return mix(_times(total, self.inverse[starts]) + (ends - starts).astype(np.uint64))
+
+
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, point: int = 0) -> np.ndarray:
+    longest = int((ends - starts).max()) if len(starts) else 0
+    return Prefixes(values, point, longest).spans(starts, ends)
 
 
 @dataclass
@@ -73,19 +120,24 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    @cached_property
+    def others(self) -> np.ndarray:
+        """The words' hashes at the second point."""
+        return _spans(_BYTE[self.data], self.starts, self.ends, 1)
+
     def documents(self) -> np.ndarray:
         """Document (within the segment) of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first word, document) of every run of k words within one document."""
+    def windows(self, k: int, point: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first word, document) of every run of k words within one document; ``point`` 1 gives the second hash."""
         n = len(self.hashes)
         if n < k:
             empty = np.zeros(0, np.int64)
             return np.zeros(0, np.uint64), empty, empty
         doc = self.documents()
         at = np.flatnonzero(doc[: n - k + 1] == doc[k - 1 :])
-        return _spans(self.hashes, at, at + k), at, doc[at]
+        return _spans(self.others if point else self.hashes, at, at + k, point), at, doc[at]
 
     def sequence(self, doc: int) -> np.ndarray:
         return self.hashes[self.first[doc] : self.first[doc + 1]]

@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -67,6 +69,29 @@ def test_against_brute_force(spark):
         assert sorted(r["doc_id"] for r in clean.collect()) == sorted(r[0] for r in rows if r[0] not in {d for d, _ in want})
 
 
+def test_repeated_words_take_no_pair_list():
+    began = time.time()
+    same = lambda n: np.full(n, 12345, np.uint64)
+    assert decontamination.tiles(same(1000), same(100_000), 5) == [(0, 0, 1000)]
+    assert decontamination.tiles(same(100_000), same(1000), 5) == [(0, 0, 1000)]
+    two = np.resize(np.array([7, 7, 9], np.uint64), 1000)
+    made = decontamination.tiles(two, np.resize(np.array([9, 7], np.uint64), 100_000), 2)
+    assert sum(t[2] for t in made) > 600
+    assert time.time() - began < 20
+
+
+def test_null_ids_long_texts_and_repeated_items(spark):
+    item = " ".join(words(31, 40))
+    spam = "buy " * 60_000
+    rows = [row(None, "intro " + item), row(None, item), row(7, " ".join(words(5, 30_000)) + " " + item), row(7, "x"), row(8, spam), row(9, None)]
+    items = [(1, item), (1, item), (None, item), (2, "buy " * 300), (3, spam), (4, None)]
+    docs, bench = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
+    for size in (1 << 22, 200):
+        got = Counter((r["doc_id"], r["item_id"]) for r in decontamination.contaminated_pairs(docs, bench, block_bytes=size).collect())
+        assert got == Counter({(None, 1): 4, (None, None): 2, (7, 1): 2, (7, None): 1, (8, 2): 1, (8, 3): 1})
+        assert sorted(str(r["text"])[:9] for r in decontamination.decontaminate(docs, bench, block_bytes=size).collect()) == ["None", "x"]
+
+
 def test_empty(spark):
     docs, bench = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.contaminated_pairs(docs, bench).count() == 0

@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 from sectorlake.llm import packing
 from tests.llm.fixtures import SCHEMA, odd_texts
+from tests.llm.test_words import thue_morse
 
 ODD = ["a  b", "a \n b", "don't it's ''s", "x_y _x!! 12ab a1. é's", "<|endoftext|> hi there", "\x1c x y", "日本語。 日本 語", " lead and trail ", "a.\tb, c\r\nd ", "ok..., (so) [it] is"]
 
@@ -51,3 +52,17 @@ def test_stream_is_cut_without_loss(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_equal_hashes_are_not_taken_for_equal_units(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    word = thue_morse(2048)
+    texts = ["x " + word + " " + word.translate(str.maketrans("ab", "ba")), "one two three one four", "", "tail  "]
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(packing.W, "_spans", lambda values, starts, ends: (ends - starts).astype(np.uint64))
+        got = []
+        for _, n, ids in packing.UnitTokenizer(path).encode(pa.array(texts), 0):
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]

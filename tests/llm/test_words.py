@@ -41,3 +41,36 @@ def test_sliding_minimum():
     x = np.array([5, 3, 8, 1, 9, 2, 7], np.uint64)
     for width in range(1, 8):
         assert W.sliding_minimum(x, width).tolist() == [min(x[i : i + width]) for i in range(len(x) - width + 1)]
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s[:n]
+
+
+def test_hashes_are_polynomials_modulo_a_prime():
+    rng = np.random.default_rng(3)
+    for point in (0, 1):
+        values = rng.integers(0, 1 << 64, 300, np.uint64)
+        at = np.sort(rng.integers(0, 301, (200, 2)), axis=1)
+        base, p = W.POINTS[point], W.PRIME
+        want = [(sum(int(values[a + k]) * pow(base, k, p) for k in range(b - a)) % p + b - a) % (1 << 64) for a, b in at.tolist()]
+        assert W._spans(values, at[:, 0], at[:, 1], point).tolist() == W.mix(np.array(want, np.uint64)).tolist()
+
+
+def test_long_spans_of_bytes_are_summed_the_same(monkeypatch):
+    data = W._BYTE[np.random.default_rng(1).integers(0, 256, 5000)]
+    ends = np.array([5000, 4000, 10])
+    short = W._spans(data, np.array([0, 7, 3]), ends).tolist()
+    monkeypatch.setattr(W, "LONG_SPAN", 100)
+    assert W._spans(data, np.array([0, 7, 3]), ends).tolist() == short
+
+
+def test_words_that_collide_modulo_powers_of_two_are_told_apart():
+    for n in (512, 1024, 2048, 4096, 1 << 16):
+        word = thue_morse(n)
+        other = word.translate(str.maketrans("ab", "ba"))
+        seg = next(W.segments(pa.array([f"x {word} {other} {word}"])))
+        assert seg.hashes[1] == seg.hashes[3] != seg.hashes[2] and seg.others[1] == seg.others[3] != seg.others[2]
