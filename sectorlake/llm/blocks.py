@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from sectorlake.llm.tables import materialize
 
-#: Rows of a chunk; a block holds one chunk, or two that are compared with each other.
-CHUNK = 512
+#: Rows of a chunk: a group is cut into up to SPREAD chunks of SMALL rows, into larger ones of up to LARGE rows beyond that.
+SMALL, LARGE, SPREAD = 128, 512, 64
+#: Groups of so many rows at most are compared many at a time.
+FEW = 48
 
 
 class Forest:
@@ -77,45 +79,95 @@ def map_groups(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(per_partition, schema)
 
 
+def map_runs(df: DataFrame, keys: list[str], function: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Like ``map_groups``, but ``function`` takes many whole groups at once: a table and the rows where groups begin."""
+
+    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def begins(table: pa.Table) -> np.ndarray:
+            new = np.zeros(table.num_rows, bool)
+            new[:1] = True
+            for k in keys:
+                column = table[k].to_numpy()
+                new[1:] |= column[1:] != column[:-1]
+            return np.flatnonzero(new)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            at = begins(table)
+            if len(at) > 1:  # the last group may go on
+                made = function(table.slice(0, at[-1]).combine_chunks(), at[:-1])
+                if made is not None and made.num_rows:
+                    yield made
+                held = table.slice(at[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            made = function(table, begins(table))
+            if made is not None and made.num_rows:
+                yield made
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(per_partition, schema)
+
+
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, members, node, ...) of the buckets of ``rows`` (bucket, node, ...) with two nodes or more.
+    """Rows (bucket, band, node, ...) of the buckets that hold two nodes or more.
+
+    Buckets that hold the same nodes say the same; the one of the lowest band stays.
+    """
+    sizes = rows.groupBy("bucket", "band").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("print"), F.min("node").alias("low"))
+    one = sizes.where("members > 1").groupBy("members", "print", "low").agg(F.min(F.struct("band", "bucket")).alias("kept"))
+    return rows.join(one.select("kept.bucket"), "bucket")
+
+
+def deal_blocks(df: DataFrame, by: str, rest: str | None = None, small: int | None = None, large: int | None = None) -> DataFrame:
+    """Add (chunk, lo, hi): a row goes to the blocks of its chunk with every chunk of its group ``by``.
 
-    Buckets that hold the same nodes say the same; one of them stays.
+    ``rest`` names a boolean column: rows without it need not meet each other, so their chunks meet
+    only those of rows with it, and few of the latter cost few copies, however large the group.
     """
-    sizes = rows.groupBy("bucket").agg(
-        F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("print"), F.min("node").alias("low")
-    )
-    one = sizes.where("members > 1").groupBy("members", "print", "low").agg(F.min("bucket").alias("bucket"))
-    return rows.join(one.select("bucket", "members"), "bucket")
-
-
-def deal_blocks(df: DataFrame, members: str, chunk: int = CHUNK) -> DataFrame:
-    """Add (chunk, lo, hi): each row goes to the blocks of its chunk with every chunk of its group."""
-    chunks = F.expr(f"cast(({members} + {chunk - 1}) div {chunk} as int)")
-    own = df.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-    return own.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).select(
-        *[c for c in own.columns], F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
-    )
-
-
-def sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the two chunks of a block; the same positions twice if it has one chunk."""
-    chunk = group["chunk"].to_numpy()
-    if group["lo"][0].as_py() == group["hi"][0].as_py():
-        every = np.arange(len(chunk))
-        return every, every
-    low = chunk == group["lo"][0].as_py()
-    return np.flatnonzero(low), np.flatnonzero(~low)
-
-
-def edges_batch(nodes: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch | None:
-    if not pairs:
-        return None
-    at = np.array(pairs)
-    return pa.RecordBatch.from_arrays([pa.array(nodes[at[:, 0]]), pa.array(nodes[at[:, 1]])], ["a", "b"])
-
-
-def group_members(components: DataFrame) -> DataFrame:
-    """Add ``members``, the size of each row's component."""
-    sizes = materialize(components.groupBy("component").agg(F.count("*").alias("members")), "component-sizes")
-    return components.join(sizes, "component")
+    own = df.withColumn("_rest", F.col(rest) if rest else F.lit(True))
+    sizes = materialize(own.groupBy(by).agg(F.count("*").alias("_all"), F.count_if("_rest").alias("_open")), "group-sizes")
+    sizes = sizes.where("_open > 0 and _all > 1")
+    rows = F.expr(f"least({large or LARGE}, greatest({small or SMALL}, _all div {SPREAD}))")
+    cut = sizes.select(by, F.ceil(F.col("_open") / rows).cast("int").alias("_k1"), F.ceil((F.col("_all") - F.col("_open")) / rows).cast("int").alias("_k0"))
+    dealt = own.join(cut, by)
+    turn = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
+    dealt = dealt.withColumn("chunk", F.when(F.col("_rest"), turn(F.col("_k1"))).otherwise(F.col("_k1") + turn(F.greatest("_k0", F.lit(1)))))
+    upto = F.when(F.col("_rest"), F.col("_k1") + F.col("_k0") - 1).otherwise(F.col("_k1") - 1)
+    spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), upto)))
+    return spread.select(*df.columns, "chunk", F.least("chunk", "_other").alias("lo"), F.greatest("chunk", "_other").alias("hi"))
+
+
+def meeting(group: pa.Table, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (i, j) that meet in the blocks of ``group``, a bounded number at a time, each pair once."""
+    rows = group.num_rows
+    chunk, single = group["chunk"].to_numpy(), group["lo"].to_numpy() == group["hi"].to_numpy()
+    size = np.diff(np.append(begins, rows))
+    end = np.repeat(begins + size, size)
+    few = np.repeat(size <= FEW, size)
+    at = np.arange(rows)
+    for shift in range(1, min(FEW, int(size.max(initial=0)))):
+        i = at[few & (at + shift < end)]
+        j = i + shift
+        apart = single[i] | (chunk[i] != chunk[j])
+        if apart.any():
+            yield i[apart], j[apart]
+    for begin, n in zip(begins[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        own = np.arange(begin, begin + n)
+        if single[begin]:
+            for k in range(n - 1):
+                yield np.full(n - 1 - k, begin + k), own[k + 1 :]
+        else:
+            low = chunk[own] == chunk[own].min()
+            right = own[~low]
+            for i in own[low].tolist():
+                if len(right):
+                    yield np.full(len(right), i), right
+
+
+def batch_of(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ BANDS, ROWS = 25, 5
 #: Standard errors by which an estimate may lie under the threshold and still be confirmed on full sets.
 SLACK = 4.5
 LAST = (1 << 63) - 1
+#: Rounds in which buckets are confirmed against a leader before what is left meets in blocks.
+LEADER_ROUNDS = 2
 
 _U = np.uint64
 #: For each try, the register that an empty register j looks at.
@@ -129,7 +132,8 @@ def _bands(bands: int, rows: int):
                     key = W.mix(key ^ (sketch[:, b * rows + r] + _U(r << 20)))
                 keys[:, b] = key
             node = np.repeat(batch.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)], ["bucket", "node"])
+            band = np.tile(np.arange(bands, dtype=np.int32), len(sketch))
+            yield blocks.batch_of(bucket=keys.reshape(-1).view(np.int64), band=band, node=node)
 
     return per_batch
 
@@ -145,22 +149,75 @@ def estimate(matches: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (matches - by_chance) / (1 - by_chance)
 
 
-def _candidates(threshold: float):
-    cut = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS)
+def _sketches(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
-    def per_block(group: pa.Table) -> pa.RecordBatch | None:
-        nodes, n = group["node"].to_numpy(), group["n"].to_numpy().astype(float)
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        left, right = blocks.sides(group)
-        forest, pairs = blocks.Forest(len(nodes)), []
-        for i in left:
-            matches = (sketch[right] == sketch[i]).mean(1)
-            for j in right[estimate(matches, np.minimum(n[i], n[right]), np.maximum(n[i], n[right])) >= cut].tolist():
-                if forest.join(int(i), j):
-                    pairs.append((int(i), j))
-        return blocks.edges_batch(nodes, pairs)
 
-    return per_block
+def _close(group: pa.Table, begins: np.ndarray, threshold: float, bands: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unlike label that meet in these blocks, whose estimate reaches the threshold less SLACK standard errors.
+
+    A pair that shares several bands is taken in the lowest of them only.
+    """
+    cut = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS)
+    sketch, n = _sketches(group), group["n"].to_numpy().astype(float)
+    label, band = group["label"].to_numpy(), group["band"].to_numpy()
+    for i, j in blocks.meeting(group, begins):
+        unlike = label[i] != label[j]
+        i, j = i[unlike], j[unlike]
+        if not len(i):
+            continue
+        near = estimate((sketch[i] == sketch[j]).mean(1), np.minimum(n[i], n[j]), np.maximum(n[i], n[j])) >= cut
+        i, j = i[near], j[near]
+        same = (sketch[i, : bands * rows] == sketch[j, : bands * rows]).reshape(len(i), bands, rows).all(2)
+        lowest = same.argmax(1) == band[i] if len(i) else np.zeros(0, bool)
+        if lowest.any():
+            yield i[lowest], j[lowest]
+
+
+def _flag(threshold: float, bands: int, rows: int):
+    """The rows of blocks that have a close pair."""
+
+    def per_run(group: pa.Table, begins: np.ndarray) -> pa.RecordBatch | None:
+        met = np.zeros(group.num_rows, bool)
+        for i, j in _close(group, begins, threshold, bands, rows):
+            met[i] = met[j] = True
+        kept = group.filter(pa.array(met)).select(["bucket", "lo", "hi", "chunk", "band", "node", "label"]).combine_chunks()
+        return kept.to_batches()[0] if kept.num_rows else None
+
+    return per_run
+
+
+def _sets(texts: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row), sorted by row, of the distinct shingles of each text."""
+    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for words in W.segments(texts, lower=True):
+        own, doc = shingles(words, k)
+        hashes.append(own)
+        owners.append(words.lo + doc)
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
+def _star(k: int, threshold: Fraction):
+    """Confirm members of each (leader, part) against the leader's full set."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def per_run(group: pa.Table, begins: np.ndarray) -> pa.RecordBatch | None:
+        rows = group.num_rows
+        node, leader = group["node"].to_numpy(), group["leader"].to_numpy()
+        which = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, rows)))
+        leads = node == leader
+        hashes, owner = _sets(group["text"], k)
+        size = np.bincount(owner, minlength=rows)
+        own = W.mix(hashes ^ W.mix(which[owner].astype(np.uint64)))
+        theirs = ~leads[owner]
+        both = np.bincount(owner[theirs][np.isin(own[theirs], own[~theirs])], minlength=rows)
+        of_leader = np.zeros(len(begins), np.int64)
+        of_leader[which[leads]] = size[leads]
+        union = size + of_leader[which] - both
+        linked = ~leads & (both * den >= num * union)
+        return blocks.batch_of(a=node[linked], b=leader[linked])
+
+    return per_run
 
 
 #: Hashes that are compared at once when a large block is confirmed by matrix products.
@@ -186,53 +243,59 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return out
 
 
-def _confirm(k: int, threshold: Fraction):
+def _confirm(k: int, threshold: Fraction, bands: int, rows: int):
+    """Confirm the close pairs of a block on full sets, as far as they aren't connected yet."""
     num, den = threshold.numerator, threshold.denominator
 
     def per_block(group: pa.Table) -> pa.RecordBatch | None:
-        sets: list[np.ndarray] = []
-        for words in W.segments(group["text"], lower=True):
-            hashes, doc = shingles(words, k)
-            sets += np.split(hashes, np.searchsorted(doc, np.arange(1, len(words.offsets) - 1)))
-        nodes = group["node"].to_numpy()
+        group = group.combine_chunks()
+        pairs = list(_close(group, np.zeros(1, np.int64), float(threshold), bands, rows))
+        if not pairs:
+            return None
+        hashes, owner = _sets(group["text"], k)
+        sets = np.split(hashes, np.searchsorted(owner, np.arange(1, group.num_rows)))
         size = np.array([len(s) for s in sets])
-        left, right = blocks.sides(group)
-        forest, pairs = blocks.Forest(len(sets)), []
-
-        def linked(i: int, j: int) -> bool:
-            if num * max(size[i], size[j]) > den * min(size[i], size[j]):
-                return False
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            return both * den >= num * (size[i] + size[j] - both)
-
-        def meet(i: int, j: int) -> None:
-            if i != j and forest.find(i) != forest.find(j) and linked(i, j) and forest.join(i, j):
-                pairs.append((i, j))
-
-        left, right = left.tolist(), right.tolist()
-        for pivot in left[:3]:  # most of a dense group needs no more than this
-            for j in right:
-                meet(pivot, j)
-        for pivot in right[:3]:
-            for i in left:
-                meet(i, pivot)
-        roots_l, roots_r = (np.array([forest.find(i) for i in x]) for x in (left, right))
-        open_pairs = sum(int((roots_r != r).sum()) for r in roots_l)
-        if open_pairs > 4000:
-            both = _intersections(sets, np.array(left), np.array(right))
-            union = size[left][:, None] + size[right][None, :] - both
-            for i, j in np.argwhere(both * den >= num * union).tolist():
-                if left[i] != right[j] and forest.join(left[i], right[j]):
-                    pairs.append((left[i], right[j]))
-        elif open_pairs:
-            for i in left:
-                for j in right:
-                    meet(i, j)
-        return blocks.edges_batch(nodes, pairs)
+        nodes, labels = group["node"].to_numpy(), group["label"].to_numpy()
+        forest, found = blocks.Forest(len(sets)), []
+        first: dict[int, int] = {}
+        for i, x in enumerate(labels.tolist()):  # equal labels are connected already
+            forest.join(first.setdefault(x, i), i)
+        many = sum(len(i) for i, _ in pairs) > 4000
+        shared = _intersections(sets, np.arange(len(sets)), np.arange(len(sets))) if many else None
+        for i, j in ((int(x), int(y)) for i, j in pairs for x, y in zip(i, j, strict=True)):
+            if forest.find(i) == forest.find(j) or num * max(size[i], size[j]) > den * min(size[i], size[j]):
+                continue
+            both = int(shared[i, j]) if many else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * den >= num * (size[i] + size[j] - both) and forest.join(i, j):
+                found.append((i, j))
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return blocks.batch_of(a=nodes[at[:, 0]], b=nodes[at[:, 1]])
 
     return per_block
 
 
+def _to_leaders(rows: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """(node, leader): each node with the lowest of its buckets' leaders that has another label.
+
+    A bucket's leader is its lowest node by a hash that changes with ``turn``.
+    """
+    order = F.xxhash64(F.lit(turn), F.col("node"))
+    own = F.struct(order.alias("order"), "node", "label")
+    named = rows.join(labels, "node") if labels is not None else rows.withColumn("label", F.col("node"))
+    leaders = named.groupBy("bucket").agg(F.min(own).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "lead")
+    met = named.join(leaders, "bucket").where("label != lead.label")
+    return met.groupBy("node").agg(F.min("lead").alias("lead")).select("node", F.col("lead.node").alias("leader"))
+
+
+def _stars(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: Fraction) -> DataFrame:
+    """(a, b): the (node, leader) pairs that full sets confirm; a leader's text goes to each part of its members."""
+    sizes = pairs.groupBy("leader").agg(F.count("*").alias("members"))
+    part = F.pmod(F.xxhash64("node"), F.expr(f"(members + {blocks.SMALL - 1}) div {blocks.SMALL}")).cast("int")
+    dealt = materialize(pairs.join(sizes, "leader").select("leader", part.alias("part"), "node"), "leader-parts")
+    heads = dealt.select("leader", "part").distinct().withColumn("node", F.col("leader"))
+    return blocks.map_runs(dealt.unionByName(heads).join(texts, "node"), ["leader", "part"], _star(shingle, threshold), "a bigint, b bigint")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_key, doc_id, text, h1, h2): null doc_ids come last; a row is told from others by its key and its text's hashes."""
     text = F.coalesce("text", F.lit(""))
@@ -257,17 +320,32 @@ def _found(docs: DataFrame, shingle: int, threshold: Fraction, bands: int, rows:
     )
     # Below this many shingles only equal sets reach the threshold.
     least = -(-threshold.numerator // (threshold.denominator - threshold.numerator)) if threshold < 1 else LAST
-    banded = classes.where(F.col("n") >= least).select("node", "sketch").mapInArrow(_bands(bands, rows), "bucket bigint, node bigint")
-    met = blocks.shared_buckets(banded).join(classes.select("node", "n", "sketch"), "node")
-    met = blocks.deal_blocks(met, "members").select("bucket", "lo", "hi", "chunk", "node", "n", "sketch")
-    near = blocks.map_groups(met, ["bucket", "lo", "hi"], _candidates(share), "a bigint, b bigint")
-    groups = blocks.group_members(connected_components(near, "a", "b"))
-    members = blocks.deal_blocks(groups, "members").select("component", "lo", "hi", "chunk", "node")
+    banded = classes.where(F.col("n") >= least).select("node", "sketch").mapInArrow(_bands(bands, rows), "bucket bigint, band int, node bigint")
+    met = materialize(blocks.shared_buckets(banded), "shared-bands")
     # One text stands for a class; rows that share its key and text hold the same.
-    chosen = classes.join(groups.select("node"), "node", "left_semi").select("node", "first.doc_key", "first.h1", "first.h2")
-    texts = keyed.join(chosen, ["doc_key", "h1", "h2"]).groupBy("node").agg(F.first("text").alias("text"))
-    sure = blocks.map_groups(members.join(texts, "node"), ["component", "lo", "hi"], _confirm(shingle, threshold), "a bigint, b bigint")
-    roots = connected_components(sure, "a", "b")
+    chosen = classes.join(met.select("node").distinct(), "node", "left_semi").select("node", "first.doc_key", "first.h1", "first.h2")
+    texts = materialize(keyed.join(chosen, ["doc_key", "h1", "h2"]).groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+
+    links, labels = [], None
+    for turn in range(LEADER_ROUNDS):
+        pairs = materialize(_to_leaders(met, labels, turn), "to-leaders")
+        found = materialize(_stars(pairs, texts, shingle, threshold), "leader-links")
+        links.append(found)
+        have = labels if labels is not None else texts.select("node", F.col("node").alias("label"))
+        # A label follows its leader's: equal labels are always connected, connected nodes may have several.
+        onto = have.join(found.select(F.col("a").alias("node"), "b"), "node", "left").withColumn("to", F.coalesce("b", "label")).select("node", "to")
+        labels = materialize(onto.join(onto.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "label"), "labels")
+    named = met.join(labels, "node")
+    counts = named.groupBy("bucket", "label").agg(F.count("*").alias("members"))
+    open_ = counts.groupBy("bucket").agg(F.max_by("label", F.struct("members", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
+    rest = materialize(named.join(open_.select("bucket", "major"), "bucket").withColumn("rest", F.col("label") != F.col("major")).select("bucket", "band", "node", "label", "rest"), "open-buckets")
+    dealt = blocks.deal_blocks(rest, "bucket", "rest").drop("rest")
+    sketches_of = classes.select("node", "n", "sketch")
+    key = ["bucket", "lo", "hi"]
+    flagged = blocks.map_runs(dealt.join(sketches_of, "node"), key, _flag(share, bands, rows), "bucket bigint, lo int, hi int, chunk int, band int, node bigint, label bigint")
+    flagged = materialize(flagged, "close-rows")
+    last = blocks.map_groups(flagged.join(sketches_of, "node").join(texts, "node"), key, _confirm(shingle, threshold, bands, rows), "a bigint, b bigint")
+    roots = connected_components(reduce(DataFrame.unionByName, [*links, last]), "a", "b")
 
     placed = classes.select("n", "d1", "d2", "node", "first").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = placed.groupBy("component").agg(F.min("first").alias("first"))
@@ -287,10 +365,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction
     nothing else has a null component_id, and one of its rows is kept.  An empty table gives no rows;
     other columns are ignored.
 
-    Sketches are banded; buckets are compared in blocks of registers, and pairs whose corrected
-    estimate lies no further than SLACK standard errors under the threshold bind candidate groups.
-    Within such a group every pair is confirmed on full sets, again in blocks, so neither a bucket nor
-    a group is ever gathered or written out as pairs.
+    Sketches are banded.  In each bucket members are first confirmed against one of them, the leader,
+    so a group of near copies costs a comparison a text.  Buckets that still hold several labels are compared
+    in blocks of registers, texts outside a bucket's main label with all; those with a corrected
+    estimate no further than SLACK standard errors under the threshold are confirmed on full sets, and
+    only texts of such pairs travel.  Neither a bucket nor a group is ever gathered or written as pairs.
     """
     component = F.col("first.doc_key")
     return _found(docs, shingle, threshold, bands, rows).select(

@@ -53,13 +53,39 @@ def test_rotation_balances_and_keeps_neighbours():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 32)) @ rng.normal(size=(32, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    model = embedding_itq.learn_rotation(x, 32)
-    codes = embedding_itq.encode(x, model)
-    ones = [(codes >> np.uint64(b) & np.uint64(1)).mean() for b in range(32)]
-    assert 0.35 < min(ones) and max(ones) < 0.65
-    near = embedding_itq.encode(x + rng.normal(size=x.shape) * 0.02, model)
+    index = embedding_itq.build_index(x, len(x))
+    codes = index.encode(x)
+    ones = [(codes[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)).mean() for b in range(128)]
+    assert 0.3 < min(ones) and max(ones) < 0.7
+    near = index.encode(x + rng.normal(size=x.shape) * 0.02)
     assert np.bitwise_count(codes ^ near).mean() < 0.3 * np.bitwise_count(codes ^ codes[::-1]).mean()
 
 
+def test_recall_of_isolated_pairs_by_length_mean_and_number():
+    """Pairs at cosine 0.95 to 0.96 that no neighbour helps to find, with keys for ever more vectors."""
+    rng = np.random.default_rng(4)
+    for d, mean, number in [(3, 0, 1000), (16, 0, 10**5), (64, 0, 10**7), (64, 1.3, 10**6), (96, 5.0, 10**6)]:
+        x = rng.normal(size=(3000, d)) / np.sqrt(d)
+        x[:, 0] += mean
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        index = embedding_itq.build_index(x[:2000], number)
+        away = rng.normal(size=(1000, d))
+        away -= (away * x[2000:]).sum(1, keepdims=True) * x[2000:]
+        away /= np.linalg.norm(away, axis=1, keepdims=True)
+        cos = rng.uniform(0.95, 0.96, (1000, 1))
+        differ = index.encode(x[2000:]) ^ index.encode(cos * x[2000:] + np.sqrt(1 - cos**2) * away)
+        met = ((differ[:, None, :] & index.tables[None]) == 0).all(2).any(1) & (np.bitwise_count(differ).sum(1) <= index.radius)
+        assert met.mean() >= 0.95, (d, mean, number, met.mean())
+        assert len(index.tables) < 200
+
+
+def test_exactly_at_the_threshold_and_repeated_ids(spark):
+    rows = [(1, [3.0, 4.0]), (2, [4.0, 3.0]), (3, [1.0, 0.0]), (3, [2.0, 0.0]), (None, [1.0, 0.0]), (4, [24.0, 7.0])]
+    docs = spark.createDataFrame([(i, v, 1, 2, "c", 3) for i, v in rows], COLUMNS)
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in embedding_itq.embedding_duplicates(docs, threshold=0.96).collect())
+    # 0.96 between 1 and 2, and between 3 and 4; 4 and 2: 117 / 125
+    assert got == [("1", 1, "1"), ("2", 1, "1"), ("3", 3, "3"), ("3", 3, "3"), ("4", 3, "3"), ("None", 3, "3")]
+
+
 def test_empty(spark):
     assert embedding_itq.embedding_duplicates(spark.createDataFrame([], COLUMNS)).count() == 0

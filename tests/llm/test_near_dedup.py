@@ -1,8 +1,9 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sectorlake.llm import blocks, near_dedup
@@ -46,7 +47,8 @@ def brute(rows, k, threshold):
 
 @pytest.mark.parametrize(("k", "threshold"), [(3, Fraction(85, 100)), (5, Fraction(8, 10))])
 def test_against_brute_force(spark, monkeypatch, k, threshold):
-    monkeypatch.setattr(near_dedup.blocks, "CHUNK", 8)
+    for name in ("SMALL", "LARGE", "FEW"):
+        monkeypatch.setattr(near_dedup.blocks, name, 8)
     rng = random.Random(k)
     rows = [r for r in odd_texts() if r[0] is not None]
     for g in range(6):  # groups of copies with ever more edits, on either side of the threshold
@@ -132,14 +134,33 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
 
 
-def test_every_pair_of_a_group_meets_once(spark):
-    rows = spark.createDataFrame([(1, n, 23) for n in range(23)], "g bigint, node bigint, members bigint")
-    dealt = blocks.deal_blocks(rows, "members", chunk=5).collect()
-    by_block = defaultdict(list)
-    for r in dealt:
-        by_block[r["lo"], r["hi"]].append((r["chunk"], r["node"]))
-    met = []
-    for (lo, hi), own in by_block.items():
-        assert len(own) < 25
-        met += [tuple(sorted((a, b))) for ca, a in own for cb, b in own if a < b and (lo == hi or ca != cb)]
-    assert sorted(met) == [(a, b) for a in range(23) for b in range(a + 1, 23)]
+@pytest.mark.parametrize("few", [2, 48])
+def test_every_pair_of_a_group_meets_once(spark, monkeypatch, few):
+    monkeypatch.setattr(blocks, "FEW", few)
+    rows = spark.createDataFrame([(g, n, n % 4 == 0) for g, size in ((1, 23), (2, 1), (3, 9), (4, 130)) for n in range(size)], "g bigint, node bigint, open boolean")
+    for rest in (None, "open"):
+        dealt = blocks.deal_blocks(rows, "g", rest, small=5, large=5).collect()
+        assert max(Counter((r["g"], r["lo"], r["hi"]) for r in dealt).values()) < 40
+        by_block = defaultdict(list)
+        for r in dealt:
+            by_block[r["g"], r["lo"], r["hi"]].append((r["chunk"], r["node"]))
+        met = []
+        keys = sorted(by_block)
+        flat = [(k, c, n) for k in keys for c, n in by_block[k]]
+        table = pa.table({"chunk": [c for _, c, _ in flat], "lo": [k[1] for k, _, _ in flat], "hi": [k[2] for k, _, _ in flat]})
+        begins = np.array([x for x in range(len(flat)) if x == 0 or flat[x][0] != flat[x - 1][0]])
+        for i, j in blocks.meeting(table, begins):
+            met += [(flat[a][0][0], *sorted((flat[a][2], flat[b][2]))) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        want = [(g, a, b) for g, size in ((1, 23), (3, 9), (4, 130)) for b in range(size) for a in range(b) if rest is None or a % 4 == 0 or b % 4 == 0]
+        assert sorted(met) == sorted(want)
+
+
+def test_a_large_group_of_near_copies_and_texts_between_the_leaders(spark):
+    base = words(77, 200)
+    rows = [row(i, " ".join([*base[: i % 180], f"edit{i}", *base[i % 180 :]])) for i in range(600)]  # all alike
+    chain = words(78, 100)
+    for i in range(40):  # each like the next, ends unlike
+        chain = [*chain[3:], *words(900 + i, 3)]
+        rows.append(row(5000 + i, " ".join(chain)))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {got[i] for i in range(600)} == {0} and got == brute([(r[0], r[1]) for r in rows if r[0] >= 5000] + [(0, rows[0][1])], 5, Fraction(8, 10)) | {i: 0 for i in range(600)}
