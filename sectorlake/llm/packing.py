@@ -110,7 +110,7 @@ class UnitTokenizer:
             base = np.cumsum(counts + last + 1) - (counts + last + 1)
             at = base[doc] + np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
             begins, stops = np.r_[begin, tail[tailed]], np.r_[stop, offsets[1:][tailed]]
-            _, one, which = np.unique(W._spans(W._BYTE[data], begins, stops), return_index=True, return_inverse=True)
+            _, one, which = np.unique(W.byte_spans(data, begins, stops), return_index=True, return_inverse=True)
             # Equal hashes are not taken for equal bytes: a unit that differs from its like stands for itself.
             differs = np.flatnonzero(~same_bytes(data, begins, stops, one[which]))
             which[differs] = len(one) + np.arange(len(differs))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once (or one longer text).
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 19
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -34,26 +34,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-#: Word hashes are values of polynomials modulo this prime at a fixed random point: two different words agree
+#: Hashes are values of polynomials modulo this prime at a fixed random point: two different words agree
 #: with a probability of about their length over 2**61.  A second point gives pairs of 122 bits.
 PRIME = (1 << 61) - 1
 # The two points, drawn once.
 POINTS = (0x0D93E4A1B7C26F35, 0x15F2C08B6A4D7E99)
 _P, _M29, _M30, _M31, _M32 = (_U((1 << k) - 1) for k in (61, 29, 30, 31, 32))
-#: Bytes count as 1 to 256.
-_BYTE = np.arange(1, 257, dtype=np.uint16)
-#: Longer spans of bytes are summed in reduced products.
-LONG_SPAN = 1 << 22
+#: Bytes of a coefficient of a word's polynomial, and masks of the lowest so many bytes.
+_PACK = 7
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(_PACK + 1)], np.uint64)
+#: Longer words are summed one by one.
+LONG_WORD = 64 * _PACK
 _POWERS: dict[int, list[np.ndarray]] = {}
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
-    x = (x & _P) + (x >> _U(61))
+    """The same modulo PRIME, at most 7 over it."""
+    return (x & _P) + (x >> _U(61))
+
+
+def _exact(x: np.ndarray) -> np.ndarray:
     return np.where(x >= _P, x - _P, x)
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products modulo PRIME of numbers under 2**61, from halves of 30 and 31 bits."""
+    """Products, reduced, of reduced numbers, from halves of 30 and 31 bits."""
     a1, a0, b1, b0 = a >> _U(31), a & _M31, b >> _U(31), b & _M31
     middle = a1 * b0 + a0 * b1
     return _reduced(((a1 * b1) << _U(1)) + (middle >> _U(30)) + ((middle & _M30) << _U(31)) + a0 * b0)
@@ -78,30 +83,44 @@ def _powers(n: int, point: int) -> list[np.ndarray]:
 
 
 class Prefixes:
-    """Prefix sums over ``values``, from which any span's hash follows, equal for equal content wherever it stands."""
+    """Prefix sums over 64-bit ``values``, from which any span's hash follows, equal for equal content wherever it stands."""
 
-    def __init__(self, values: np.ndarray, point: int = 0, longest: int = 0):
+    def __init__(self, values: np.ndarray, point: int = 0):
         power, self.inverse = _powers(len(values), point)
-        power = power[: len(values)]
+        terms = _times(_reduced(values), power[: len(values)])
         self.low, self.high = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint64)
-        if values.dtype == np.uint16 and longest <= LONG_SPAN:
-            low, high = values * (power & _M32), values * (power >> _U(32))
-        else:
-            whole = _times(_reduced(values.astype(np.uint64)), power)
-            low, high = whole & _M32, whole >> _U(32)
-        np.cumsum(low, out=self.low[1:])
-        np.cumsum(high, out=self.high[1:])
+        np.cumsum(terms & _M32, out=self.low[1:])
+        np.cumsum(terms >> _U(32), out=self.high[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of values[start:end]; sums may wrap, but what lies between two of them does not."""
+        """Hashes of values[start:end]."""
         low, high = _reduced(self.low[ends] - self.low[starts]), _reduced(self.high[ends] - self.high[starts])
         total = _reduced(low + (high >> _U(29)) + ((high & _M29) << _U(32)))
-        return mix(_times(total, self.inverse[starts]) + (ends - starts).astype(np.uint64))
+        return mix(_exact(_times(total, self.inverse[starts])) + (ends - starts).astype(np.uint64))
 
 
 def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, point: int = 0) -> np.ndarray:
-    longest = int((ends - starts).max()) if len(starts) else 0
-    return Prefixes(values, point, longest).spans(starts, ends)
+    return Prefixes(values, point).spans(starts, ends)
+
+
+def byte_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, point: int = 0) -> np.ndarray:
+    """Hashes of spans of bytes: polynomials with the length first and then seven bytes a coefficient."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each position on
+    size = ends - starts
+    out = size.astype(np.uint64)
+    base = np.full(1, POINTS[point], np.uint64)
+    open_, done = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(open_):
+        left = size[open_] - done
+        own = at[starts[open_] + done] & _LOWEST[np.minimum(left, _PACK)]
+        out[open_] = _reduced(_times(out[open_], base) + own)
+        open_, done = open_[left > _PACK], done + _PACK
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        places = np.arange(starts[k], ends[k], _PACK)
+        own = at[places] & _LOWEST[np.minimum(ends[k] - places, _PACK)]
+        out[k] = _reduced(Prefixes(own, point).spans(np.array([0]), np.array([len(own)]))[0] + out[k])
+    return mix(_exact(out))
 
 
 @dataclass
@@ -123,7 +142,7 @@ class Words:
     @cached_property
     def others(self) -> np.ndarray:
         """The words' hashes at the second point."""
-        return _spans(_BYTE[self.data], self.starts, self.ends, 1)
+        return byte_spans(self.data, self.starts, self.ends, 1)
 
     def documents(self) -> np.ndarray:
         """Document (within the segment) of each word."""
@@ -182,7 +201,7 @@ def _words(data: np.ndarray, offsets: np.ndarray, lower: bool, lo: int, separato
     after[:-1] = inner[1:]
     starts = np.flatnonzero(inner & (~before | border[:-1]))
     ends = np.flatnonzero(inner & (~after | border[1:])) + 1
-    hashes = _spans(_BYTE[data], starts, ends) if hashed else np.zeros(0, np.uint64)
+    hashes = byte_spans(data, starts, ends) if hashed else np.zeros(0, np.uint64)
     return Words(data, offsets, starts, ends, hashes, np.searchsorted(starts, offsets), lo)
 
 

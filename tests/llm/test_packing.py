@@ -61,7 +61,7 @@ def test_equal_hashes_are_not_taken_for_equal_units(monkeypatch):
     texts = ["x " + word + " " + word.translate(str.maketrans("ab", "ba")), "one two three one four", "", "tail  "]
     for weak in (False, True):
         if weak:
-            monkeypatch.setattr(packing.W, "_spans", lambda values, starts, ends: (ends - starts).astype(np.uint64))
+            monkeypatch.setattr(packing.W, "byte_spans", lambda values, starts, ends: (ends - starts).astype(np.uint64))
         got = []
         for _, n, ids in packing.UnitTokenizer(path).encode(pa.array(texts), 0):
             got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]

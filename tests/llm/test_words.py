@@ -60,12 +60,19 @@ def test_hashes_are_polynomials_modulo_a_prime():
         assert W._spans(values, at[:, 0], at[:, 1], point).tolist() == W.mix(np.array(want, np.uint64)).tolist()
 
 
-def test_long_spans_of_bytes_are_summed_the_same(monkeypatch):
-    data = W._BYTE[np.random.default_rng(1).integers(0, 256, 5000)]
-    ends = np.array([5000, 4000, 10])
-    short = W._spans(data, np.array([0, 7, 3]), ends).tolist()
-    monkeypatch.setattr(W, "LONG_SPAN", 100)
-    assert W._spans(data, np.array([0, 7, 3]), ends).tolist() == short
+def test_byte_spans_are_polynomials_too():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    starts = np.r_[rng.integers(0, 2400, 300), 5, 0, 3000]
+    ends = np.r_[starts[:300] + rng.integers(0, 40, 300), 5 + W.LONG_WORD, W.LONG_WORD, 3000]
+    for point in (0, 1):
+        want = []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            raw, value = data[a:b].tobytes(), b - a
+            for k in range(0, len(raw), 7):
+                value = (value * W.POINTS[point] + int.from_bytes(raw[k : k + 7], "little")) % W.PRIME
+            want.append(value)
+        assert W.byte_spans(data, starts, ends, point).tolist() == W.mix(np.array(want, np.uint64)).tolist()
 
 
 def test_words_that_collide_modulo_powers_of_two_are_told_apart():
