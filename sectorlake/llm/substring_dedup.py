@@ -3,17 +3,19 @@
 A window is WINDOW consecutive words of one document.  A word goes if a window covers it whose word
 sequence also starts earlier: in a document of smaller doc_id, or earlier in the same one.
 
-1. Each window picks the smallest hash among its PHRASE-word phrases (winnowing), so equal windows
+1. Documents are written once with a row number and dealt to shards of bounded size by it, so that no id
+   and no text gathers in one of them.  A document that is a whole copy of one before it is decided by a
+   join, without its text.
+2. Each window picks the smallest hash among its PHRASE-word phrases (winnowing), so equal windows
    pick equal phrases.  Picked phrases are counted over the corpus; those met twice are recurring.
-2. Documents are dealt to shards of bounded size by doc_id, with the recurring phrases that their
-   own shard picked.  A shard compiles its phrases into an Aho-Corasick automaton over word codes
-   and streams its documents that hold any through it; every window around an occurrence is a candidate.
-3. Each shard reports the first place of each candidate window; the first over all shards keeps it.
-4. Documents with candidates meet the windows that their shard lost, and words are cut.
-
-A document that is a whole copy of a smaller one is decided without windows, so large groups of
-copies cost a row each.  No step gathers a document group, a phrase's occurrences or a dictionary in
-one place: automata are bounded by their shard's own text.
+3. Each shard compiles the recurring phrases that its documents picked, as the corpus' count confirms them,
+   into an Aho-Corasick automaton over word codes and streams all its documents through it; every window
+   around an occurrence is a candidate.
+4. Each shard reports the first place of each candidate window, by 122 bits; the first over all shards keeps it.
+5. Documents with candidates meet the windows that their shard lost, and words are cut.
+
+No step gathers a document group, a phrase's occurrences or a dictionary in one place: an automaton is
+bounded by its shard's own text, and a window has one row a shard, which is aggregated, never listed.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from sectorlake.llm import words as W
-from sectorlake.llm.tables import materialize
+from sectorlake.llm.tables import drop, materialize
 
 WINDOW = 20
 PHRASE = 10
@@ -40,12 +42,12 @@ SHARD_BYTES = 4 << 20
 LAST = (1 << 63) - 1
 
 
-def _picked(words: W.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of the phrase places that some window picks."""
+def _picked(words: W.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, document) of the phrase places that some window picks."""
     hashes, at, doc = words.windows(phrase)
     span = window - phrase + 1
     if len(hashes) < span:
-        return hashes[:0], doc[:0]
+        return hashes[:0], at[:0], doc[:0]
     lowest = W.sliding_minimum(hashes, span)
     inside = doc[: len(lowest)] == doc[span - 1 :]
     # A place is picked if its hash is the minimum of some window over it.
@@ -53,15 +55,27 @@ def _picked(words: W.Words, window: int, phrase: int) -> tuple[np.ndarray, np.nd
     best[span - 1 : span - 1 + len(lowest)] = np.where(inside, lowest, 0)
     highest = ~W.sliding_minimum(~best, span)
     chosen = hashes == highest[: len(hashes)]
-    return hashes[chosen], doc[chosen]
+    return hashes[chosen], at[chosen], doc[chosen]
+
+
+#: A word is LETTERS letters of six bits of its hash: nodes of an automaton have few branches, and two
+#: phrases of ten words agree by chance once in 2**240.
+LETTERS = 4
+
+
+def _letters(hashes: np.ndarray) -> bytes:
+    bits = hashes[:, None] >> (np.uint64(6) * np.arange(LETTERS, dtype=np.uint64))
+    return ((bits & np.uint64(63)).astype(np.uint8) + np.uint8(48)).tobytes()
 
 
 def _phrases(window: int, phrase: int):
+    """(phrase, shard, letters, n): phrases that some window of the shard's documents picks, and at how many places."""
+
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard = batch.column(0).to_numpy()
             for words in W.segments(batch.column(1)):
-                hashes, doc = _picked(words, window, phrase)
+                hashes, at, doc = _picked(words, window, phrase)
                 own = shard[words.lo + doc]
                 order = np.lexsort((own, hashes))
                 h, s = hashes[order], own[order]
@@ -69,21 +83,15 @@ def _phrases(window: int, phrase: int):
                 new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(s[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["phrase", "shard", "n"])
+                letters, size = _letters(words.hashes), LETTERS * phrase
+                spelled = [letters[p : p + size] for p in (LETTERS * at[order][first]).tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[first].view(np.int64)), pa.array(s[first].astype(np.int32)), pa.array(spelled, pa.binary()), pa.array(n.astype(np.int64))], ["phrase", "shard", "letters", "n"]
+                )
 
     return per_batch
 
 
-#: A word is LETTERS letters of six bits of its hash: nodes of an automaton have few branches, and a
-#: place that agrees by chance or out of step is dropped by the windows' own hashes.
-LETTERS = 4
-
-
-def _letters(hashes: np.ndarray) -> str:
-    bits = hashes[:, None] >> (np.uint64(6) * np.arange(LETTERS, dtype=np.uint64))
-    return ((bits & np.uint64(63)).astype(np.uint8) + np.uint8(48)).tobytes().decode("latin-1")
-
-
 _DONE = "text string, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
@@ -116,73 +124,68 @@ def _ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_key", "ascending"), ("h1", "ascending"), ("h2", "ascending")]).combine_chunks()
 
 
+def _firsts(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Positions, in order, at which a pair of hashes stands for the first time."""
+    order = np.lexsort((np.arange(len(h1)), h2, h1))
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    return np.sort(order[new])
+
+
 def _locate(window: int, phrase: int, with_text: bool, schema: pa.Schema):
-    """Per shard: the documents, and the recurring phrases and whole copies that concern them."""
+    """Per shard: the documents, and the recurring phrases (kind 0) and whole copies (kind 1) that concern them."""
 
     def per_shard(docs: pa.Table, side: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
         docs = _ordered(docs)
         is_copy = side["kind"].to_numpy() == 1
-        a, b, c = (side[x].to_numpy() for x in ("a", "b", "c"))
-        copies = set(zip(a[is_copy].tolist(), b[is_copy].tolist(), c[is_copy].tolist(), strict=True))
-        wanted = np.sort(a[~is_copy].astype(np.int64).view(np.uint64))
-        keys = list(zip(docs["doc_key"].to_pylist(), docs["h1"].to_pylist(), docs["h2"].to_pylist(), strict=True))
+        copy = np.isin(docs["row"].to_numpy(), side["row"].to_numpy()[is_copy])
         automaton = ahocorasick.Automaton()
-        parts = list(W.segments(docs["text"]))
-        holds = []
-        for words in parts:
-            hashes, at, doc = words.windows(phrase)
-            found = np.isin(hashes, wanted)
-            holds.append(np.bincount(doc[found], minlength=len(words.counts)) > 0)
-            letters = _letters(words.hashes)
-            _, one = np.unique(hashes[found], return_index=True)
-            for p in (LETTERS * at[found][one]).tolist():
-                automaton.add_word(letters[p : p + LETTERS * phrase], 1)
+        for letters in side["letters"].filter(pa.array(~is_copy)).to_pylist():
+            automaton.add_word(letters.decode("latin-1"), 1)
         if len(automaton):
             automaton.make_automaton()
-        rows, met, found_hash, found_row, found_start = [], set(), [], [], []
-        for words, some in zip(parts, holds, strict=True):
-            letters = _letters(words.hashes)
-            window_hash, window_at, _ = words.windows(window)
+        rows, found_one, found_two, found_row, found_start = [], [], [], [], []
+        for words in W.segments(docs["text"]):
+            letters = _letters(words.hashes).decode("latin-1")
+            one, window_at, _ = words.windows(window)
+            two = None
             for d, n in enumerate(words.counts.tolist()):
-                row = words.lo + d
-                key = keys[row]
-                first_word = int(words.first[d])
-                whole = key in copies or key in met
-                met.add(key)
-                if n >= window and whole:
-                    text, digest = ("" if with_text else None), hashlib.sha256(b"").hexdigest()
-                    rows.append((text, n, n, digest))
+                row, first_word = words.lo + d, int(words.first[d])
+                if n >= window and copy[row]:
+                    rows.append(("" if with_text else None, n, n, hashlib.sha256(b"").hexdigest()))
                     continue
-                if n >= window and some[d]:
+                ends = np.zeros(0, np.int64)
+                if n >= window and len(automaton):
                     stretch = letters[LETTERS * first_word : LETTERS * (first_word + n)]
-                    ends = np.array([e for e, _ in automaton.iter(stretch)]) + 1
-                    p = ends[ends % LETTERS == 0] // LETTERS - phrase
+                    ends = np.array([e for e, _ in automaton.iter(stretch)], np.int64) + 1
+                    ends = ends[ends % LETTERS == 0]  # in step with the words
+                if len(ends):
+                    p = ends // LETTERS - phrase
                     delta = np.zeros(n + 2, np.int64)
                     np.add.at(delta, np.maximum(p - (window - phrase), 0), 1)
                     np.add.at(delta, p + 1, -1)
                     candidate = np.flatnonzero(np.cumsum(delta)[: n - window + 1] > 0)
-                    found_hash.append(window_hash[np.searchsorted(window_at, first_word) + candidate])
+                    if two is None:
+                        two = words.windows(window, 1)[0]
+                    at = np.searchsorted(window_at, first_word) + candidate
+                    found_one.append(one[at])
+                    found_two.append(two[at])
                     found_row.append(np.full(len(candidate), len(rows)))
                     found_start.append(candidate)
                     # the text is carried on, for the cut
-                    text = words.data[words.offsets[d] : words.offsets[d + 1]].tobytes().decode()
-                    rows.append((text, n, None, None))
+                    rows.append((words.data[words.offsets[d] : words.offsets[d + 1]].tobytes().decode(), n, None, None))
                     continue
                 text, digest = _kept(words, d, None, with_text)
                 rows.append((text, n, 0, digest))
         # The first place of each candidate window in this shard, listed with its document.
-        every = np.concatenate(found_hash) if found_hash else np.zeros(0, np.uint64)
-        _, one = np.unique(every, return_index=True)
-        one.sort()
-        owner = np.concatenate(found_row)[one] if found_row else one
-        start = np.concatenate(found_start)[one] if found_start else one
-        offsets = pa.array(np.searchsorted(owner, np.arange(len(rows) + 1)).astype(np.int32))
-        lists = [
-            pa.ListArray.from_arrays(offsets, pa.array(every[one].view(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32))),
-        ]
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        h1, h2, owner, start = join(found_one, np.uint64), join(found_two, np.uint64), join(found_row, np.int64), join(found_start, np.int64)
+        at = _firsts(h1, h2)
+        offsets = pa.array(np.searchsorted(owner[at], np.arange(len(rows) + 1)).astype(np.int32))
+        own = [h1[at].view(np.int64), h2[at].view(np.int64), start[at].astype(np.int32)]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in own]
         return _with(docs, [*zip(*rows, strict=True), *lists], schema)
 
     return per_shard
@@ -195,13 +198,15 @@ def _cut(window: int, with_text: bool, schema: pa.Schema):
         if not docs.num_rows:
             return schema.empty_table()
         docs = _ordered(docs)
-        elsewhere = np.sort(lost["hash"].to_numpy().astype(np.int64).view(np.uint64))
+        away = [lost[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("w1", "w2")]
         parts = list(W.segments(docs["text"]))
-        every = [p.windows(window) for p in parts]
-        hashes = np.concatenate([h for h, _, _ in every]) if every else np.zeros(0, np.uint64)
-        first = np.zeros(len(hashes), bool)
-        first[np.unique(hashes, return_index=True)[1]] = True
-        repeated = ~first | np.isin(hashes, elsewhere)
+        every = [(*p.windows(window)[:2], p.windows(window, 1)[0]) for p in parts]
+        join = lambda k: np.concatenate([np.zeros(0, np.uint64), *(e[k] for e in every)])
+        # Windows that are first elsewhere stand before all others, so that none of them is first here.
+        h1, h2 = np.concatenate([away[0], join(0)]), np.concatenate([away[1], join(2)])
+        repeated = np.ones(len(h1), bool)
+        repeated[_firsts(h1, h2)] = False
+        repeated = repeated[len(away[0]) :]
         rows, done = [], 0
         for words, (h, at, _) in zip(parts, every, strict=True):
             delta = np.zeros(len(words.hashes) + 1, np.int64)
@@ -234,39 +239,40 @@ def dedup_substrings(
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_bytes))
     extra = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
-    keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), "doc_id", extra.alias("extra"), text.alias("text")
-    ).select(
-        F.pmod(F.xxhash64("doc_key"), F.lit(shards)).cast("int").alias("shard"), "doc_key",
-        F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2"), "doc_id", "extra", "text",
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    numbered = docs.select(key.alias("doc_key"), "doc_id", extra.alias("extra"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
+    keyed = materialize(
+        numbered.select(
+            F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "row", "doc_key", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2"),
+            "doc_id", "extra", "text",
+        ),
+        "substring-docs",
     )
 
-    phrases = keyed.select("shard", "text").mapInArrow(_phrases(window, phrase), "phrase bigint, shard int, n bigint")
+    phrases = materialize(keyed.select("shard", "text").mapInArrow(_phrases(window, phrase), "phrase bigint, shard int, letters binary, n bigint"), "phrases")
     recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
-    wanted = phrases.select("phrase", "shard").join(recurring, "phrase", "left_semi")
-
-    texts = keyed.select("shard", "doc_key", "h1", "h2")
-    firsts = texts.groupBy("h1", "h2").agg(F.min("doc_key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = texts.join(firsts, ["h1", "h2"]).where("doc_key > first")
-    none = F.lit(0).cast("long")
-    side = wanted.select("shard", F.lit(0).alias("kind"), F.col("phrase").alias("a"), none.alias("b"), none.alias("c")).unionByName(
-        copies.select("shard", F.lit(1).alias("kind"), F.col("doc_key").alias("a"), F.col("h1").alias("b"), F.col("h2").alias("c"))
-    )
+    wanted = phrases.join(recurring, "phrase", "left_semi").select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row"), "letters")
+
+    texts = keyed.select("shard", "row", "doc_key", "h1", "h2")
+    firsts = texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_key", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = texts.join(firsts, ["h1", "h2"]).where("row != first.row")
+    side = wanted.unionByName(copies.select("shard", F.lit(1).alias("kind"), "row", F.lit(None).cast("binary").alias("letters")))
 
     made = spark.createDataFrame([], _DONE).schema
     head = keyed.drop("text").schema
-    located_sql = StructType([*head, *made, *spark.createDataFrame([], "hashes array<bigint>, starts array<int>").schema])
+    located_sql = StructType([*head, *made, *spark.createDataFrame([], "w1 array<bigint>, w2 array<bigint>, starts array<int>").schema])
     located = materialize(
         keyed.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(_locate(window, phrase, with_text, to_arrow_schema(located_sql)), located_sql),
         "substring-located",
     )
+    drop(phrases)
     open_ = located.where("n_removed is null")
-    places = open_.select("shard", "doc_key", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select(
-        F.col("w.hashes").alias("hash"), "doc_key", F.col("w.starts").alias("start"), "shard"
+    places = open_.select("shard", "doc_key", "h1", "h2", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("w")).select(
+        "w.w1", "w.w2", "shard", F.struct("doc_key", "h1", "h2", F.col("w.starts").alias("start"), "shard").alias("place")
     )
-    # Each shard has one row for a window, so a window's rows are at most as many as the shards.
-    turn = F.row_number().over(Window.partitionBy("hash").orderBy("doc_key", "start"))
-    lost = places.withColumn("turn", turn).where("turn > 1").select("shard", "hash")
+    # Each shard has one row for a window; the least place of all shards keeps it.
+    kept = places.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    lost = materialize(places.join(kept, ["w1", "w2"]).where("shard != first.shard").select("shard", "w1", "w2"), "lost-windows")
 
     cut_sql = StructType([head["doc_id"], head["extra"], *made])
     waiting = open_.select("shard", "doc_key", "h1", "h2", "doc_id", "extra", "text")

@@ -50,3 +50,17 @@ def test_carried_columns_null_ids_and_empty(spark):
     assert got.columns == ["doc_id", "lang", "hash", "n_chars", "text", "n_words", "n_removed", "kept_sha256"]
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["hash"]) for r in got.collect()) == [("3", 50, 0, "h"), ("None", 0, 0, "h"), ("None", 50, 50, "h")]
     assert substring_dedup.dedup_substrings(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_id_and_one_text_hold_most_rows(spark):
+    """Rows are dealt by their number: neither null ids nor copies gather in a shard."""
+    shared = words(5, 60)
+    rows = [row(None, " ".join([*words(100 + i, 40), *shared])) for i in range(120)] + [row(7, " ".join(shared))] * 90 + [row(i, " ".join(words(i, 50))) for i in range(50)]
+    rows += [row(None, rows[0][1])] * 40 + [row(8, "short text")] * 3
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, SCHEMA), shard_bytes=3000).collect()
+    order = sorted([(1 << 62 if r[0] is None else r[0], r[1]) for r in rows], key=lambda r: r[0])
+    # Among null ids the order is by hash, so only what is certain is compared.
+    certain = [r for r in brute(order, 20) if r[0] < 1 << 62]
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got if r["doc_id"] is not None) == sorted(certain)
+    removed = sorted(r["n_removed"] for r in got if r["doc_id"] is None)
+    assert removed[120:] == [100] * 40 and all(60 <= n < 70 for n in removed[:120])  # a word before may be shared by chance
