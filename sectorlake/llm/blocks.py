@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sectorlake.llm.tables import materialize
 
 #: Rows of a chunk: a group is cut into up to SPREAD chunks of SMALL rows, into larger ones of up to LARGE rows beyond that.
-SMALL, LARGE, SPREAD = 128, 512, 64
+SMALL, LARGE, SPREAD = 512, 2048, 64
 #: Groups of so many rows at most are compared many at a time.
 FEW = 48
 

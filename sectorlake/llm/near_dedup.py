@@ -29,6 +29,8 @@ SLACK = 4.5
 LAST = (1 << 63) - 1
 #: Rounds in which buckets are confirmed against a leader before what is left meets in blocks.
 LEADER_ROUNDS = 2
+#: Members that meet their leader's text in one group.
+PART = 128
 
 _U = np.uint64
 #: For each try, the register that an empty register j looks at.
@@ -290,7 +292,7 @@ def _to_leaders(rows: DataFrame, labels: DataFrame | None, turn: int) -> DataFra
 def _stars(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: Fraction) -> DataFrame:
     """(a, b): the (node, leader) pairs that full sets confirm; a leader's text goes to each part of its members."""
     sizes = pairs.groupBy("leader").agg(F.count("*").alias("members"))
-    part = F.pmod(F.xxhash64("node"), F.expr(f"(members + {blocks.SMALL - 1}) div {blocks.SMALL}")).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.expr(f"(members + {PART - 1}) div {PART}")).cast("int")
     dealt = materialize(pairs.join(sizes, "leader").select("leader", part.alias("part"), "node"), "leader-parts")
     heads = dealt.select("leader", "part").distinct().withColumn("node", F.col("leader"))
     return blocks.map_runs(dealt.unionByName(heads).join(texts, "node"), ["leader", "part"], _star(shingle, threshold), "a bigint, b bigint")
