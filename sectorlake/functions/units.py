@@ -84,6 +84,7 @@ def block_samples(block: Column, audio_bytes: Column) -> Column:
 
 def rgb_to_yuv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """Luma and two colour differences around 128, each clamped to 0..255."""
+    # The weights of the luma and the spans of the colour differences.
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), x))
     y = 0.299 * r + 0.587 * g + 0.114 * b
     return clamp(y), clamp((b - y) / 2.031999684343434 + 128), clamp((r - y) / 1.139827967171717 + 128)
@@ -137,6 +138,18 @@ def big_endian(content: Column, at: Column | int, size: int) -> Column:
     return F.conv(F.hex(F.substring(content, at.cast("int") + 1, F.lit(size))), 16, 10).cast("long")
 
 
+def timer_period(rate: Column) -> Column:
+    """Ticks of the sound timer for a sample rate."""
+    # Periods of the two upper rates and of all others.
+    return F.when(rate == 22050, 65).when(rate == 24000, 60).otherwise(89)
+
+
+def read_command(lba: Column, n_bytes: Column) -> Column:
+    """The ten bytes of a READ(10) command for ``n_bytes`` from a block address on."""
+    digits = lambda v, n: F.lpad(F.hex(v.cast("long")), n, "0")
+    return F.unhex(F.concat(F.lit("2800"), digits(lba, 8), F.lit("00"), digits(sectors(n_bytes), 4), F.lit("00")))
+
+
 def macro_name(path: Column) -> Column:
     """P20: a path as an upper-case identifier."""
     return F.upper(F.regexp_replace(path, "[^A-Za-z0-9]", "_"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectorlake.functions.units import little_endian
@@ -84,3 +84,41 @@ def mono_samples(files: DataFrame) -> DataFrame:
         return F.struct((F.col("base") + frame).alias("pos"), (total / F.col("channels")).alias("sample"))
 
     return fine.select("stream_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), count - 1), sample)).alias("s")).select("stream_id", "s.pos", "s.sample")
+
+
+def _number(value: Column | int, size: int) -> Column:
+    value = F.lit(value) if isinstance(value, int) else value
+    digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]))
+
+
+def sample_bytes(value: Column) -> Column:
+    """A 16-bit sample, clipped, in two bytes."""
+    held = F.greatest(F.lit(-32768).cast("long"), F.least(F.lit(32767).cast("long"), value.cast("long")))
+    return _number(F.pmod(held, F.lit(65536)), 2)
+
+
+def wave_file(data: Column, channels: int, rate: int, loop_start: Column | None = None, loop_end: Column | None = None) -> Column:
+    """K4/K5: 16-bit PCM as a file: fmt, data and, with a loop, smpl; odd data is padded."""
+    tag = lambda name: F.lit(name.encode())
+    block = channels * 2
+    fmt = F.concat(tag("fmt "), _number(16, 4), _number(1, 2), _number(channels, 2), _number(rate, 4), _number(rate * block, 4), _number(block, 2), _number(16, 2))
+    body = F.concat(tag("data"), _number(F.octet_length(data), 4), data, F.when(F.octet_length(data) % 2 == 1, F.lit(bytes(1))).otherwise(F.lit(b"")))
+    parts = [tag("WAVE"), fmt, body]
+    if loop_start is not None:
+        head = [0, 0, 1_000_000_000 // rate, 60, 0, 0, 0, 1, 0]  # one loop
+        parts.append(F.concat(tag("smpl"), _number(60, 4), *[_number(v, 4) for v in head], *[_number(v, 4) for v in (0, 0, loop_start, loop_end, 0, 0)]))
+    whole = F.concat(*parts)
+    return F.concat(tag("RIFF"), _number(F.octet_length(whole), 4), whole)
+
+
+def vox_file(codes: Column, pad: int = 2048) -> Column:
+    """K6: 4-bit codes (hexadecimal digits) without a header, padded with zeros to whole sectors."""
+    even = F.concat(codes, F.when(F.length(codes) % 2 == 1, "0").otherwise(""))
+    missing = F.pmod(-F.length(even), F.lit(2 * pad))
+    return F.unhex(F.concat(even, F.repeat(F.lit("0"), missing)))
+
+
+def vox_codes(files: DataFrame, rate: int) -> DataFrame:
+    """(stream_id, rate, codes) of headerless files; the rate is the caller's."""
+    return files.select("stream_id", F.lit(rate).alias("rate"), F.hex("content").alias("codes"))

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 DIRECTIVES = ("name", "maker", "date", "country", "blocks", "load", "entry", "pregap", "cd_stack", "append")
 
 
-def directives(spark: SparkSession, path: str, known: tuple[str, ...] = DIRECTIVES) -> DataFrame:
-    """(path, directive, value, known) of ``key value`` lines; comments and empty lines left out."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim(F.regexp_replace("value", "#.*$", "")).alias("line")).where("line <> ''")
+def parse_directives(lines: DataFrame, keep: list[str], known: tuple[str, ...] = DIRECTIVES) -> DataFrame:
+    """(kept columns, directive, value, known) of ``key value`` lines; comments and empty lines left out."""
+    own = lines.select(*keep, F.trim(F.regexp_replace(F.regexp_replace("value", "#.*$", ""), r"\s", " ")).alias("line")).where("line <> ''")
     parts = F.split("line", r"\s+", 2)
-    return lines.select("path", parts[0].alias("directive"), F.try_element_at(parts, F.lit(2)).alias("value"), parts[0].isin(*known).alias("known"))
+    return own.select(*keep, parts[0].alias("directive"), F.try_element_at(parts, F.lit(2)).alias("value"), parts[0].isin(*known).alias("known"))
+
+
+def directives(spark: SparkSession, path: str, known: tuple[str, ...] = DIRECTIVES) -> DataFrame:
+    """The directives of text files, with their path."""
+    return parse_directives(spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value"), ["path"], known)
 
 
 def counter_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,10 +26,18 @@ def counter_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("report", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
 
 
-def symbols(spark: SparkSession, path: str, pattern: str = r"0x([0-9a-fA-F]+)\s+_?(g_\w+)\s*$") -> DataFrame:
-    """(symbol, address) lines of a linker map."""
-    lines = spark.read.text(path)
-    return lines.select(F.regexp_extract("value", pattern, 2).alias("symbol"), F.conv(F.regexp_extract("value", pattern, 1), 16, 10).cast("long").alias("address")).where("symbol <> ''")
+SYMBOL = r"0x([0-9a-fA-F]+)\s+_?(g_\w+)\s*$"
+
+
+def parse_symbols(lines: DataFrame, keep: list[str], pattern: str = SYMBOL) -> DataFrame:
+    """(kept columns, symbol, address) of the lines of a linker map that name one."""
+    found = lines.select(*keep, F.regexp_extract("value", pattern, 2).alias("symbol"), F.conv(F.regexp_extract("value", pattern, 1), 16, 10).cast("long").alias("address"))
+    return found.where("symbol <> ''")
+
+
+def symbols(spark: SparkSession, path: str, pattern: str = SYMBOL) -> DataFrame:
+    """(symbol, address) of a linker map."""
+    return parse_symbols(spark.read.text(path), [], pattern)
 
 
 def peek(symbols_: DataFrame, dump: DataFrame, base: int, size: int = 4) -> DataFrame:
@@ -35,6 +48,17 @@ def peek(symbols_: DataFrame, dump: DataFrame, base: int, size: int = 4) -> Data
     return inside.select("symbol", little_endian(F.col("content"), F.col("address") - base, size).alias("value"))
 
 
+def parse_reports(lines: DataFrame, schema: str) -> DataFrame:
+    """The fields of one report a line; lines that don't parse are skipped."""
+    parsed = lines.select(F.from_json("value", schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    return parsed.where("r._broken is null").select("r.*").drop("_broken")
+
+
+def report_line(fields: Column) -> Column:
+    """K7: a report as one line of JSON."""
+    return F.to_json(fields)
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """K7: a report as JSON lines."""
     rows.write.mode("overwrite").json(path)
