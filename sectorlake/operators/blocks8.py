@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ BASE_LUMA = [
 ]
 BASE_CHROMA = [
     17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99,
-    *[99] * 32,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
 ]
 # Bits of the luma codes of direct-current categories 0 to 9.
 DC_LUMA_BITS = [3, 4, 3, 3, 3, 3, 3, 3, 6, 7]
@@ -42,21 +44,21 @@ def quant_tables(spark: SparkSession, qualities: range) -> DataFrame:
     return scaled.select("quality", "plane", "pos", entry.alias("entry"))
 
 
-def _basis() -> Column:
-    """64 rows of 64 weights: 0.25 * 0.25 * C(u) C(v) cos cos."""
-    c = [1 / math.sqrt(2)] + [1.0] * 7
-    cos = [[math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)]
-    rows = [[c[v] * c[u] * cos[u][x] * cos[v][y] / 16 for y in range(8) for x in range(8)] for v in range(8) for u in range(8)]
-    return F.array(*[F.array(*[F.lit(w) for w in row]) for row in rows])
+def _basis() -> np.ndarray:
+    """Weights of 64 pixels (lines) in 64 coefficients: products of two cosines, halved for frequency 0."""
+    one = np.array([[(math.sqrt(0.5) if u == 0 else 1.0) * math.cos((2 * x + 1) * u * math.pi / 16) / 4 for x in range(8)] for u in range(8)])
+    return np.einsum("vy,ux->yxvu", one, one).reshape(64, 64)
 
 
 def forward_dct(blocks: DataFrame, pixels: str, out: str = "coefficients") -> DataFrame:
-    """64 coefficients of 64 pixels, centred on 128: one fold a coefficient, no shuffle."""
-    basis = blocks.sparkSession.range(1).select(_basis().alias("_basis"))
-    centred = F.transform(F.col(pixels), lambda p: p - 128.0)
-    product = lambda row: F.aggregate(F.zip_with(row, F.col("_centred"), lambda w, p: w * p), F.lit(0.0), lambda a, b: a + b)
-    held = blocks.join(F.broadcast(basis)).withColumn("_centred", centred)  # one row
-    return held.withColumn(out, F.transform("_basis", product)).drop("_basis", "_centred")
+    """64 coefficients of 64 pixels, centred on 128: one matrix product for each Arrow batch, no shuffle."""
+    basis = _basis()
+
+    @F.pandas_udf("array<double>")
+    def transform(p: pd.Series) -> pd.Series:
+        return pd.Series(list((np.stack(p.to_list()) - 128.0) @ basis)) if len(p) else pd.Series([], dtype=object)
+
+    return blocks.withColumn(out, transform(F.col(pixels)))
 
 
 def quantize(coefficients: Column, table: list[int], digits: int = 9) -> Column:

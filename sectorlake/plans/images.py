@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorlake.functions import units as U
 from sectorlake.operators import blocks8
+from sectorlake.operators.reports import pearson
 from sectorlake.plans.registry import query
 from sectorlake.plans.timeline import table
 
@@ -67,15 +68,31 @@ def zigzag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks8.runs(quantized(spark, sf_dir), "vec_id", "q")
 
 
+# Bits of the luma codes by run (lines, 0 to 15) and category (1 to 9), of the end mark and of sixteen zeros.
+LUMA_BITS = [
+    [2, 2, 3, 4, 5, 6, 9, 12, 11],  # run 0
+    [4, 5, 7, 12, 12, 12, 12, 12, 11],  # run 1
+    [5, 7, 12, 12, 12, 12, 12, 12, 11],  # run 2
+    [6, 12, 12, 12, 12, 12, 12, 12, 11],  # run 3
+    [6, 12, 12, 12, 12, 12, 12, 12, 11],  # run 4
+    [6, 12, 12, 12, 12, 12, 12, 12, 11],  # run 5
+    [7, 12, 12, 12, 12, 12, 12, 12, 11],  # run 6
+    [9, 12, 12, 12, 12, 12, 12, 12, 11],  # run 7
+    [12, 12, 12, 12, 12, 12, 12, 12, 11],  # run 8
+    [12, 12, 12, 12, 12, 12, 12, 12, 11],  # run 9
+    [12, 12, 12, 12, 12, 12, 12, 12, 11],  # run 10
+    [12, 12, 12, 12, 12, 12, 12, 12, 11],  # run 11
+    [12, 12, 12, 12, 12, 12, 12, 12, 11],  # run 12
+    [12, 12, 12, 12, 12, 12, 12, 12, 11],  # run 13
+    [12, 12, 12, 12, 12, 12, 12, 12, 11],  # run 14
+    [12, 12, 12, 12, 12, 12, 12, 12, 11],  # run 15
+]
+END_BITS, ZEROS_BITS = 5, 12
+
+
 def luma_code_bits() -> list[tuple[int, int]]:
-    """(symbol, bits) of the luma code for runs and categories: 12 bits, 11 for category 9, but for frequent symbols."""
-    # Lengths of the shorter codes, by (run, category).
-    shorter = {
-        (0, 0): 5, (0, 1): 2, (0, 2): 2, (0, 3): 3, (0, 4): 4, (0, 5): 5, (0, 6): 6, (0, 7): 9, (1, 1): 4, (1, 2): 5, (1, 3): 7, (2, 1): 5, (2, 2): 7,
-        (3, 1): 6, (4, 1): 6, (5, 1): 6, (6, 1): 7, (7, 1): 9,
-    }
-    symbols = [(0, 0), (1, 0), *((run, n) for run in range(16) for n in range(1, 10))]
-    return [(16 * run + n, shorter.get((run, n), 11 if n == 9 else 12)) for run, n in symbols]
+    """(symbol, bits) of the luma code, with symbol 16 * run + category."""
+    return [(0, END_BITS), (16, ZEROS_BITS), *((16 * run + n + 1, bits) for run, line in enumerate(LUMA_BITS) for n, bits in enumerate(line))]
 
 
 _CODES = ", ".join(f"({s}, {b})" for s, b in luma_code_bits())
@@ -117,6 +134,30 @@ def chroma_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("vec_id", F.posexplode(blocks8.halve(F.col("pixels"))).alias("cell", "mean"))
 
 
+def beside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, a, b): pixels of each block and of the next: one join of arrays."""
+    own = pixels(spark, sf_dir).select("vec_id", F.col("pixels").alias("a"))
+    return own.join(own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+
+
+LOWER, RIGHT, BODY = (lambda i: i >= 32), (lambda i: i % 8 >= 6), (lambda i: i % 8 < 6)
+
+
+def _mean(values: Column, cells) -> Column:
+    own = F.filter(values, lambda _, i: cells(i)) if cells else values
+    return F.aggregate(own, F.lit(0.0), lambda s, v: s + v) / F.size(own)
+
+
+def mean_error(a: Column, b: Column, cells=None) -> Column:
+    """Mean absolute difference, over all cells or those that ``cells`` picks by number."""
+    return _mean(F.zip_with(a, b, lambda x, y: F.abs(x - y)), cells)
+
+
+def dark_share(a: Column, cells=None, level: float = 100) -> Column:
+    """Share of the cells under a level."""
+    return _mean(F.transform(a, lambda v: F.when(v < level, 1.0).otherwise(0.0)), cells)
+
+
 @query(
     "image_metrics",
     f"""WITH {_PIXELS}, a AS (SELECT vec_id, i, p[i + 1] AS v FROM px, unnest(range(64)) t(i))
@@ -126,12 +167,10 @@ FROM a JOIN a b ON b.vec_id = a.vec_id + 1 AND b.i = a.i GROUP BY a.vec_id""",
 )
 def image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each block against the next: mean absolute error, correlation, right edge, dark shares."""
-    cells = pixels(spark, sf_dir).select("vec_id", F.posexplode("pixels").alias("i", "a"))
-    other = cells.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("a").alias("b"))
-    error, dark = F.abs(F.col("a") - F.col("b")), F.when(F.col("a") < 100, 1.0).otherwise(0.0)
-    return cells.join(other, ["vec_id", "i"]).groupBy("vec_id").agg(
-        F.round(F.avg(error), 6).alias("mae"), F.round(F.corr("a", "b"), 5).alias("corr"), F.round(F.avg(F.when(F.col("i") % 8 >= 6, error)), 6).alias("edge_mae"),
-        F.round(F.avg(dark), 6).alias("black"), F.round(F.avg(F.when(F.col("i") >= 32, dark)), 6).alias("black_below"),
+    a, b = F.col("a"), F.col("b")
+    return beside(spark, sf_dir).select(
+        "vec_id", F.round(mean_error(a, b), 6).alias("mae"), F.round(pearson(a, b), 5).alias("corr"), F.round(mean_error(a, b, RIGHT), 6).alias("edge_mae"),
+        F.round(dark_share(a), 6).alias("black"), F.round(dark_share(a, LOWER), 6).alias("black_below"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorlake.functions import units as U
+from sectorlake.operators.reports import pearson
 from sectorlake.operators import matching
 from sectorlake.plans import images, signals, timeline
 from sectorlake.plans.registry import query
@@ -127,12 +128,10 @@ UNION ALL SELECT vec_id, 'edge' FROM m WHERE edge > 2 * body + 12""",
 )
 def picture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each block against the next one as its reference."""
-    cells = images.pixels(spark, sf_dir).select("vec_id", F.posexplode("pixels").alias("i", "a"))
-    other = cells.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("a").alias("b"))
-    dark = lambda x: F.round(F.avg(F.when(F.col("i") >= 32, F.when(F.col(x) < 100, 1.0).otherwise(0.0))), 6)
-    error = F.abs(F.col("a") - F.col("b"))
-    metrics = cells.join(other, ["vec_id", "i"]).groupBy("vec_id").agg(
-        dark("a").alias("dark"), dark("b").alias("ref_dark"), F.round(F.avg(error), 6).alias("mae"), F.round(F.corr("a", "b"), 5).alias("corr"),
-        F.round(F.avg(F.when(F.col("i") % 8 >= 6, error)), 6).alias("edge"), F.round(F.avg(F.when(F.col("i") % 8 < 6, error)), 6).alias("body"),
+    a, b = F.col("a"), F.col("b")
+    metrics = images.beside(spark, sf_dir).select(
+        "vec_id", F.round(images.dark_share(a, images.LOWER), 6).alias("dark"), F.round(images.dark_share(b, images.LOWER), 6).alias("ref_dark"),
+        F.round(images.mean_error(a, b), 6).alias("mae"), F.round(pearson(a, b), 5).alias("corr"), F.round(images.mean_error(a, b, images.RIGHT), 6).alias("edge"),
+        F.round(images.mean_error(a, b, images.BODY), 6).alias("body"),
     )
     return matching.picture_faults(metrics, "vec_id")

@@ -260,11 +260,11 @@ def _defective(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     totals = frames.groupBy("stream_id", "n").agg(F.count("*").cast("int").alias("frame_count"), F.max(F.col("video_sector") + STRIDE + F.col("audio_sectors")).alias("end_sector"))
     counts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("stream_id")).agg((F.count("*") * 4000 + 65_000).cast("long").alias("audio_bytes"))
     streams = totals.join(counts, "stream_id").select(
-        "stream_id", F.lit(rules.MAGIC).alias("magic"), F.lit(256).alias("width"), F.lit(240).alias("height"), F.lit(NUM).alias("fps_num"), F.lit(DEN).alias("fps_den"),
-        "frame_count", F.lit(1).alias("flags"), (F.col("frame_count") * 32 + F.when(F.col("n") % 7 == 6, 32).otherwise(0)).alias("index_bytes"),
-        F.lit(DATA_START).cast("long").alias("data_start_sector"), F.lit(STRIDE).cast("long").alias("max_video_sectors"), "audio_bytes",
-        U.sectors(F.col("audio_bytes")).alias("audio_sectors"),
-        F.least(F.lit(64).cast("long"), U.sectors(F.col("audio_bytes"))).alias("preroll_sectors"),
+        "stream_id", F.lit(rules.MAGIC).alias("magic"), (F.lit(256) + F.when(F.col("n") % 11 == 1, 16).otherwise(0)).alias("width"), F.lit(240).alias("height"), F.when(F.col("n") % 11 == 2, 61).otherwise(NUM).alias("fps_num"), F.lit(DEN).alias("fps_den"),
+        "frame_count", F.when(F.col("n") % 11 == 6, 2).otherwise(1).alias("flags"), (F.col("frame_count") * 32 + F.when(F.col("n") % 7 == 6, 32).otherwise(0)).alias("index_bytes"),
+        F.lit(DATA_START).cast("long").alias("data_start_sector"), F.when(F.col("n") % 11 == 3, 5).otherwise(STRIDE).cast("long").alias("max_video_sectors"), "audio_bytes",
+        (U.sectors(F.col("audio_bytes")) + F.when(F.col("n") % 11 == 4, 1).otherwise(0)).alias("audio_sectors"),
+        (F.least(F.lit(64).cast("long"), U.sectors(F.col("audio_bytes"))) - F.when(F.col("n") % 11 == 5, 3).otherwise(0)).alias("preroll_sectors"),
         F.when(F.col("n") % 7 == 5, 32768).otherwise(65536).alias("ring_half_bytes"), F.when(F.col("n") % 7 == 4, 32000).otherwise(RATE).alias("audio_rate_hz"),
         (F.col("end_sector") * 2048).alias("file_bytes"),
     )
@@ -282,17 +282,24 @@ f AS (SELECT stream_id, n, frame, video_sector - CASE WHEN n % 5 = 1 AND frame %
 t AS (SELECT f.stream_id, n, count(*) AS fc, max(CASE WHEN a > 0 THEN a0 + a ELSE v0 + 4 END) AS end_sector, count(*) FILTER (WHERE a > 0) AS chunks, any_value(audio_bytes) AS audio_bytes
   FROM f JOIN audio ON audio.stream_id = f.stream_id GROUP BY f.stream_id, n),
 heads AS (
-  SELECT stream_id, 'V3' AS rule FROM t WHERE n % 7 = 6 OR (64 + fc * 32 + 2047) // 2048 > 63
-  UNION ALL SELECT stream_id, 'V5' FROM t WHERE n % 7 IN (4, 5)
-  UNION ALL SELECT stream_id, 'V12' FROM t WHERE (least(64, (audio_bytes + 2047) // 2048) + 31) // 32 + chunks <> (audio_bytes + 65535) // 65536),
-g AS (SELECT f.*, t.audio_bytes, 2 + count(*) FILTER (WHERE a > 0) OVER (PARTITION BY f.stream_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS next_block
+  SELECT stream_id, 'V1' AS rule FROM t WHERE n % 11 = 1
+  UNION ALL SELECT stream_id, 'V2' FROM t WHERE n % 11 = 2 OR fc > 4096
+  UNION ALL SELECT stream_id, 'V4' FROM t WHERE n % 11 = 3
+  UNION ALL SELECT stream_id, 'V6' FROM t WHERE n % 11 = 4
+  UNION ALL SELECT stream_id, 'V7' FROM (SELECT *, least(64, (audio_bytes + 2047) // 2048) - CASE WHEN n % 11 = 5 THEN 3 ELSE 0 END AS pre, (audio_bytes + 2047) // 2048 + CASE WHEN n % 11 = 4 THEN 1 ELSE 0 END AS held FROM t)
+    WHERE n % 11 <> 6 AND NOT (pre > 0 AND (pre % 32 = 0 OR pre = held))
+  UNION ALL SELECT stream_id, 'V3' AS rule FROM t WHERE n % 7 = 6 OR (64 + fc * 32 + 2047) // 2048 > 63
+  UNION ALL SELECT stream_id, 'V5' FROM t WHERE n % 7 IN (4, 5) AND n % 11 <> 6
+  UNION ALL SELECT stream_id, 'V12' FROM t WHERE n % 11 <> 6 AND (least(64, (audio_bytes + 2047) // 2048) - CASE WHEN n % 11 = 5 THEN 3 ELSE 0 END + 31) // 32 + chunks <> (audio_bytes + 65535) // 65536),
+g AS (SELECT f.*, t.audio_bytes, (least(64, (t.audio_bytes + 2047) // 2048) - CASE WHEN f.n % 11 = 5 THEN 3 ELSE 0 END + 31) // 32 + count(*) FILTER (WHERE a > 0) OVER (PARTITION BY f.stream_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS next_block
   FROM f JOIN t ON t.stream_id = f.stream_id),
 ext AS (SELECT stream_id, frame, v0 AS s, v0 + 4 AS e FROM f UNION ALL SELECT stream_id, frame, a0, a0 + a FROM f WHERE a > 0),
 lapped AS (SELECT *, lag(e) OVER (PARTITION BY stream_id ORDER BY s, e, frame) AS before FROM ext)
 SELECT stream_id, CAST(NULL AS BIGINT) AS frame, rule FROM heads
 UNION ALL SELECT stream_id, frame, 'V8' FROM f WHERE size > 8192
 UNION ALL SELECT stream_id, frame, 'V9' FROM f WHERE bad_crc
-UNION ALL SELECT stream_id, frame, 'V10' FROM g WHERE a > 0 AND (off <> next_block * 65536 OR a < (least(65536, audio_bytes - off) + 2047) // 2048)
+UNION ALL SELECT stream_id, frame, 'V10' FROM g WHERE n % 11 <> 6 AND a > 0 AND (off <> next_block * 65536 OR a < (least(65536, audio_bytes - off) + 2047) // 2048)
+UNION ALL SELECT stream_id, frame, 'V13' FROM f WHERE n % 11 = 6 AND a > 8
 UNION ALL SELECT stream_id, frame, 'V11' FROM lapped WHERE s < before""",
 )
 def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
