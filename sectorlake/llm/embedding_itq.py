@@ -25,8 +25,8 @@ ITERATIONS = 30
 TRIALS = 2000
 #: Share of such pairs that may meet in no table, and that may lie outside the radius.
 MISSED = 0.01
-#: A table's key has KEY_OFF bits less than the logarithm of the number of vectors, so that a bucket of unlike ones stays small.
-KEY_OFF, LEAST_KEY, MOST_KEY = 2, 4, 40
+#: A table's key has as many bits as the logarithm of the number of vectors, so that most unlike ones have a bucket to themselves.
+LEAST_KEY, MOST_KEY = 6, 40
 MOST_TABLES = 256
 #: Rows of a chunk of codes and vectors; see ``blocks.deal_blocks``.
 SMALL, LARGE = 256, 2048
@@ -130,7 +130,7 @@ def build_index(sample: np.ndarray, vectors: int, threshold: float = THRESHOLD,
     d = sample.shape[1]
     if d == 1:  # all directions there are
         return Index(np.zeros(1), np.ones((1, BITS)), np.zeros((1, 2), np.uint64), BITS)
-    width = int(np.clip(np.ceil(np.log2(max(vectors, 1))) - KEY_OFF, LEAST_KEY, MOST_KEY))
+    width = int(np.clip(np.ceil(np.log2(max(vectors, 1))), LEAST_KEY, MOST_KEY))
     few = len(sample) < 40
     # Trials are made of vectors that the rotations have not seen, where there are enough.
     trials, own = (sample, sample) if few else (sample[::4], sample[np.arange(len(sample)) % 4 > 0])
