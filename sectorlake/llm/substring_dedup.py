@@ -8,9 +8,9 @@ sequence also starts earlier: in a document of smaller doc_id, or earlier in the
    join, without its text.
 2. Each window picks the smallest hash among its PHRASE-word phrases (winnowing), so equal windows
    pick equal phrases.  Picked phrases are counted over the corpus; those met twice are recurring.
-3. Each shard compiles the recurring phrases that its documents picked, as the corpus' count confirms them,
-   into an Aho-Corasick automaton over word codes and streams all its documents through it; every window
-   around an occurrence is a candidate.
+3. Each shard spells the phrases that it picked and the corpus' count confirms, compiles them into an
+   Aho-Corasick automaton over word codes and streams all its documents through it, which finds every
+   occurrence, picked or not; every window around one is a candidate.
 4. Each shard reports the first place of each candidate window, by 122 bits; the first over all shards keeps it.
 5. Documents with candidates meet the windows that their shard lost, and words are cut.
 
@@ -59,8 +59,8 @@ def _picked(words: W.Words, window: int, phrase: int) -> tuple[np.ndarray, np.nd
 
 
 #: A word is LETTERS letters of six bits of its hash: nodes of an automaton have few branches, and two
-#: phrases of ten words agree by chance once in 2**240.
-LETTERS = 4
+#: phrases of ten words agree by chance once in 2**120.
+LETTERS = 2
 
 
 def _letters(hashes: np.ndarray) -> bytes:
@@ -69,13 +69,13 @@ def _letters(hashes: np.ndarray) -> bytes:
 
 
 def _phrases(window: int, phrase: int):
-    """(phrase, shard, letters, n): phrases that some window of the shard's documents picks, and at how many places."""
+    """(phrase, shard, n): phrases that some window of the shard's documents picks, and at how many places."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard = batch.column(0).to_numpy()
             for words in W.segments(batch.column(1)):
-                hashes, at, doc = _picked(words, window, phrase)
+                hashes, _, doc = _picked(words, window, phrase)
                 own = shard[words.lo + doc]
                 order = np.lexsort((own, hashes))
                 h, s = hashes[order], own[order]
@@ -83,11 +83,7 @@ def _phrases(window: int, phrase: int):
                 new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(h)))
-                letters, size = _letters(words.hashes), LETTERS * phrase
-                spelled = [letters[p : p + size] for p in (LETTERS * at[order][first]).tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[first].view(np.int64)), pa.array(s[first].astype(np.int32)), pa.array(spelled, pa.binary()), pa.array(n.astype(np.int64))], ["phrase", "shard", "letters", "n"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(s[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["phrase", "shard", "n"])
 
     return per_batch
 
@@ -140,14 +136,21 @@ def _locate(window: int, phrase: int, with_text: bool, schema: pa.Schema):
             return schema.empty_table()
         docs = _ordered(docs)
         is_copy = side["kind"].to_numpy() == 1
-        copy = np.isin(docs["row"].to_numpy(), side["row"].to_numpy()[is_copy])
+        value = side["value"].to_numpy()
+        copy = np.isin(docs["row"].to_numpy(), value[is_copy])
+        confirmed = np.sort(value[~is_copy].astype(np.int64).view(np.uint64))
+        parts = list(W.segments(docs["text"]))
         automaton = ahocorasick.Automaton()
-        for letters in side["letters"].filter(pa.array(~is_copy)).to_pylist():
-            automaton.add_word(letters.decode("latin-1"), 1)
+        for words in parts:  # each confirmed phrase is spelled where the shard picked it
+            hashes, at, _ = _picked(words, window, phrase)
+            met, one = np.unique(hashes, return_index=True)
+            letters = _letters(words.hashes).decode("latin-1")
+            for p in (LETTERS * at[one[np.isin(met, confirmed)]]).tolist():
+                automaton.add_word(letters[p : p + LETTERS * phrase], 1)
         if len(automaton):
             automaton.make_automaton()
         rows, found_one, found_two, found_row, found_start = [], [], [], [], []
-        for words in W.segments(docs["text"]):
+        for words in parts:
             letters = _letters(words.hashes).decode("latin-1")
             one, window_at, _ = words.windows(window)
             two = None
@@ -249,14 +252,15 @@ def dedup_substrings(
         "substring-docs",
     )
 
-    phrases = materialize(keyed.select("shard", "text").mapInArrow(_phrases(window, phrase), "phrase bigint, shard int, letters binary, n bigint"), "phrases")
+    phrases = materialize(keyed.select("shard", "text").mapInArrow(_phrases(window, phrase), "phrase bigint, shard int, n bigint"), "phrases")
     recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
-    wanted = phrases.join(recurring, "phrase", "left_semi").select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row"), "letters")
+    wanted = phrases.join(recurring, "phrase", "left_semi").select("shard", F.lit(0).alias("kind"), F.col("phrase").alias("value"))
 
     texts = keyed.select("shard", "row", "doc_key", "h1", "h2")
     firsts = texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_key", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = texts.join(firsts, ["h1", "h2"]).where("row != first.row")
-    side = wanted.unionByName(copies.select("shard", F.lit(1).alias("kind"), "row", F.lit(None).cast("binary").alias("letters")))
+    side = materialize(wanted.unionByName(copies.select("shard", F.lit(1).alias("kind"), F.col("row").alias("value"))), "phrases-and-copies")
+    drop(phrases)
 
     made = spark.createDataFrame([], _DONE).schema
     head = keyed.drop("text").schema
@@ -265,7 +269,7 @@ def dedup_substrings(
         keyed.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(_locate(window, phrase, with_text, to_arrow_schema(located_sql)), located_sql),
         "substring-located",
     )
-    drop(phrases)
+    drop(side)
     open_ = located.where("n_removed is null")
     places = open_.select("shard", "doc_key", "h1", "h2", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("w")).select(
         "w.w1", "w.w2", "shard", F.struct("doc_key", "h1", "h2", F.col("w.starts").alias("start"), "shard").alias("place")
