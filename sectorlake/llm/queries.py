@@ -74,7 +74,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)], rows.schema)
+    kinds = dict(rows.dtypes)
+    typed = ", ".join(f"cast({c} as {kinds[c]}) as {c}" for c in rows.columns)
+    extra = spark.sql(f"select {typed} from values (-1, 0, 'user', '{CONTROL_TURN}'), (-1, 1, 'assistant', '{CONTROL_TURN}') as t(conv_id, turn, role, text)")
     formatted = chat_format.format_conversations(rows.unionByName(extra))
     back = formatted.withColumn("turns", chat_format.read_turns(F.col("formatted")))
     loss = chat_format.loss_text(F.col("segments"))

@@ -33,7 +33,7 @@ def host_key(host: Column) -> Column:
 def _boundaries(keys: DataFrame, buckets: int) -> np.ndarray:
     """At most buckets - 1 quantiles of about BOUNDARY_SAMPLE keys, picked by hash; a common key fills several."""
     share = BOUNDARY_SAMPLE / max(keys.count(), BOUNDARY_SAMPLE)
-    picked = F.pmod(F.xxhash64("page_id", "key"), F.lit(1 << 30)) < int(share * (1 << 30))
+    picked = F.pmod(F.xxhash64("page_id", "key", F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30))
     found = np.sort(keys.where(picked).select("key").toPandas()["key"].to_numpy(dtype=object))
     if not len(found):
         return found
@@ -63,11 +63,14 @@ def apply_rules(
     bounds = _boundaries(parsed, buckets)
 
     def page_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = 0
         for p in batches:
             key = p["key"].to_numpy(dtype=object)
             lo, hi = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
-            turn = pd.util.hash_array(p["page_id"].astype(str).to_numpy(dtype=object)) % (hi - lo + 1).astype(np.uint64)
-            yield pd.DataFrame({"bucket": (lo + turn.astype(np.int64)).astype(np.int32), "key": key, "kind": np.int32(1), "page_id": p["page_id"], "host": p["host"], "path": p["path"], "verdict": None})
+            # A common key's rows take turns over its ranges, whatever their ids.
+            turn = (np.arange(row, row + len(p))) % (hi - lo + 1)
+            row += len(p)
+            yield pd.DataFrame({"bucket": (lo + turn).astype(np.int32), "key": key, "kind": np.int32(1), "page_id": p["page_id"], "host": p["host"], "path": p["path"], "verdict": None})
 
     kind = dict(parsed.dtypes)["page_id"]
     schema = "bucket int, key string, kind int, page_id string, host string, path string, verdict string"
@@ -85,38 +88,41 @@ def apply_rules(
         F.explode(F.sequence("lo", "hi")).alias("bucket"), "key", F.lit(0).alias("kind"),
         F.lit(None).cast("string").alias("page_id"), "host", "path", "verdict",
     )
-    swept = dealt.unionByName(opened).repartition(buckets, "bucket").sortWithinPartitions("bucket", "key", "kind")
+    swept = dealt.unionByName(opened).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "key", "kind")
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, stack = None, []
         for p in batches:
-            ids, hosts, paths, names, verdicts = [], [], [], [], []
-            for b, key, kind_, page, host, path, verdict in p.itertuples(index=False, name=None):
-                if b != bucket:
-                    bucket, stack = b, []
+            of, keys, kinds = p["bucket"].to_numpy(), p["key"].to_numpy(dtype=object), p["kind"].to_numpy()
+            paths = p["path"].to_numpy(dtype=object)
+            names, verdicts = np.full(len(p), None, object), np.full(len(p), default, object)
+            new = np.ones(len(p), bool)
+            new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])
+            begins = np.flatnonzero(new)
+            for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(p)], strict=True):  # rows of one key are judged together
+                key = keys[lo]
+                if of[lo] != bucket:
+                    bucket, stack = of[lo], []
                 while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
-                if kind_ == 0:
+                if kinds[lo] == 0:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, host, {}, set()))
-                    _, _, own, lengths = stack[-1]
-                    own[path] = "block" if "block" in (verdict, own.get(path)) else verdict
-                    lengths.add(len(path))
+                        stack.append((key, {}))
+                    for host, path, verdict in zip(p["host"].iloc[lo:hi], paths[lo:hi], p["verdict"].iloc[lo:hi], strict=True):
+                        own = stack[-1][1]
+                        own[host, path] = "block" if "block" in (verdict, own.get((host, path))) else verdict
                     continue
-                best = None
-                for _, rule_host, own, lengths in stack:
-                    for n in lengths:
-                        if n <= len(path) and path[:n] in own:
-                            rank = (len(rule_host) + n, len(rule_host))
-                            if best is None or rank > best[0]:
-                                best = (rank, rule_host + path[:n], own[path[:n]])
-                ids.append(page)
-                hosts.append(host)
-                paths.append(path)
-                names.append(best[1] if best else None)
-                verdicts.append(best[2] if best else default)
-            if ids:
-                yield pd.DataFrame({"page_id": pd.Series(ids, dtype=object), "host": hosts, "path": paths, "rule": pd.Series(names, dtype=object), "verdict": verdicts})
+                ranked = sorted(((len(h) + len(q), len(h), h, q, v) for _, own in stack for (h, q), v in own.items()), reverse=True)
+                left = np.arange(lo, hi)
+                for _, _, host, path, verdict in ranked:
+                    hit = np.array([q.startswith(path) for q in paths[left]], bool)
+                    names[left[hit]], verdicts[left[hit]] = host + path, verdict
+                    left = left[~hit]
+                    if not len(left):
+                        break
+            pages_ = kinds == 1
+            if pages_.any():
+                yield pd.DataFrame({"page_id": p["page_id"][pages_], "host": p["host"][pages_], "path": p["path"][pages_], "rule": pd.Series(names[pages_], index=p.index[pages_], dtype=object), "verdict": verdicts[pages_]})
 
     judged = swept.mapInPandas(sweep, "page_id string, host string, path string, rule string, verdict string")
     return judged.withColumn("page_id", F.col("page_id").cast(kind))

@@ -63,12 +63,50 @@ def test_stages(spark, tmp_path):
             leaks = {i for i, t in before if sum(x[2] for x in greedy(item, bare(t), 5)) >= 0.8 * len(item)}
             assert leaks and sorted(r["doc_id"] for r in after) == sorted(i for i, _ in before if i not in leaks)
         if name != "packing":
-            assert docs.columns == corpus_pipeline.COLUMNS
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert len(seen) == 5
     whole = {tuple(r) for r in corpus_pipeline.run(spark, folder).collect()}
     assert sum(r[2] for r in whole) == sum(r["length"] for r in after) and {r[0] for r in whole} == {r["doc_id"] for r in after}
 
 
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, log_bytes int, shard string, `row` int, rest string"
+
+
+def odd_corpus(spark, folder, rows):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(5)] if rows else []
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    items = [(None, None), (1, ""), (2, " ".join(words(55, 30))), (2, " ".join(words(55, 30)))] if rows else []
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    line = lambda i, t: (i, t, None, "s", None if t is None else len(t), "w", 5, "h", 6, "r")
+    text, other, leak = " ".join(words(1, 80)), " ".join(words(2, 80)), " ".join(words(3, 9) + words(55, 30))
+    rows = [line(1, text), line(1, text), line(1, other), line(None, None), line(None, None), line(None, text), line(2, ""), line(3, " \n "), line(None, leak), line(4, " ".join(words(4, 30_000))), line(5, "x" * 200_000)]
+    odd_corpus(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = {}
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/stage{n}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{n}")
+        left[name] = sorted((str(r["doc_id"]), (r["text"] or "")[:12]) for r in docs.collect()) if name != "packing" else docs.collect()
+        if name != "packing":
+            assert docs.columns == [c.strip("` ").split()[0].strip("`") for c in SCHEMA.split(", ")]
+            assert docs.where("n_words = 'w' and log_bytes = 5 and shard = 'h' and `row` = 6 and rest = 'r'").count() == docs.count()
+    assert len(left["quality classifier"]) == len(rows)
+    near = [("1", text[:12]), ("1", other[:12]), ("2", ""), ("3", " \n "), ("4", rows[9][1][:12]), ("5", "x" * 12), ("None", ""), ("None", leak[:12])]
+    assert left["MinHash near-dedup"] == sorted(near) == left["substring dedup"]
+    assert left["benchmark decontamination"] == sorted(n for n in near if n[1] != leak[:12])
+    assert {str(r["doc_id"]) for r in left["packing"]} == {"1", "2", "3", "4", "5", "None"}
+
+
+def test_empty_tables(spark, tmp_path):
+    odd_corpus(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registration():
     import __spark_entry__
 
