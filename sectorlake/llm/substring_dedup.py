@@ -149,7 +149,7 @@ def _locate(window: int, phrase: int, with_text: bool, schema: pa.Schema):
                 automaton.add_word(letters[p : p + LETTERS * phrase], 1)
         if len(automaton):
             automaton.make_automaton()
-        rows, found_one, found_two, found_row, found_start = [], [], [], [], []
+        rows, found_one, found_two, found_row = [], [], [], []
         for words in parts:
             letters = _letters(words.hashes).decode("latin-1")
             one, window_at, _ = words.windows(window)
@@ -176,7 +176,6 @@ def _locate(window: int, phrase: int, with_text: bool, schema: pa.Schema):
                     found_one.append(one[at])
                     found_two.append(two[at])
                     found_row.append(np.full(len(candidate), len(rows)))
-                    found_start.append(candidate)
                     # the text is carried on, for the cut
                     rows.append((words.data[words.offsets[d] : words.offsets[d + 1]].tobytes().decode(), n, None, None))
                     continue
@@ -184,11 +183,10 @@ def _locate(window: int, phrase: int, with_text: bool, schema: pa.Schema):
                 rows.append((text, n, 0, digest))
         # The first place of each candidate window in this shard, listed with its document.
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        h1, h2, owner, start = join(found_one, np.uint64), join(found_two, np.uint64), join(found_row, np.int64), join(found_start, np.int64)
+        h1, h2, owner = join(found_one, np.uint64), join(found_two, np.uint64), join(found_row, np.int64)
         at = _firsts(h1, h2)
         offsets = pa.array(np.searchsorted(owner[at], np.arange(len(rows) + 1)).astype(np.int32))
-        own = [h1[at].view(np.int64), h2[at].view(np.int64), start[at].astype(np.int32)]
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in own]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[at].view(np.int64))) for x in (h1, h2)]
         return _with(docs, [*zip(*rows, strict=True), *lists], schema)
 
     return per_shard
@@ -264,19 +262,22 @@ def dedup_substrings(
 
     made = spark.createDataFrame([], _DONE).schema
     head = keyed.drop("text").schema
-    located_sql = StructType([*head, *made, *spark.createDataFrame([], "w1 array<bigint>, w2 array<bigint>, starts array<int>").schema])
+    located_sql = StructType([*head, *made, *spark.createDataFrame([], "w1 array<bigint>, w2 array<bigint>").schema])
     located = materialize(
         keyed.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(_locate(window, phrase, with_text, to_arrow_schema(located_sql)), located_sql),
         "substring-located",
     )
     drop(side)
     open_ = located.where("n_removed is null")
-    places = open_.select("shard", "doc_key", "h1", "h2", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("w")).select(
-        "w.w1", "w.w2", "shard", F.struct("doc_key", "h1", "h2", F.col("w.starts").alias("start"), "shard").alias("place")
-    )
-    # Each shard has one row for a window; the least place of all shards keeps it.
-    kept = places.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    lost = materialize(places.join(kept, ["w1", "w2"]).where("shard != first.shard").select("shard", "w1", "w2"), "lost-windows")
+    # Each shard has one row for a window.  Those that only one shard has are left out first, by half of
+    # their hash, so that only contested windows travel whole; the least place of all shards keeps one.
+    listed = open_.select("shard", "doc_key", "h1", F.explode(F.arrays_zip("w1", "w2")).alias("w")).select("w.w1", "w.w2", "shard", "doc_key", "h1")
+    several = materialize(listed.groupBy("w1").agg(F.count("*").alias("n")).where("n > 1").select("w1"), "shared-windows")
+    contested = materialize(listed.join(several, "w1", "left_semi"), "contested-windows")
+    first = contested.groupBy("w1", "w2").agg(F.min(F.struct("doc_key", "h1", "shard")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    lost = materialize(contested.join(first, ["w1", "w2"]).where("shard != first.shard").select("shard", "w1", "w2"), "lost-windows")
+    drop(several)
+    drop(contested)
 
     cut_sql = StructType([head["doc_id"], head["extra"], *made])
     waiting = open_.select("shard", "doc_key", "h1", "h2", "doc_id", "extra", "text")
