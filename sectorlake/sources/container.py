@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,13 +104,18 @@ def assemble(head: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def save_files(files: DataFrame, folder: str) -> None:
-    """Write each row's content as a file of a folder that all executors share; a file appears whole or not at all."""
+    """Write each row's content as a file of a folder that all executors share; a file appears whole or not at all.
+
+    ``folder`` is a path or any address that Arrow's file systems open (file, hdfs, s3, gs).
+    """
+    address = folder if "://" in folder else "file://" + os.path.abspath(folder)
 
     def write(rows) -> None:
+        system, root = fs.FileSystem.from_uri(address)
         for row in rows:
-            temporary = os.path.join(folder, f".{uuid.uuid4().hex}")
-            with open(temporary, "wb") as f:
+            temporary = f"{root}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(temporary) as f:
                 f.write(row["content"])
-            os.replace(temporary, os.path.join(folder, row["stream_id"]))
+            system.move(temporary, f"{root}/{row['stream_id']}")
 
     files.select("stream_id", "content").foreachPartition(write)

@@ -1,6 +1,7 @@
 """Containers written, read back, and spoiled in one field at a time."""
 
 import math
+import random
 import zlib
 
 import pytest
@@ -10,15 +11,16 @@ from sectorlake.functions import units as U
 from sectorlake.operators import adpcm, placement, rules
 from sectorlake.sources import container
 
-SECONDS, FPS, RATE = 21, 15, 31468
+SECONDS, FPS, RATE = 27, 12, 31468
 
 
 def build(spark, seconds=SECONDS):
-    """A container of the standard test case: payloads of 5000 + 37 (i mod 50) bytes, a tone as audio."""
+    """A container of payloads of 300 to 8000 bytes, drawn at random, with random audio."""
+    rng = random.Random(seconds)
     n = seconds * FPS
-    payload = [(0, i, bytes([i & 255]) * (5000 + 37 * (i % 50))) for i in range(n)]
+    payload = [(0, i, rng.randbytes(rng.randint(300, 8000))) for i in range(n)]
     frames = spark.createDataFrame([("clip", i, p) for _, i, p in payload], "stream_id string, frame bigint, payload binary")
-    audio = bytes((i * 7 + i // 300) & 255 for i in range(seconds * RATE // 2))
+    audio = rng.randbytes(seconds * RATE // 2)
     total = len(audio)
     blocks = placement.audio_blocks(spark.createDataFrame([("clip", total)], "stream_id string, audio_bytes bigint"))
     data = spark.createDataFrame([("clip", k, audio[k * 65536 : (k + 1) * 65536]) for k in range(-(-total // 65536))], "stream_id string, block bigint, audio binary")
@@ -74,15 +76,15 @@ def le(value, size=4):
 
 
 MUTATIONS = [
-    (0, b"X", "V1"), (8, le(255, 2), "V1"), (14, le(0, 2), "V2"), (20, le(32), "V3"), (28, le(5), "V4"), (48, le(32768), "V5"), (52, le(32000), "V5"),
-    (36, le(1), "V6"), (40, le(33), "V7"), (64 + 8, le(9), "V8"), (64 + 12, le(1), "V9"), (18, le(2, 2), "V13"),
+    (3, b"?", "V1"), (10, le(200, 2), "V1"), (12, le(0, 2), "V2"), (20, le(7), "V3"), (28, le(6), "V4"), (52, le(11025), "V5"), (48, le(4096), "V5"),
+    (36, le(3), "V6"), (40, le(45), "V7"), (64 + 8, le(11), "V8"), (64 + 12, le(77), "V9"), (18, le(2, 2), "V13"),
 ]
 
 
 def test_mutations_are_found(spark, clip):
     files = container.read_files(spark, clip[0])
     first = container.frames(files).where("a_sectors > 0").agg(F.min("frame")).first()[0]
-    every = [*MUTATIONS, (64 + 32 * first + 24, le(131072 + 2048), "V10"), (64 + 32 * first + 20, le(0), "V12")]
+    every = [*MUTATIONS, (64 + 32 * first + 24, le(131072 + 6144), "V10"), (64 + 32 * first + 20, le(0), "V12")]
     content = bytes(files.first()["content"])
     spoiled = [(f"m{k}", len(content), content[:at] + data + content[at + len(data) :]) for k, (at, data, _) in enumerate(every)]
     sized = spark.createDataFrame(spoiled, "stream_id string, file_bytes bigint, content binary").repartition(4).persist()
@@ -92,23 +94,25 @@ def test_mutations_are_found(spark, clip):
     assert {r["stream_id"]: r["rule"] for r in rules.first_violation(broken).collect()}["m5"] == "V5"
 
 
-def tone(rate):
-    return [int(12000 * math.sin(2 * math.pi * (rate / 40) * i / rate)) for i in range(rate // 4)]
+def chord(rate):
+    """Three low tones of unlike strength, a fifth of a second long."""
+    turn = 2 * math.pi / rate
+    return [round(7000 * math.sin(turn * rate / 64 * i) + 2500 * math.sin(turn * rate / 93 * i + 1) + 900 * math.sin(turn * rate / 150 * i)) for i in range(rate // 5)]
 
 
 @pytest.mark.parametrize(("rate", "code"), list(U.ADPCM_RATES.items()))
 def test_closed_loop_quality(spark, rate, code):
-    signals = spark.createDataFrame([("t", tone(rate))], "signal_id string, pcm array<int>")
+    signals = spark.createDataFrame([("t", chord(rate))], "signal_id string, pcm array<int>")
     encoded = adpcm.encode_signals(signals, "signal_id", "pcm", code)
     data = encoded.select("signal_id", adpcm.codes_to_bytes(F.col("codes")).alias("b")).select("signal_id", adpcm.bytes_to_codes(F.col("b")).alias("codes"))
     got = adpcm.decode_signals(data, "signal_id", "codes", code).first()["decoded"]
-    want = tone(rate)
+    want = chord(rate)
     noise = sum((a - b) ** 2 for a, b in zip(want, got, strict=False)) or 1
     assert 10 * math.log10(sum(a * a for a in want) / noise) > 18
 
 
 def test_zero_bytes_ramp_and_the_pad_is_quiet(spark):
-    codes = spark.createDataFrame([("zero", "0" * 1024), ("pad", "08" * 512)], "signal_id string, codes string")
+    codes = spark.createDataFrame([("zero", "0" * 1500), ("pad", "08" * 700)], "signal_id string, codes string")
     got = {r["signal_id"]: r["decoded"] for r in adpcm.decode_signals(codes, "signal_id", "codes").collect()}
     assert max(got["zero"]) > 30000 and max(map(abs, got["pad"])) < 64
     both = spark.createDataFrame([("0123456789ABCDEF",)], "c string").select(adpcm.codes_to_bytes(F.col("c")).alias("low"), adpcm.codes_to_bytes(F.col("c"), False).alias("high")).first()
