@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorlake.llm import chat_format, decontamination, embedding_itq, near_dedup, packing, pseudo_likelihood, quality_rules, sharding, substring_dedup, url_rules
+from sectorlake.llm import chat_format, decontamination, divergence, embedding_itq, importance, language_id, near_dedup, packing, pseudo_likelihood, quality_rules, sharding, substring_dedup, url_rules
 
 SHARDS = 24
 URL_RULES = [
@@ -92,6 +92,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed against the benchmark's texts by hashed words and word pairs, a quarter of them drawn."""
+    return importance.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each language of all documents against each other and against the language."""
+    return divergence.audit(_table(spark, sf_dir, "documents"), least=3, top=200)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a model learned outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -103,6 +119,9 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES = {
@@ -216,5 +235,70 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(chars) AS BIGINT) AS formatted_chars,
   bool_and(step IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS valid
 FROM states GROUP BY conv_id
+""",
+    # CRC-32 as in op1, over each distinct run of words.
+    "op11_importance_resampling": r"""
+WITH RECURSIVE crc_step(i, k, v) AS (
+  SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_step WHERE k < 8
+),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM crc_step WHERE k = 8),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, text, false AS aim FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, text, true FROM benchmark),
+words AS (
+  SELECT r, aim, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM texts),
+places AS (SELECT r, aim, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM words),
+runs AS (SELECT r, aim, w, w || ' ' || lead(w) OVER (PARTITION BY r ORDER BY p) AS two FROM places),
+features AS (SELECT r, aim, w AS f FROM runs UNION ALL SELECT r, aim, two FROM runs WHERE two IS NOT NULL),
+hexed AS (SELECT DISTINCT f, hex(encode(f)) AS h, strlen(f) AS n FROM features),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT) FOR i IN range(n)]),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM hexed, crc_table),
+found AS (SELECT r, aim, bucket FROM features JOIN hashed USING (f)),
+sums AS (SELECT bucket, count(*) FILTER (WHERE NOT aim) AS s, count(*) FILTER (WHERE aim) AS t FROM found GROUP BY bucket),
+totals AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS a, CAST(coalesce(sum(t), 0) AS DOUBLE) AS b FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(((CAST(t AS DOUBLE) + 1) * (a + 10000)) / ((CAST(s AS DOUBLE) + 1) * (b + 10000)))) AS BIGINT) AS gain FROM sums, totals),
+weighed AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g FROM found JOIN gains USING (bucket) WHERE NOT aim GROUP BY r),
+scored AS (
+  SELECT texts.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features,
+    CASE WHEN n > 0 THEN CAST((g - ((g % n) + n) % n) // n AS BIGINT) ELSE 0 END AS weight,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(texts.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM texts JOIN words USING (r) LEFT JOIN weighed USING (r) WHERE NOT texts.aim),
+drawn AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+    count(*) OVER (PARTITION BY n_words >= 20) AS eligible
+  FROM drawn)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * eligible // 100 THEN place END AS rank FROM ordered
+""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+cells AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS own
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (
+  SELECT g.lang, source, term, n, CAST(1 + 1000000000 * (n + 1) // (own + v) AS BIGINT) AS p, CAST(1 + 1000000000 * (lang_n + 1) // (total + v) AS BIGINT) AS q
+  FROM grid g JOIN sizes USING (lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
 }

@@ -23,6 +23,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: For words without punctuation: all ASCII bytes but letters and digits separate.
 _BREAK = np.zeros(256, bool)
 _BREAK[[b for b in range(128) if not chr(b).isalnum()]] = True
+#: For terms: all ASCII bytes but letters separate.
+_NO_LETTER = np.zeros(256, bool)
+_NO_LETTER[[b for b in range(128) if not chr(b).isalpha()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -171,20 +174,21 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def segments(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SEGMENT_BYTES, bare: bool = False, hashed: bool = True) -> Iterator[Words]:
+def segments(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SEGMENT_BYTES, bare: bool = False, hashed: bool = True, letters: bool = False) -> Iterator[Words]:
     """Words of ``texts`` (null: empty) in segments of about ``limit`` bytes, in order.
 
     ``lower`` lower-cases A-Z; ``bare`` also separates words at ASCII punctuation, which drops it;
-    ``hashed`` False leaves the words' hashes out.
+    ``letters`` at digits too; ``hashed`` False leaves the words' hashes out.
     """
     whole = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    separators = _NO_LETTER if letters else _BREAK if bare else _SPACE
     base = 0
     for chunk in whole.chunks if isinstance(whole, pa.ChunkedArray) else [whole]:
         data, offsets = _bytes(chunk)
         lo = 0
         while lo < len(chunk):
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-            yield _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, base + lo, _BREAK if bare else _SPACE, hashed)
+            yield _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, base + lo, separators, hashed)
             lo = hi
         base += len(chunk)
 
