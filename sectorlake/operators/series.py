@@ -1,4 +1,4 @@
-"""Sampled signals as rows: envelopes, segments, correlation, drift."""
+"""Sampled signals as rows: envelopes, segments, drift."""
 
 from __future__ import annotations
 
@@ -46,36 +46,6 @@ def dynamic_anchor(envelope: DataFrame, signal: str, hops: int = 8, stride: int
     return whole.groupBy(signal).agg(best.alias("_best")).select(signal, "_best.hop", "_best.dynamics")
 
 
-def lag_correlation(pairs: DataFrame, samples: DataFrame, signal: str, value: str, lags: int) -> DataFrame:
-    """For each (left, right) pair the lag in -lags..lags of the largest normalized correlation; ties: the smallest lag.
-
-    Each sample of the right signal has its neighbours within the range beside it, so signals meet once by
-    position and the sums of all lags are taken in one pass.
-    """
-    w = Window.partitionBy(signal)
-    centred = samples.select(signal, "pos", (F.col(value) - F.avg(value).over(w)).alias("x"))
-    order = Window.partitionBy(signal).orderBy("pos")
-    shifts = range(-lags, lags + 1)
-    near = [F.lead("x", k).over(order) if k >= 0 else F.lag("x", -k).over(order) for k in shifts]
-    right = centred.select(F.col(signal).alias("right"), "pos", *[c.alias(f"_b{i}") for i, c in enumerate(near)])
-    left = pairs.join(centred, F.col("left") == centred[signal]).select("left", "right", "pos", F.col("x").alias("a"))
-    # A left sample behind the right signal's end still meets the neighbours before it.
-    ends = centred.groupBy(F.col(signal).alias("right")).agg(F.max("pos").alias("_last"))
-    tail = centred.join(ends, F.col(signal) == F.col("right")).where(F.col("pos") > F.col("_last") - lags).select("right", F.col("pos").alias("_at"), "x", "_last")
-    beyond = tail.withColumn("pos", F.explode(F.sequence(F.col("_last") + 1, F.col("_at") + lags))).groupBy("right", "pos").agg(
-        *[F.max(F.when(F.col("_at") == F.col("pos") + k, F.col("x"))).alias(f"_b{i}") for i, k in enumerate(shifts)]
-    )
-    joined = left.join(right.unionByName(beyond), ["right", "pos"])
-    b = [F.col(f"_b{i}") for i in range(len(shifts))]
-    made = joined.groupBy("left", "right").agg(*[
-        F.struct(F.lit(k).alias("lag"), F.sum(F.col("a") * c).alias("ab"), F.sum(F.when(c.isNotNull(), F.col("a") * F.col("a"))).alias("aa"), F.sum(c * c).alias("bb")).alias(f"_s{i}")
-        for i, (k, c) in enumerate(zip(shifts, b, strict=True))
-    ])
-    sums = made.select("left", "right", F.explode(F.array(*[f"_s{i}" for i in range(len(shifts))])).alias("s")).select("left", "right", "s.*")
-    scored = sums.where("aa > 0 and bb > 0").withColumn("corr", F.round(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")), 6))
-    return scored.groupBy("left", "right").agg(F.max_by(F.struct("lag", "corr"), F.struct("corr", -F.col("lag"))).alias("best")).select("left", "right", "best.lag", "best.corr")
-
-
 def snr_db(rows: DataFrame, by: list[str], value: str, decoded: str) -> DataFrame:
     """10 log10 of signal over error power; a zero sum counts as 1."""
     guard = lambda x: F.when(x == 0, 1.0).otherwise(x)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sectorlake.functions import units as U
 from sectorlake.functions.prefix import exclusive_sums, numbered
-from sectorlake.operators import blocks8, lookup, placement, reports, series
+from sectorlake.operators import blocks8, correlate, lookup, placement, reports, series
 from sectorlake.plans.images import _PIXELS, _QUANT, QUALITY_75, mp2_profiles, pixels
 from sectorlake.plans.registry import query
 from sectorlake.plans.signals import _env, envelope, samples
@@ -249,7 +249,7 @@ def envelope_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's envelope, stretched by up to a tenth, in the next user's."""
     env = envelope(spark, sf_dir, 4)
     pairs = env.select(F.col("user_id").alias("left")).distinct().withColumn("right", F.col("left") + 1)
-    found = reports.envelope_scales(pairs, env, "user_id", "rms")
+    found = correlate.envelope_scales(pairs, env, "user_id", "rms", size=128)
     return found.select("left", "right", F.round("scale", 6).alias("scale"), "pos", "corr")
 
 
@@ -386,29 +386,48 @@ def vox_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "directive_lines",
-    """SELECT p_partkey, ([ 'name', 'blocks', 'colour'])[p_partkey % 3 + 1] AS directive, CASE WHEN p_partkey % 3 = 1 THEN CAST(p_size AS VARCHAR) ELSE p_name END AS value, p_partkey % 3 < 2 AS known
-FROM part WHERE p_partkey % 7 <> 0""",
+    """WITH w AS (SELECT p_partkey, (['name', 'blocks', 'colour', 'makerid', 'version', 'asset'])[p_partkey % 6 + 1] AS word,
+  CASE p_partkey % 6 WHEN 1 THEN CAST(p_size AS VARCHAR) ELSE p_name || ' #' || CAST(p_size AS VARCHAR) || ' of 50 ' END AS value FROM part WHERE p_partkey % 7 <> 0)
+SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE word END AS directive, CASE WHEN p_partkey % 11 = 0 THEN word || ' ' || value WHEN p_partkey % 13 <> 0 THEN value END AS value,
+  p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND word <> 'colour' AS known FROM w""",
 )
 def directive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directive lines made of parts, with comments, and read back; every seventh is a comment only."""
-    word = F.element_at(F.array(F.lit("name"), F.lit("blocks"), F.lit("colour")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    value = F.when(F.col("p_partkey") % 3 == 1, F.col("p_size").cast("string")).otherwise(F.col("p_name"))
-    line = F.when(F.col("p_partkey") % 7 == 0, F.lit("# nothing")).otherwise(F.concat(F.lit("  "), word, F.lit("\t "), value, F.lit("  # from part")))
-    return text.parse_directives(table(spark, sf_dir, "part").select("p_partkey", line.alias("value")), ["p_partkey"])
+    """Directive lines made of parts and read back; every seventh is a comment, others stand indented or without a value."""
+    word = F.element_at(F.array(*[F.lit(w) for w in ("name", "blocks", "colour", "makerid", "version", "asset")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    value = F.when(F.col("p_partkey") % 6 == 1, F.col("p_size").cast("string")).otherwise(F.concat("p_name", F.lit(" #"), F.col("p_size").cast("string"), F.lit(" of 50 ")))
+    given = F.concat(word, F.lit(" "), value)
+    line = F.when(F.col("p_partkey") % 7 == 0, F.lit("# nothing")).when(F.col("p_partkey") % 11 == 0, F.concat(F.lit(" "), given)).when(F.col("p_partkey") % 13 == 0, word).otherwise(given)
+    return text.parse_directives(table(spark, sf_dir, "part").select("p_partkey", F.concat(line, F.lit("\r\n")).alias("value")), ["p_partkey"])
 
 
 @query(
     "map_symbols",
-    "SELECT p_partkey, 'g_part_' || CAST(p_partkey AS VARCHAR) AS symbol, CAST(32768 + 4 * p_partkey AS BIGINT) AS address, CAST(p_size * 65537 AS BIGINT) AS value FROM part",
+    """WITH n AS (SELECT p_partkey, p_size, CASE p_partkey % 5 WHEN 0 THEN 'g_done' WHEN 1 THEN 'g_frame_count' ELSE 'g_part_' || CAST(p_partkey AS VARCHAR) END AS symbol FROM part)
+SELECT p_partkey, symbol, CAST(32768 + 4 * p_partkey AS BIGINT) AS address, CAST(CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE p_size END AS BIGINT) AS bytes,
+  CAST(CASE WHEN p_partkey % 5 < 2 THEN p_size ELSE p_size * 65537 END AS BIGINT) AS value FROM n""",
 )
 def map_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of map lines, and the counter at each one's place in its own dump of sixteen bytes."""
-    line = F.concat(F.lit("    0x"), F.lpad(F.lower(F.hex(32768 + 4 * F.col("p_partkey"))), 8, "0"), F.lit("      _g_part_"), F.col("p_partkey").cast("string"))
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", line.alias("value"))
-    found = text.parse_symbols(parts.select("p_partkey", "value"), ["p_partkey"])
+    """Symbols of map lines of all three forms, and the counter at each one's place in its own dump of sixteen bytes.
+
+    Plain lines name a symbol; sections are on one line or two, each behind a plain line of a wrong address.
+    """
+    hexed = lambda v: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(v)), 8, "0"))
+    name = F.when(F.col("p_partkey") % 5 == 0, F.lit("g_done")).when(F.col("p_partkey") % 5 == 1, F.lit("g_frame_count")).otherwise(F.concat(F.lit("g_part_"), F.col("p_partkey").cast("string")))
+    at, extent = hexed(32768 + 4 * F.col("p_partkey")), F.concat(hexed(32768 + 4 * F.col("p_partkey")), F.lit("        "), hexed(F.col("p_size")), F.lit(" a.o"))
+    plain = lambda address: F.concat(F.lit("                "), address, F.lit("                "), name)
+    section = F.concat(F.lit(" .bss."), name)
+    lines = (
+        F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("Memory map"), plain(at), plain(F.lit("0x00000001"))))
+        .when(F.col("p_partkey") % 3 == 1, F.array(plain(F.lit("0x00000001")), F.concat(section, F.lit("  "), extent)))
+        .otherwise(F.array(section, F.concat(F.lit("      "), extent), plain(F.lit("0x00000001"))))
+    )
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", lines.alias("lines"))
+    found = text.parse_symbols(parts.select("p_partkey", F.posexplode("lines").alias("line_no", "value")), ["p_partkey"])
     dump = F.concat(F.unhex(F.lit("FF" * 4)), container.little_endian_bytes(F.col("p_size") * 65537, 4), F.unhex(F.lit("EE" * 8)))
     memory = parts.select("p_partkey", dump.alias("content"), (32768 + 4 * F.col("p_partkey") - 4).alias("base"))
-    return found.join(memory, "p_partkey").select("p_partkey", "symbol", "address", U.little_endian(F.col("content"), F.col("address") - F.col("base"), 4).alias("value"))
+    held = found.join(memory, "p_partkey").withColumn("_n", text.counter_bytes(F.col("symbol")))
+    value = F.coalesce(*[F.when(F.col("_n") == n, U.little_endian(F.col("content"), F.col("address") - F.col("base"), n)) for n in (1, 2, 4)])
+    return held.select("p_partkey", "symbol", "address", "bytes", value.alias("value"))
 
 
 @query("counter_lines", "SELECT user_id, count(*) AS presented, count(*) FILTER (WHERE event_type = 'error') AS skipped FROM events GROUP BY user_id")

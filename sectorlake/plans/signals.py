@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorlake.operators import adpcm, series
+from sectorlake.operators import adpcm, correlate, series
 from sectorlake.plans.registry import query
 from sectorlake.plans.timeline import table
 
@@ -85,7 +85,7 @@ def lag_correlation_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lag at which each user's signal and the next user's go together best."""
     rows = samples(spark, sf_dir)
     pairs = rows.select(F.col("user_id").alias("left")).distinct().withColumn("right", F.col("left") + 1)
-    return series.lag_correlation(pairs, rows, "user_id", "value", 20)
+    return correlate.lag_correlation(pairs, rows, "user_id", "value", 20)
 
 
 @query(

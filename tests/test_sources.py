@@ -31,18 +31,30 @@ def test_riff_and_wav(spark):
 
 
 def test_text_sources(spark, tmp_path):
-    (tmp_path / "disc.txt").write_text("# a comment\nname Some Disc # more\n\nblocks 12\nunheard of\nalone\n")
+    lines = ["# a comment", "binary ./game.bin", "name Disc #1 of 2 ", "", "makerid ABC", "maker  Somebody", "version 256", "asset a b.dat", "unheard of", "alone", " name late", "blocks\t12", "lbaheader x.h"]
+    (tmp_path / "disc.txt").write_text("\n".join(lines) + "\n")
     got = {(r["directive"], r["value"], r["known"]) for r in text.directives(spark, str(tmp_path / "disc.txt")).collect()}
-    assert got == {("name", "Some Disc", True), ("blocks", "12", True), ("unheard", "of", False), ("alone", None, False)}
+    assert got == {
+        ("binary", "./game.bin", True), ("name", "Disc #1 of 2 ", True), ("makerid", "ABC", True), ("maker", " Somebody", True), ("version", "256", True), ("asset", "a b.dat", True),
+        ("unheard", "of", False), ("alone", None, False), ("", "name late", False), ("blocks\t12", None, False), ("lbaheader", "x.h", True),
+    }
     folder = tmp_path / "stats"
     folder.mkdir()
     (folder / "stats_1.json").write_text(json.dumps({"checkpoint": 1, "frames": 10}))
     (folder / "stats_2.json").write_text("{ broken")
     assert [(r["report"], r["frames"]) for r in text.counter_reports(spark, str(folder), "checkpoint int, frames int").collect()] == [("stats_1.json", 10)]
-    (tmp_path / "map").write_text("  0x00008010   _g_done\n  0x8014 g_frames\nother\n")
-    dump = spark.createDataFrame([(struct.pack("<3I", 7, 1, 401),)], "content binary")
-    values = {r["symbol"]: r["value"] for r in text.peek(text.symbols(spark, str(tmp_path / "map")), dump, 0x800C).collect()}
-    assert values == {"g_done": 1, "g_frames": 401}
+    lines = [
+        "  0x00008010   g_done", "                0x8014 g_frame_count  ", " .bss.g_refills", "                0x00008018        0x4 main.o", ".bss.g_requests 0x801c 0x4 main.o", "  0x9999 g_requests",
+        "  0x1 g_refills", "  0x8012 g_done", "other", " .bss.lonely", "no numbers", "0xffff0000 g_far", " .bss.twice 0x1 0x2", " .bss.twice 0x3 0x8",
+    ]
+    (tmp_path / "map").write_text("\n".join(lines))
+    found = text.symbols(spark, str(tmp_path / "map"))
+    assert {(r["symbol"], r["address"], r["bytes"]) for r in found.collect()} == {
+        ("g_done", 0x8010, 4), ("g_frame_count", 0x8014, 4), ("g_refills", 0x8018, 4), ("g_requests", 0x801C, 4), ("g_far", 0xFFFF0000, 4), ("twice", 3, 8),
+    }
+    dump = spark.createDataFrame([(struct.pack("<I2xH2I", 7, 0, 0, 0)[:4] + struct.pack("<4I", 0xFFFFFF01, 0xFFFF0191, 70_000, 5),)], "content binary")
+    values = {r["symbol"]: r["value"] for r in text.peek(found, dump, 0x800C).collect()}
+    assert values == {"g_done": 1, "g_frame_count": 0x191, "g_refills": 70_000, "g_requests": 5}
     assert spark.range(1).select(text.c_array(F.lit("x"), F.lit(bytearray(b"\x01\xff")))).first()[0] == "static const unsigned char x[2] = { 0x01,0xff, };"
 
 
