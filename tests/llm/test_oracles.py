@@ -9,7 +9,7 @@ from sectorlake.llm import queries
 from tests.test_oracles import rows
 
 FOLDER = os.environ.get("ORACLE_TABLES", "/root/testdata/sf0.001")
-TABLES = "documents embeddings pages conversations".split()
+TABLES = "documents embeddings pages conversations benchmark".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
