@@ -26,7 +26,7 @@ from sectorlake.llm.tables import drop, materialize
 BUCKETS = 10_000
 NGRAMS = 2
 #: Bytes of text that one DuckDB statement takes (or one longer text), and its memory before it spills.
-SLICE_BYTES, DUCKDB_MEMORY = 4 << 20, "500MB"
+SLICE_BYTES, DUCKDB_MEMORY = 2 << 20, "300MB"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
