@@ -20,8 +20,8 @@ from sectorlake.llm.tables import materialize
 LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
-#: Bytes of text that are sorted at once (or one longer text), and pairs of sources that are summed at once.
-SLICE_BYTES, PAIRS = 16 << 20, 1 << 21
+#: Bytes of text that are sorted at once (or one longer text), pairs of sources that are summed at once, and sums that a task holds.
+SLICE_BYTES, PAIRS, HELD = 8 << 20, 1 << 19, 1 << 20
 
 _RUNS = "lang string, term string, source string, n_docs bigint, n bigint"
 _FOUND = "lang string, term string, source string, n bigint, lang_n bigint, first int, other string, other_n bigint, n_terms bigint"
@@ -103,8 +103,8 @@ class _Pairs:
             self.parts.append(_summed(np.column_stack([lang[a], source[a], source[b], n[a], n[b], np.ones(len(a), np.int64)])))
             self.held += len(self.parts[-1])
             lo = hi
-            if self.held > PAIRS:
-                yield from self.flush(PAIRS // 2)
+            if self.held > HELD:
+                yield from self.flush(HELD // 2)
 
     def flush(self, above: int = 0) -> Iterator[pa.RecordBatch]:
         """What is held, summed, as rows, once that is more than ``above`` of them."""
