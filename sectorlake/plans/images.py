@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sectorlake.functions import units as U
 from sectorlake.operators import blocks8
 from sectorlake.operators.reports import pearson
+from sectorlake.operators.frames import MP2_KBPS, MP2_RATES
 from sectorlake.plans.registry import query
 from sectorlake.plans.timeline import table
 
@@ -187,11 +188,6 @@ def rgb_to_yuv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(y, 6).alias("y"), F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
 
 
-# kbit/s by index and sample rates by code, for low (lsf) and full sample rates.
-MP2_KBPS = {"lsf": [8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160], "full": [32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384]}
-MP2_RATES = {"lsf": [22050, 24000, 16000], "full": [44100, 48000, 32000]}
-
-
 def mp2_profiles(spark: SparkSession) -> DataFrame:
     """(version, kbps, rate, padding, frame_bytes): P17 over all legal headers."""
     rows = [(v, k, r, p) for v in MP2_KBPS for k in MP2_KBPS[v] for r in MP2_RATES[v] for p in (0, 1)]

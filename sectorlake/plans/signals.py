@@ -144,7 +144,7 @@ SELECT user_id, count(*) AS n, CAST(sum(code) AS BIGINT) AS code_sum, CAST(arg_m
 FROM fold WHERE pos >= 0 GROUP BY user_id""",
 )
 def adpcm_encode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed-loop encoding with a search of the neighbouring magnitudes, as a native fold."""
+    """Closed-loop encoding with a search of the neighbouring magnitudes."""
     encoded = adpcm.encode_signals(pcm(spark, sf_dir), "user_id", "pcm")
     return encoded.select("user_id", "n", "code_sum", "last_pred", "last_index")
 
@@ -163,3 +163,66 @@ def adpcm_roundtrip_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = both.select("user_id", F.explode(F.arrays_zip("pcm", "decoded")).alias("p")).select("user_id", F.col("p.pcm").cast("double").alias("v"), F.col("p.decoded").cast("double").alias("d"))
     error = rows.groupBy("user_id").agg(F.max(F.abs(F.col("v") - F.col("d"))).cast("int").alias("max_error"))
     return error.join(series.snr_db(rows, ["user_id"], "v", "d"), "user_id").withColumn("snr_db", F.round("snr_db", 5))
+
+
+#: Codes of one block of ``adpcm_streams``.
+PER_BLOCK = 512
+
+
+def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(signal, block, n, data): every fifth event's value as a 4-bit code, PER_BLOCK codes a block, high nibble first."""
+    rows = table(spark, sf_dir, "events").select(
+        (F.col("event_id") % 5).alias("signal"), F.call_function("div", F.col("event_id"), F.lit(5)).alias("pos"), F.hex((F.floor(F.col("value") * 10) % 16).cast("long")).alias("digit")
+    )
+    block = F.call_function("div", F.col("pos"), F.lit(PER_BLOCK)).alias("block")
+    listed = rows.groupBy("signal", block).agg(F.array_sort(F.collect_list(F.struct("pos", "digit"))).alias("c"))
+    return listed.select("signal", "block", F.size("c").alias("n"), adpcm.codes_to_bytes(F.array_join(F.transform("c", lambda c: c["digit"]), ""), low_first=False).alias("data"))
+
+
+@query(
+    "adpcm_streams",
+    f"""WITH RECURSIVE l AS (SELECT event_id % 5 AS signal, list(CAST(floor(value * 10) AS BIGINT) % 16 ORDER BY event_id) AS codes FROM events GROUP BY event_id % 5),
+k AS (SELECT [{_STEPS}] AS steps, [{_MOVES}] AS moves),
+v(variant, linear, low, high, start, scale, base) AS (VALUES ('signed15', true, -16384, 16383, 0, 2, 0), ('unsigned15', true, 0, 32767, 16384, 2, -32768),
+  ('oki12', false, 0, 65535, 32768, 1, -32768), ('wrapping12', false, 0, 65520, 32768, 1, -32768)),
+fold(signal, variant, pos, idx, pred, heard) AS (
+  SELECT signal, variant, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(start AS BIGINT), CAST(0 AS BIGINT) FROM l, v
+  UNION ALL
+  SELECT f.signal, f.variant, f.pos + 1, CAST(greatest(0, least(48, f.idx + moves[c % 8 + 1])) AS BIGINT), CAST(CASE WHEN f.variant = 'wrapping12' THEN ((f.pred + d) % 65536 + 65536) % 65536 ELSE greatest(low, least(high, f.pred + d)) END AS BIGINT),
+    CAST(greatest(low, least(high, f.pred + d)) AS BIGINT)
+  FROM fold f JOIN l ON l.signal = f.signal AND f.pos + 1 < len(l.codes) JOIN v ON v.variant = f.variant, k,
+  LATERAL (SELECT l.codes[f.pos + 2] AS c, steps[f.idx + 1] AS s) x,
+  LATERAL (SELECT CASE WHEN c >= 8 THEN -1 ELSE 1 END * CASE WHEN linear THEN s * (c % 8 + 1) ELSE 16 * ((s >> 3) + (c >> 2 & 1) * s + (c >> 1 & 1) * (s >> 1) + (c & 1) * (s >> 2)) END AS d) y)
+SELECT signal, variant, pos // {PER_BLOCK} AS block, count(*) AS n, CAST(sum(greatest(-32768, least(32767, heard * scale + base)) * (pos % 7 + 1)) AS BIGINT) AS checksum, min(heard) AS low, max(heard) AS high
+FROM fold JOIN v USING (variant) WHERE pos >= 0 GROUP BY signal, variant, pos // {PER_BLOCK}""",
+)
+def adpcm_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of codes cut into blocks, decoded by all four forms; a weighted sum and the predictor's extremes a block."""
+    blocks = code_blocks(spark, sf_dir)
+    found = None
+    for variant in adpcm.VARIANTS:
+        weight = (F.col("block") * PER_BLOCK).cast("long")
+        total = F.aggregate(F.transform("pcm", lambda x, i: x * ((weight + i) % 7 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+        part = adpcm.decode_blocks(blocks, "signal", variant, low_first=False).select(
+            "signal", F.lit(variant).alias("variant"), "block", F.size("pcm").cast("long").alias("n"), total.alias("checksum"), "low", "high"
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query(
+    "bias_ramps",
+    """WITH RECURSIVE n AS (SELECT event_id % 35 AS signal, count(*) AS n FROM events GROUP BY event_id % 35),
+walk(signal, bias, pos, v) AS (
+  SELECT signal, b, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM n, (VALUES (0), (21), (150), (900)) t(b)
+  UNION ALL
+  SELECT w.signal, bias, w.pos + 1, CASE WHEN n.n < 200 THEN 0 WHEN n.n - w.pos - 2 < (bias + 1) // 2 THEN CASE WHEN w.v > 0 THEN w.v - 2 ELSE w.v END WHEN w.v < (bias + 1) // 2 * 2 THEN w.v + 2 ELSE w.v END
+  FROM walk w JOIN n ON n.signal = w.signal AND w.pos + 1 < n.n)
+SELECT signal, bias, pos, v AS ramp FROM walk WHERE pos >= 0""",
+)
+def bias_ramps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The DC bias at each sample of streams made of events, for four biases. The oracle walks the samples."""
+    rows = table(spark, sf_dir, "events").select((F.col("event_id") % 35).alias("signal"), F.call_function("div", F.col("event_id"), F.lit(35)).alias("pos"))
+    sized = rows.join(rows.groupBy("signal").agg(F.count("*").alias("n")), "signal")
+    ramps = F.explode(F.array(*[F.struct(F.lit(b).alias("bias"), adpcm.bias_ramp(F.col("pos"), F.col("n"), b).alias("ramp")) for b in (0, 21, 150, 900)])).alias("r")
+    return sized.select("signal", "pos", ramps).select("signal", "r.bias", "pos", "r.ramp")
