@@ -227,15 +227,16 @@ def fit(docs: DataFrame) -> LanguageModel:
     learned = docs.where(~held_out(F.col("doc_id"))).where("lang is not null and text is not null")
     found = learned.select("text").mapInArrow(_frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     sample = materialize(training_texts(docs).mapInArrow(_features, "lang string, turn bigint, buckets array<int>, shares array<float>"), "language-sample")
-    rows = sorted(sample.where(F.size("buckets") > 0).toArrow().to_pylist(), key=lambda r: (r["turn"], r["lang"]))
-    languages = tuple(sorted({r["lang"] for r in rows}))
+    rows = sample.where(F.size("buckets") > 0).toArrow().sort_by([("turn", "ascending"), ("lang", "ascending")]).combine_chunks()
+    named = rows.column("lang").to_pylist()
+    languages = tuple(sorted(set(named)))
     if not languages:
         return LanguageModel((), np.zeros(0), np.zeros((BUCKETS, 0)), 1.0)
     n = np.zeros(BUCKETS + 1)
     n[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(float)
     idf = np.log((1 + n[BUCKETS]) / (1 + n[:BUCKETS])) + 1
     code = {lang: k for k, lang in enumerate(languages)}
-    known = [(np.array(r["buckets"], np.int64), np.array(r["shares"], float), code[r["lang"]]) for r in rows]
+    known = [(b.values.to_numpy(), x.values.to_numpy(), code[lang]) for b, x, lang in zip(rows.column("buckets"), rows.column("shares"), named, strict=True)]
     check = [k % 5 == 0 for k in range(len(known))] if len(known) >= 50 else [False] * len(known)
     bias, weights = _learn([r for r, c in zip(known, check, strict=True) if not c], idf, len(languages))
     scaled = weights * idf[:, None]
