@@ -1,85 +1,74 @@
-"""Orders of one long stream without a window over all of it: chunks of keys, sums and carried values."""
+"""Sums, numbers and carried values in one order of a stream, however long it is."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Chunks of a stream at most: their totals are put in one order, each chunk in its own.
-CHUNKS = 1024
-#: Rows that a chunk is not cut below.
-CHUNK_ROWS = 4096
-_ACCURACY = 20_000
+from sectorlake.sources.shared import written
 
+#: Estimated bytes up to which rows are put in order by a plain window.
+SMALL_BYTES = 128 << 20
 
-def key_chunks(df: DataFrame, key: str, name: str = "_chunk", rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add ``name``: 0, 1, ... by ranges of ``key`` of about equal numbers of rows, wherever the keys lie.
-
-    Range bounds are quantiles over all rows, at most CHUNKS - 1 of them; a row finds its own by
-    halving.  Equal keys are in one chunk.  Null keys are in chunk 0.
-    """
-    shares = [i / CHUNKS for i in range(1, CHUNKS)]
-    found = df.agg(F.count(key).alias("n"), F.percentile_approx(F.col(key), shares, _ACCURACY).alias("bounds")).first()
-    wanted = min(CHUNKS, -(-found["n"] // rows)) if found["n"] else 1
-    bounds = sorted({found["bounds"][i * CHUNKS // wanted - 1] for i in range(1, wanted)})
-    if not bounds:
-        return df.withColumn(name, F.lit(0))
-    held = F.array(*[F.lit(b) for b in bounds])
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+_TOTAL = {"sum": F.sum, "min": F.min, "max": F.max}
 
-    def halve(at: Column, step: Column) -> Column:
-        ahead = at + step
-        return F.when((ahead <= len(bounds)) & (F.try_element_at(held, F.least(ahead, F.lit(len(bounds)))) <= F.col(key)), ahead).otherwise(at)
 
-    return df.withColumn(name, F.when(F.col(key).isNull(), 0).otherwise(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)))
+def _over(kind: str, value: Column, window) -> Column:
+    return F.last(value, ignorenulls=True).over(window) if kind == "last" else _TOTAL[kind](value).over(window)
 
 
-_TOTAL = {"sum": F.sum, "min": F.min, "max": F.max}
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark's planner takes the size of ``df`` to be; no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _over(kind: str, value: Column, window) -> Column:
-    return F.last(value, ignorenulls=True).over(window) if kind == "last" else _TOTAL[kind](value).over(window)
+_BOTH = {
+    "sum": lambda o, s: (F.coalesce(o, F.lit(0)) + F.coalesce(s, F.lit(0))).cast("long"),
+    "min": F.least, "max": F.greatest, "last": lambda o, s: F.coalesce(s, o),
+}
 
 
-def running(
-    df: DataFrame, order: list[str], values: dict[str, tuple[str, Column]], by: tuple[str, ...] = (), inclusive: bool = False, width: int | None = None, rows: int = CHUNK_ROWS
-) -> DataFrame:
+def running(df: DataFrame, order: list[str], values: dict[str, tuple[str, Column]], by: tuple[str, ...] = (), inclusive: bool = False, width: int | None = None) -> DataFrame:
     """Add running values over the rows before each one (``inclusive``: and itself) in ``order`` within ``by``.
 
     ``values`` gives for each new column a kind and what it is taken of: ``sum`` (0 where nothing came
-    before), ``min``, ``max``, or ``last``, the last non-null one.  Two levels: totals of chunks of the
-    first order column are put in one order and join back to sums within a chunk, so no task holds a
-    whole stream, and values are carried over gaps of any width.  ``width`` cuts chunks of that many
-    consecutive whole keys, for keys that lie dense; else chunks are quantiles.  Rows must be distinct
-    in ``order`` within ``by``.
+    before), ``min``, ``max``, or ``last``, the last non-null one.  Rows must be distinct in ``order`` within
+    ``by``.  Tables of more than SMALL_BYTES go through two levels, so no task holds a stream: rows are cut into
+    chunks, chunks' totals are put in one order and join back to running values within a chunk.  Chunks are
+    ``width`` consecutive keys of the first order column where that is given, for keys that lie dense; else
+    ranges of ``by`` and ``order`` of about equal numbers of rows, which are written down first.  Both ways
+    give the same values.
     """
-    first = order[0]
+    keyed = df.withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
+    end = 0 if inclusive else -1
+    null = F.lit(None)
+    if estimated_bytes(df) <= SMALL_BYTES:
+        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        found = {n: _over(kind, F.col(f"_v_{n}"), whole) for n, (kind, _) in values.items()}
+        made = {n: _BOTH["sum"](null, c) if values[n][0] == "sum" else c for n, c in found.items()}
+        return keyed.withColumns(made).drop(*[f"_v_{n}" for n in values])
     if width:
-        keyed = df.withColumn("_chunk", F.call_function("div", F.col(first).cast("long"), F.lit(width).cast("long")))
+        keyed, inner = keyed.withColumn("_chunk", F.call_function("div", F.col(order[0]).cast("long"), F.lit(width).cast("long"))), order
     else:
-        keyed = key_chunks(df, first, rows=rows)
-    keyed = keyed.withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
+        ranged = keyed.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())
+        keyed, inner = written(ranged, "ranges").withColumn("_chunk", F.shiftright("_at", 33)), ["_at"]
     own = [*by, "_chunk"]
 
     def total(name: str, kind: str) -> Column:
         value = F.col(f"_v_{name}")
-        return (F.max_by(value, F.when(value.isNotNull(), F.struct(*order))) if kind == "last" else _TOTAL[kind](value)).alias(f"_t_{name}")
+        return (F.max_by(value, F.when(value.isNotNull(), F.struct(*inner))) if kind == "last" else _TOTAL[kind](value)).alias(f"_t_{name}")
 
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = keyed.groupBy(*own).agg(*[total(n, kind) for n, (kind, _) in values.items()])
     offsets = totals.select(*own, *[_over(kind, F.col(f"_t_{n}"), before).alias(f"_o_{n}") for n, (kind, _) in values.items()])
-    local = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = Window.partitionBy(*own).orderBy(*inner).rowsBetween(Window.unboundedPreceding, end)
     same = F.lit(True)
     for c in own:
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     out = keyed.alias("a").join(offsets.alias("b"), same).select("a.*", *[f"b._o_{n}" for n in values])
     out = out.withColumns({f"_s_{n}": _over(kind, F.col(f"_v_{n}"), local) for n, (kind, _) in values.items()})
-    both = {
-        "sum": lambda o, s: (F.coalesce(o, F.lit(0)) + F.coalesce(s, F.lit(0))).cast("long"),
-        "min": F.least, "max": F.greatest, "last": lambda o, s: F.coalesce(s, o),
-    }
-    made = {n: both[kind](F.col(f"_o_{n}"), F.col(f"_s_{n}")) for n, (kind, _) in values.items()}
-    return out.withColumns(made).drop("_chunk", *[f"_{k}_{n}" for k in "vos" for n in values])
+    made = {n: _BOTH[kind](F.col(f"_o_{n}"), F.col(f"_s_{n}")) for n, (kind, _) in values.items()}
+    return out.withColumns(made).drop("_chunk", "_at", *[f"_{k}_{n}" for k in "vos" for n in values])
 
 
 def exclusive_sums(df: DataFrame, key: str, sums: dict[str, Column], by: tuple[str, ...] = (), width: int | None = None) -> DataFrame:

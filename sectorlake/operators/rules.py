@@ -9,6 +9,7 @@ from sectorlake.functions.prefix import exclusive_sums, running
 from sectorlake.functions.units import ADPCM_RATES, FLAG_ADPCM, HALF_BYTES, HALF_SECTORS, sectors
 from sectorlake.operators.placement import DENSE
 
+# The container's header and entry sizes, limits, and magic.
 HEADER_BYTES, ENTRY_BYTES = 64, 32
 MAX_FRAMES, MAX_STRIDE, MAX_MP2_SECTORS = 4096, 4, 8
 WIDTH, HEIGHT, MAGIC = 256, 240, "PCFV0001"

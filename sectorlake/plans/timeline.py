@@ -9,6 +9,7 @@ from sectorlake.functions import units as U
 from sectorlake.functions.prefix import exclusive_sums, numbered
 from sectorlake.operators import lookup, placement, rules
 from sectorlake.plans.registry import query
+from sectorlake.sources.shared import written
 
 NUM, DEN, RATE, STRIDE = 2, 1, 31468, 4
 DATA_START = 63  # sectors of a header and 4000 index entries
@@ -49,8 +50,9 @@ def layout_variable_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.variable_slots(payloads(spark, sf_dir), "doc_id", F.col("bytes"), DATA_START)
 
 
+_FITS = " WHERE (bytes + 2047) // 2048 <= 4"
 _FRAMES = f"""{_SIZED}, frames AS (
-  SELECT source AS stream_id, doc_id, bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS frame FROM sized WHERE (bytes + 2047) // 2048 <= 4)"""
+  SELECT source AS stream_id, doc_id, bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS frame FROM sized{_FITS})"""
 
 
 @query("layout_fixed_stride", f"WITH {_FRAMES} SELECT stream_id, frame, doc_id, CAST(63 + 4 * frame AS BIGINT) AS video_sector, bytes FROM frames")
@@ -90,10 +92,11 @@ placed AS (
   FROM carried)"""
 
 
-def _interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _interleaved(spark: SparkSession, sf_dir: str, fixed: bool = True) -> DataFrame:
+    """Each source's frames with its refills, written down once: all that builds on a layout reads the same rows."""
     blocks = _audio(spark, sf_dir)
     refills = placement.refill_schedule(blocks, NUM, DEN, RATE)
-    return placement.interleaved(source_frames(spark, sf_dir), refills, STRIDE, DATA_START, 64)
+    return written(placement.interleaved(source_frames(spark, sf_dir, fixed), refills, STRIDE, DATA_START, 64), "layout")
 
 
 @query(
@@ -247,7 +250,7 @@ def disc_lba(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _defective(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Layouts of all sources as containers, with defects seeded by frame and source number."""
     n = F.substring("stream_id", 4, 9).cast("long")
-    frames = _interleaved(spark, sf_dir).withColumn("n", n)
+    frames = _interleaved(spark, sf_dir, fixed=False).withColumn("n", n)
     spoiled = frames.select(
         "stream_id", "frame",
         (F.col("video_sector") - F.when((F.col("n") % 5 == 1) & (F.col("frame") % 17 == 3), 2).otherwise(0)).alias("video_sector"),
@@ -273,7 +276,7 @@ def _defective(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "rule_violations",
-    f"""WITH RECURSIVE {_INTERLEAVED},
+    f"""WITH RECURSIVE {_INTERLEAVED.replace(_FITS, "")},
 x AS (SELECT p.*, CAST(substr(p.stream_id, 4) AS BIGINT) AS n, s.block FROM placed p LEFT JOIN schedule s ON s.stream_id = p.stream_id AND s.frame = p.frame AND s.block > 1),
 f AS (SELECT stream_id, n, frame, video_sector - CASE WHEN n % 5 = 1 AND frame % 17 = 3 THEN 2 ELSE 0 END AS v0,
   CASE WHEN n % 5 = 2 AND frame % 13 = 4 THEN 9000 ELSE greatest(bytes, 1) END AS size, audio_sectors AS a,
@@ -303,7 +306,7 @@ UNION ALL SELECT stream_id, frame, 'V13' FROM f WHERE n % 11 = 6 AND a > 8
 UNION ALL SELECT stream_id, frame, 'V11' FROM lapped WHERE s < before""",
 )
 def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1-V13 over layouts with seeded defects."""
+    """V1-V13 over layouts of all payloads, also those over a slot (V8), with seeded defects."""
     return rules.violations(*_defective(spark, sf_dir))
 
 

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from sectorlake.functions.prefix import exclusive_sums, key_chunks, running
+from sectorlake.functions import prefix
+from sectorlake.functions.prefix import exclusive_sums, running
 from sectorlake.operators import lookup, placement
 
 
@@ -18,31 +19,25 @@ def _ids(kind: str, n: int) -> list[int]:
     return sorted(rng.randrange(-(1 << 62), 1 << 62) for _ in range(n))  # as hashes lie
 
 
-def test_sums_over_dense_gapped_and_hashed_keys(spark):
+def test_sums_over_dense_gapped_and_hashed_keys(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "SMALL_BYTES", 0)
     for kind in ("dense", "gaps", "hashed"):
         ids = _ids(kind, 300)
         df = spark.createDataFrame([(i, n % 7) for n, i in enumerate(ids)], "id long, v int")
-        got = {r["id"]: r["s"] for r in running(df, ["id"], {"s": ("sum", F.col("v"))}, rows=16).collect()}
+        got = {r["id"]: r["s"] for r in running(df, ["id"], {"s": ("sum", F.col("v"))}).collect()}
         before = 0
         for n, i in enumerate(ids):
             assert got[i] == before
             before += n % 7
 
 
-def test_chunks_hold_about_equal_rows_wherever_keys_lie(spark):
-    ids = [*range(1000), *(10**17 + i for i in range(1000)), 10**18]
-    df = spark.createDataFrame([(i,) for i in ids], "id long")
-    chunks = key_chunks(df, "id", rows=100).groupBy("_chunk").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).orderBy("_chunk").collect()
-    assert len(chunks) > 15 and max(r["n"] for r in chunks) < 250
-    assert all(x["b"] < y["a"] for x, y in zip(chunks, chunks[1:], strict=False))
-
-
-def test_running_values_by_stream(spark):
+def test_running_values_by_stream(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "SMALL_BYTES", 0)
     rng = random.Random(2)
     rows = [(s, i, rng.choice([None, *range(9)])) for s in "ab" for i in rng.sample(range(10**6), 200)]
     df = spark.createDataFrame(rows, "s string, i long, v int")
-    for width, size in ((None, 10), (1000, 10)):
-        got = running(df, ["i"], {"last": ("last", F.col("v")), "low": ("min", F.col("v")), "high": ("max", F.col("v"))}, ("s",), inclusive=True, width=width, rows=size)
+    for width in (None, 1000):
+        got = running(df, ["i"], {"last": ("last", F.col("v")), "low": ("min", F.col("v")), "high": ("max", F.col("v"))}, ("s",), inclusive=True, width=width)
         found = {(r["s"], r["i"]): (r["last"], r["low"], r["high"]) for r in got.collect()}
         for s in "ab":
             seen = []
