@@ -50,8 +50,8 @@ def running(df: DataFrame, order: list[str], values: dict[str, tuple[str, Column
     if width:
         keyed, inner = keyed.withColumn("_chunk", F.call_function("div", F.col(order[0]).cast("long"), F.lit(width).cast("long"))), order
     else:
-        ranged = keyed.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())
-        keyed, inner = written(ranged, "ranges").withColumn("_chunk", F.shiftright("_at", 33)), ["_at"]
+        ranged = keyed.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_row_at", F.monotonically_increasing_id())
+        keyed, inner = written(ranged, "ranges").withColumn("_chunk", F.shiftright("_row_at", 33)), ["_row_at"]
     own = [*by, "_chunk"]
 
     def total(name: str, kind: str) -> Column:
@@ -68,7 +68,7 @@ def running(df: DataFrame, order: list[str], values: dict[str, tuple[str, Column
     out = keyed.alias("a").join(offsets.alias("b"), same).select("a.*", *[f"b._o_{n}" for n in values])
     out = out.withColumns({f"_s_{n}": _over(kind, F.col(f"_v_{n}"), local) for n, (kind, _) in values.items()})
     made = {n: _BOTH[kind](F.col(f"_o_{n}"), F.col(f"_s_{n}")) for n, (kind, _) in values.items()}
-    return out.withColumns(made).drop("_chunk", "_at", *[f"_{k}_{n}" for k in "vos" for n in values])
+    return out.withColumns(made).drop("_chunk", "_row_at", *[f"_{k}_{n}" for k in "vos" for n in values])
 
 
 def exclusive_sums(df: DataFrame, key: str, sums: dict[str, Column], by: tuple[str, ...] = (), width: int | None = None) -> DataFrame:

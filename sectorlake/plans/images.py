@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorlake.functions import units as U
-from sectorlake.operators import blocks8
-from sectorlake.operators.reports import pearson
+from sectorlake.operators import bitstream, blocks8
 from sectorlake.operators.frames import MP2_KBPS, MP2_RATES
+from sectorlake.operators.reports import pearson
 from sectorlake.plans.registry import query
 from sectorlake.plans.timeline import table
+from sectorlake.sources.shared import written
 
 QUALITY_75 = [max(1, min(255, (b * 50 + 50) // 100)) for b in blocks8.BASE_LUMA]
 
@@ -239,3 +240,42 @@ def pcm_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples as 10-bit codes, packed with their mirror."""
     code = U.pcm_to_10bit(F.floor(F.col("value") * 60) - 9000)
     return table(spark, sf_dir, "events").select("event_id", code.alias("code"), U.pack_stereo(code, 1023 - code).alias("word"))
+
+
+_DC_CODES = bitstream.canonical(dict(enumerate(blocks8.DC_LUMA_BITS)))
+_AC_CODES = bitstream.canonical(dict(luma_code_bits()), end=0, last=16)
+_WRITTEN = f"""{_RUNS}, ac(symbol, code, bits) AS (VALUES {", ".join(map(str, _AC_CODES))}), dcc(symbol, code, bits) AS (VALUES {", ".join(map(str, _DC_CODES))}),
+d AS (SELECT vec_id, vec_id // 16 AS strip, greatest(-511, least(511, q - coalesce(lag(q) OVER (PARTITION BY vec_id // 16 ORDER BY vec_id), 0))) AS v FROM q WHERE j = 0),
+t AS (SELECT vec_id, strip, -1 AS seq, v, length(ltrim(bin(abs(v)), '0')) AS n, '' AS before, length(ltrim(bin(abs(v)), '0')) AS symbol, true AS dc FROM d
+  UNION ALL SELECT r.vec_id, strip, seq, level, length(ltrim(bin(abs(level)), '0')), repeat('111101111111', escapes), 16 * run + length(ltrim(bin(abs(level)), '0')), false FROM runs r JOIN d USING (vec_id)),
+bits AS (SELECT vec_id, strip, seq, before || lpad(ltrim(bin(coalesce(dcc.code, ac.code)), '0'), CAST(coalesce(dcc.bits, ac.bits) AS INTEGER), '0') || CASE WHEN n > 0 THEN lpad(ltrim(bin(CASE WHEN v >= 0 THEN v ELSE v + (1 << n) - 1 END), '0'), CAST(n AS INTEGER), '0') ELSE '' END AS b
+  FROM t LEFT JOIN dcc ON dc AND dcc.symbol = t.symbol LEFT JOIN ac ON NOT dc AND ac.symbol = t.symbol
+  UNION ALL SELECT vec_id, strip, 1000, '11111' FROM d WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.vec_id = d.vec_id AND seq = 62))"""
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(strip, vec_id, seq, value, bits) of all blocks, in strips of 16."""
+    q = written(quantized(spark, sf_dir).select("vec_id", "q"), "quantized")
+    first = q.select("vec_id", F.element_at("q", 1).alias("dc"), U.div(F.col("vec_id"), 16).alias("strip"))
+    codes = lambda rows: spark.createDataFrame(rows, "symbol int, code bigint, bits int")
+    return bitstream.block_tokens(blocks8.dc_differences(first, ["strip"], "vec_id", F.col("dc")), blocks8.runs(q, "vec_id", "q"), "strip", "vec_id", codes(_DC_CODES), codes(_AC_CODES))
+
+
+@query("block_bits", f"WITH {_WRITTEN} SELECT vec_id, CAST(sum(length(b)) AS BIGINT) AS bits FROM bits GROUP BY vec_id")
+def block_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of each block, first coefficient and alternating part."""
+    return bitstream.block_bits(_tokens(spark, sf_dir), "vec_id")
+
+
+@query(
+    "strip_bytes",
+    f"""WITH {_WRITTEN}, s AS (SELECT strip, string_agg(b, '' ORDER BY vec_id, seq) AS b FROM bits GROUP BY strip),
+p AS (SELECT strip, length(b) AS n, rpad(b, CAST((length(b) + 7) // 8 * 8 AS INTEGER), '0') AS b FROM s),
+h AS (SELECT strip, n, [CAST(list_sum([CAST(substr(b, 8 * k + i, 1) AS INTEGER) << (8 - i) FOR i IN range(1, 9)]) AS INTEGER) FOR k IN range(length(b) // 8)] AS v FROM p)
+SELECT strip, n AS n_bits, CAST(len(v) AS BIGINT) AS n_bytes, CAST(len(v) + len(list_filter(v, lambda x: x = 255)) AS BIGINT) AS stuffed_bytes,
+  md5(array_to_string([CASE WHEN x = 255 THEN 'FF00' ELSE printf('%02X', x) END FOR x IN v], '')) AS hex_md5 FROM h""",
+)
+def strip_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strips of 16 blocks written as bytes, with their stuffing. The oracle makes one string of bits a strip."""
+    made = bitstream.pack(_tokens(spark, sf_dir), "strip", ["vec_id", "seq"])
+    return made.select("strip", "n_bits", "n_bytes", F.octet_length("data").cast("long").alias("stuffed_bytes"), F.md5(F.hex("data").cast("binary")).alias("hex_md5"))

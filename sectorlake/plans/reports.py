@@ -12,7 +12,8 @@ from sectorlake.plans.images import _PIXELS, _QUANT, QUALITY_75, mp2_profiles, p
 from sectorlake.plans.registry import query
 from sectorlake.plans.signals import _env, envelope, samples
 from sectorlake.plans.timeline import _SIZED, payloads, table
-from sectorlake.sources import container, riff, tables, text
+from sectorlake.sources import container, disc, files, riff, tables, text
+from sectorlake.sources.shared import shared_folder
 
 
 @query(
@@ -294,14 +295,22 @@ def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("stream_id", F.octet_length("content").cast("long").alias("file_bytes"), "content")
 
 
+def _container_files(spark: SparkSession, sf_dir: str, part: str, **options: str) -> DataFrame:
+    """The containers written as files and opened again, as ``part``."""
+    files.register(spark)
+    folder = shared_folder(spark, "containers")
+    _containers(spark, sf_dir).select("stream_id", "content").write.format("whole_files").mode("append").save(folder)
+    return spark.read.format("sector_container").options(part=part, **options).load(folder)
+
+
 @query(
     "container_roundtrip",
     f"""WITH {_FILES} SELECT stream_id, frame, "at" AS video_sector, size AS video_size, vs AS video_sectors, CASE WHEN a = 1 THEN "at" + vs ELSE 0 END AS audio_sector, CAST(a AS BIGINT) AS a_sectors,
   off * a AS audio_byte_offset, md5(text) AS payload_md5, true AS crc_holds FROM p""",
 )
 def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as containers and read back frame by frame, payloads included."""
-    found = container.frames(_containers(spark, sf_dir), payloads=True)
+    """Documents written as container files and read back frame by frame, payloads included."""
+    found = _container_files(spark, sf_dir, "frames", payloads="true")
     return found.select(
         "stream_id", "frame", "video_sector", "video_size", "video_sectors", "audio_sector", "a_sectors", "audio_byte_offset", F.md5("payload").alias("payload_md5"),
         (F.col("payload_crc32") == F.col("video_crc32")).alias("crc_holds"),
@@ -311,28 +320,57 @@ def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "container_headers",
     f"""WITH {_FILES} SELECT stream_id, 'PCFV0001' AS magic, max(count) AS frame_count, 32 * max(count) AS index_bytes, (64 + 32 * max(count) + 2047) // 2048 AS data_start_sector, max(vs) AS max_video_sectors,
-  CAST(sum(a) AS BIGINT) AS audio_sectors, CASE WHEN sum(a) = 0 THEN 'none' ELSE 'mp2' END AS codec, CAST(((64 + 32 * max(count) + 2047) // 2048 + sum(vs + a)) * 2048 AS BIGINT) AS file_bytes FROM p GROUP BY stream_id""",
+  CAST(sum(a) AS BIGINT) AS audio_sectors, CASE WHEN sum(a) = 0 THEN 'none' ELSE 'mp2' END AS codec, CAST(((64 + 32 * max(count) + 2047) // 2048 + sum(vs + a)) * 2048 AS BIGINT) AS file_bytes, CAST(64 AS BIGINT) AS read_bytes FROM p GROUP BY stream_id""",
 )
 def container_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers alone, of the files that ``container_roundtrip`` writes."""
-    files = _containers(spark, sf_dir).withColumn("content", F.substring("content", 1, container.HEADER_BYTES))
-    return container.streams(files).select("stream_id", "magic", "frame_count", "index_bytes", "data_start_sector", "max_video_sectors", "audio_sectors", "codec", "file_bytes")
+    """Headers of the files that ``container_roundtrip`` writes, of which 64 bytes are read each."""
+    head = _container_files(spark, sf_dir, "streams")
+    return head.select("stream_id", "magic", "frame_count", "index_bytes", "data_start_sector", "max_video_sectors", "audio_sectors", "codec", "file_bytes", "read_bytes")
 
 
-@query("container_audio", f"WITH {_FILES} SELECT stream_id, off AS byte_offset, CAST(2048 AS BIGINT) AS bytes, md5(CASE WHEN strlen(text) = length(text) THEN text[:chunk] END) AS ascii_md5 FROM p WHERE a = 1")
+@query(
+    "container_audio",
+    f"WITH {_FILES} SELECT stream_id, off AS byte_offset, CAST(2048 AS BIGINT) AS bytes, md5(rpad(substr(hex(encode(text)), 1, 4096), 4096, '0')) AS hex_md5 FROM p WHERE a = 1",
+)
 def container_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audio chunks of the same files; the digest is of what isn't padding, where a text is ASCII."""
-    chunks = container.audio_chunks(_containers(spark, sf_dir))
-    body = F.rtrim(F.decode("data", "ISO-8859-1"), F.lit("\u0000"))
-    ascii_only = ~F.decode("data", "ISO-8859-1").rlike("[\u0080-ÿ]")
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    plain = numbered(docs, "doc_id", "n", ("source",)).where("n % 4 = 0").select(
-        F.concat("source", F.lit("-"), U.div(F.col("n"), PER_FILE).cast("string")).alias("stream_id"), (F.octet_length("text") == F.length("text")).alias("plain"),
-        (F.octet_length("text") > 0).alias("some"), "n",
-    )
-    known = numbered(plain.where("some"), "n", "k", ("stream_id",)).select("stream_id", (F.col("k") * 2048).alias("byte_offset"), "plain")
-    found = chunks.select("stream_id", "byte_offset", F.octet_length("data").cast("long").alias("bytes"), F.when(ascii_only, F.md5(body.cast("binary"))).alias("digest"))
-    return found.join(known, ["stream_id", "byte_offset"]).select("stream_id", "byte_offset", "bytes", F.when(F.col("plain"), F.col("digest")).alias("ascii_md5"))
+    """The audio chunks of the same files, padding included."""
+    chunks = _container_files(spark, sf_dir, "chunks")
+    return chunks.select("stream_id", "byte_offset", F.octet_length("data").cast("long").alias("bytes"), F.md5(F.hex("data").cast("binary")).alias("hex_md5"))
+
+
+_ON_DISC = """f AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes FROM documents),
+a AS (SELECT *, (bytes + 2047) // 2048 AS sectors, 2 + CAST(coalesce(sum((bytes + 2047) // 2048) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lba FROM f)"""
+
+
+def _on_disc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content, bytes, sectors, lba): all documents as the files of one disc."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return disc.addresses(docs, "doc_id")
+
+
+@query(
+    "disc_image",
+    f"""WITH {_ON_DISC}, s AS (SELECT lba + k AS sector, rpad(substr(h, CAST(4096 * k + 1 AS BIGINT), 4096), 4096, '0') AS h FROM (SELECT lba, hex(encode(text)) AS h, unnest(range(sectors)) AS k FROM a)),
+n AS (SELECT unnest(range(greatest(300, (SELECT max(lba + sectors) FROM a)))) AS sector)
+SELECT n.sector, md5(coalesce(h, repeat('0', 4096))) AS hex_md5 FROM n LEFT JOIN s ON s.sector = n.sector""",
+)
+def disc_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a disc image by all tasks at once, and its sectors read back by ranges."""
+    path = shared_folder(spark, "disc") + "/image.bin"
+    disc.write_image(spark, _on_disc(spark, sf_dir), path)
+    back = spark.read.format("byte_ranges").option("bytes", 2048).load(path)
+    return back.select(U.div(F.col("at"), 2048).alias("sector"), F.md5(F.hex("data").cast("binary")).alias("hex_md5"))
+
+
+@query(
+    "disc_header_lines",
+    f"""WITH {_ON_DISC} SELECT 'enum' AS part, doc_id AS n, chr(9) || 'BINARY_LBA_F' || CAST(doc_id AS VARCHAR) || '_TXT = ' || CAST(lba AS VARCHAR) || ',' AS line FROM a
+UNION ALL SELECT 'macro', doc_id, '#define BINARY_LBA_F' || CAST(doc_id AS VARCHAR) || '_TXT ' || CAST(lba AS VARCHAR) FROM a""",
+)
+def disc_header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that name each file's address, as an enumeration and as macros."""
+    placed = _on_disc(spark, sf_dir).withColumn("name", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return disc.header_lines(placed, "doc_id", "name")
 
 
 #: Samples of one file of ``riff_roundtrip``.

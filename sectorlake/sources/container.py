@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,19 +99,12 @@ def assemble(head: DataFrame, layout: DataFrame) -> DataFrame:
     return joined.select("stream_id", F.concat(_padded(F.concat("start", "index"), F.col("data_start_sector")), preroll, "data").alias("content"))
 
 
-def save_files(files: DataFrame, folder: str) -> None:
-    """Write each row's content as a file of a folder that all executors share; a file appears whole or not at all.
+def save_files(rows: DataFrame, folder: str) -> None:
+    """Write each row's content as a file of a folder that all executors share; the files appear when all are written.
 
     ``folder`` is a path or any address that Arrow's file systems open (file, hdfs, s3, gs).
     """
-    address = folder if "://" in folder else "file://" + os.path.abspath(folder)
-
-    def write(rows) -> None:
-        system, root = fs.FileSystem.from_uri(address)
-        for row in rows:
-            temporary = f"{root}/.{uuid.uuid4().hex}"
-            with system.open_output_stream(temporary) as f:
-                f.write(row["content"])
-            system.move(temporary, f"{root}/{row['stream_id']}")
+    from sectorlake.sources.files import register
 
-    files.select("stream_id", "content").foreachPartition(write)
+    register(rows.sparkSession)
+    rows.select("stream_id", "content").write.format("whole_files").mode("append").save(folder)
