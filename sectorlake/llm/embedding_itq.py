@@ -27,6 +27,7 @@ TRIALS = 2000
 MISSED = 0.01
 #: A table's key has as many bits as the logarithm of the number of vectors, so that most unlike ones have a bucket to themselves.
 LEAST_KEY, MOST_KEY = 6, 40
+#: So many tables are tried with one key width; where they don't find enough, keys become a bit narrower, with fuller buckets.
 MOST_TABLES = 256
 #: Rows of a chunk of codes and vectors; see ``blocks.deal_blocks``.
 SMALL, LARGE = 256, 2048
@@ -124,7 +125,8 @@ def build_index(sample: np.ndarray, vectors: int, threshold: float = THRESHOLD,
 
     Rotations are learned until there are BITS bits.  Keys are random choices of bits, as wide as the
     number of vectors asks for, and tables are added until all but MISSED of trial pairs at the
-    threshold share a key.  Signs are taken about the sample's mean, which balances codes, or about
+    threshold share a key; where MOST_TABLES don't reach that, keys are narrower, and an error tells where
+    even the narrowest ones don't.  Signs are taken about the sample's mean, which balances codes, or about
     zero, which keeps the angle that the threshold is about: the cheaper one that finds the trial pairs.
     """
     d = sample.shape[1]
@@ -134,8 +136,12 @@ def build_index(sample: np.ndarray, vectors: int, threshold: float = THRESHOLD,
     few = len(sample) < 40
     # Trials are made of vectors that the rotations have not seen, where there are enough.
     trials, own = (sample, sample) if few else (sample[::4], sample[np.arange(len(sample)) % 4 > 0])
-    made = [_index_of(own, trials, width, threshold, seed, centre) for centre in ((False,) if few else (True, False))]
-    return min(made, key=lambda m: (m[1] > MISSED, len(m[0].tables) * (1 + vectors * m[2])))[0]
+    for narrower in range(width, LEAST_KEY - 1, -1):
+        made = [_index_of(own, trials, narrower, threshold, seed, centre) for centre in ((False,) if few else (True, False))]
+        index, missed, _ = min(made, key=lambda m: (m[1] > MISSED, len(m[0].tables) * (1 + vectors * m[2])))
+        if missed <= MISSED:
+            return index
+    raise ValueError(f"{missed:.1%} of pairs at the threshold share no key of {LEAST_KEY} bits in {MOST_TABLES} tables; code more bits or raise the threshold")
 
 
 def _tables(indexes: dict[int, Index]):
