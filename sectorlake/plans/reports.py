@@ -13,7 +13,7 @@ from sectorlake.plans.registry import query
 from sectorlake.plans.signals import _env, envelope, samples
 from sectorlake.plans.timeline import _SIZED, payloads, table
 from sectorlake.sources import container, disc, files, riff, tables, text
-from sectorlake.sources.shared import shared_folder
+from sectorlake.sources.shared import shared_folder, written
 
 
 @query(
@@ -267,14 +267,16 @@ p AS (SELECT *, (64 + 32 * count + 2047) // 2048 + coalesce(CAST(sum(vs + a) OVE
 def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream_id, file_bytes, content): each source's documents as containers of PER_FILE frames, every fourth with a chunk of audio."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
-    n = numbered(docs, "doc_id", "n", ("source",))
+    # Sizes alone are laid out; payloads join their frames once.
+    n = numbered(docs.select("source", "doc_id", F.octet_length("payload").cast("long").alias("video_size")), "doc_id", "n", ("source",))
+    chunk = F.when(F.col("n") % 4 == 0, F.least("video_size", F.lit(2048))).otherwise(0)
     frames = n.select(
-        F.concat("source", F.lit("-"), U.div(F.col("n"), PER_FILE).cast("string")).alias("stream_id"), (F.col("n") % PER_FILE).alias("frame"), "payload",
-        F.octet_length("payload").cast("long").alias("video_size"), U.sectors(F.octet_length("payload")).alias("video_sectors"),
-        F.when(F.col("n") % 4 == 0, F.substring("payload", 1, 2048)).alias("audio"),
-    ).withColumn("a_sectors", F.when(F.octet_length("audio") > 0, 1).otherwise(0).cast("long"))
+        "source", "doc_id", F.concat("source", F.lit("-"), U.div(F.col("n"), PER_FILE).cast("string")).alias("stream_id"), (F.col("n") % PER_FILE).alias("frame"),
+        "video_size", U.sectors(F.col("video_size")).alias("video_sectors"), chunk.alias("audio_size"), F.when(chunk > 0, 1).otherwise(0).cast("long").alias("a_sectors"),
+    )
+    frames = written(frames, "frames")
     totals = frames.groupBy("stream_id").agg(
-        F.count("*").alias("frame_count"), F.sum("a_sectors").alias("audio_sectors"), F.sum(F.coalesce(F.octet_length("audio"), F.lit(0))).alias("audio_bytes"),
+        F.count("*").alias("frame_count"), F.sum("a_sectors").alias("audio_sectors"), F.sum("audio_size").alias("audio_bytes"),
         F.max("video_sectors").alias("max_video_sectors"),
     )
     start = U.sectors(F.lit(container.HEADER_BYTES) + F.col("frame_count") * container.ENTRY_BYTES)
@@ -288,9 +290,10 @@ def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = exclusive_sums(frames, "frame", {"before": F.col("video_sectors") + F.col("a_sectors"), "chunks": F.col("a_sectors")}, ("stream_id",), width=placement.DENSE)
     at = F.col("data_start_sector") + F.col("before")
     layout = placed.join(head.select("stream_id", "data_start_sector"), "stream_id").select(
-        "stream_id", "frame", "payload", "audio", "video_size", "video_sectors", "a_sectors", at.alias("video_sector"), F.crc32("payload").alias("video_crc32"),
+        "source", "doc_id", "stream_id", "frame", "video_size", "video_sectors", "a_sectors", at.alias("video_sector"),
         F.when(F.col("a_sectors") > 0, at + F.col("video_sectors")).otherwise(0).alias("audio_sector"), (F.col("chunks") * 2048 * F.col("a_sectors")).alias("audio_byte_offset"), F.lit(0).alias("entry_flags"),
     )
+    layout = docs.join(written(layout, "layout"), ["source", "doc_id"]).withColumns({"video_crc32": F.crc32("payload"), "audio": F.when(F.col("a_sectors") > 0, F.substring("payload", 1, 2048))})
     made = container.assemble(head, layout)
     return made.select("stream_id", F.octet_length("content").cast("long").alias("file_bytes"), "content")
 
@@ -407,6 +410,29 @@ def riff_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stream_id", "format_tag", "channels", "rate", "byte_rate", "block_align", "bits", "data_offset", "data_bytes", F.col("loop.start").alias("loop_start"), F.col("loop.end").alias("loop_end"))
 
 
+@query(
+    "riff_details",
+    """WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
+c AS (SELECT *, CASE user_id % 5 WHEN 0 THEN CAST(n // 4 AS VARCHAR) || ' ' || CAST(n // 2 AS VARCHAR) WHEN 1 THEN '0x' || printf('%x', n // 4) || chr(9) || '0' || printf('%o', n // 2) || ' loop' WHEN 2 THEN 'just a comment' WHEN 3 THEN CAST(n // 4 AS VARCHAR) END AS comment FROM n)
+SELECT CAST(user_id AS VARCHAR) AS stream_id, CASE WHEN user_id % 2 = 0 THEN n ELSE 3 * n END AS total_samples,
+  CASE WHEN user_id % 5 < 2 THEN n // 4 WHEN user_id % 3 = 0 THEN 1 END AS loop_start, CASE WHEN user_id % 5 < 2 THEN n // 2 + 1 WHEN user_id % 3 = 0 THEN n END AS loop_end,
+  comment, 'user ' || CAST(user_id AS VARCHAR) AS title FROM c""",
+)
+def riff_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wave files with fact, loops in smpl or in INFO's comment, read through the tree of their chunks."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    user, n = F.col("user_id"), F.col("n")
+    quarter, half = (U.div(n, k).cast("string") for k in (4, 2))
+    odd = F.concat(F.lit("0x"), F.lower(F.hex(U.div(n, 4))), F.lit("\t0"), F.conv(half, 10, 8), F.lit(" loop"))
+    comment = F.when(user % 5 == 0, F.concat(quarter, F.lit(" "), half)).when(user % 5 == 1, odd).when(user % 5 == 2, F.lit("just a comment")).when(user % 5 == 3, quarter)
+    data = F.unhex(F.repeat(F.lit("0102"), n.cast("int")))
+    start = F.when(user % 3 == 0, F.lit(1).cast("long"))
+    info = [("INAM", F.concat(F.lit("user "), user.cast("string"))), ("ICMT", comment)]
+    plain, coded = riff.wave_file(data, 1, 16000, start, n - 1, info=info), riff.wave_file(data, 1, 16000, start, n - 1, tag=0x11, bits=4, fact=3 * n, info=info)
+    files_ = rows.select(user.cast("string").alias("stream_id"), F.when(user % 2 == 0, plain).otherwise(coded).alias("content"))
+    return riff.details(files_, loop_in_comment=True).select("stream_id", "total_samples", "loop_start", "loop_end", "comment", F.col("info")["INAM"].alias("title"))
+
+
 @query("vox_files", f"WITH {_PCM} SELECT stream_id, count(*) AS n_codes, ((count(*) + 1) // 2 + 2047) // 2048 * 2048 AS file_bytes, CAST(sum((v + 1000) % 16) AS BIGINT) AS code_sum, 7867 AS rate FROM w GROUP BY stream_id")
 def vox_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-bit codes written without a header, padded to sectors, and read back at a rate given by option."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sectorlake.functions.prefix import running
 from sectorlake.functions.units import SECTOR_BYTES, macro_name, sectors
+from sectorlake.sources.shared import written
 
 # Sectors of the boot record, and of the smallest disc.
 BOOT_SECTORS, LEAST_SECTORS = 2, 300
@@ -15,14 +16,16 @@ BOOT_SECTORS, LEAST_SECTORS = 2, 300
 def addresses(files: DataFrame, order: str, boot_blocks: int = 0) -> DataFrame:
     """Add ``bytes``, ``sectors`` and ``lba`` to files (order, content), one behind the other behind the boot record.
 
-    The first file is the boot program; ``boot_blocks`` gives it that many sectors, which must hold it.
+    The first file is the boot program; ``boot_blocks`` gives it that many sectors, which must hold it.  Files
+    must be distinct in ``order``, which isn't null.  Only their sizes are put in order, not what they hold.
     """
-    sized = files.withColumn("bytes", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long"))
+    sized = files.select(order, F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("bytes"))
     first = files.agg(F.min(order).alias("_first"))
     own = sectors(F.col("bytes"))
     wide = F.when((F.col(order) == F.col("_first")) & (F.lit(boot_blocks) > 0), F.when(own > boot_blocks, F.raise_error(F.lit("the boot program needs more blocks"))).otherwise(F.lit(boot_blocks))).otherwise(own)
     held = sized.join(F.broadcast(first)).withColumn("sectors", wide.cast("long")).drop("_first")  # one row
-    return running(held, [order], {"_before": ("sum", F.col("sectors"))}).withColumn("lba", F.col("_before") + BOOT_SECTORS).drop("_before")
+    placed = running(held, [order], {"_before": ("sum", F.col("sectors"))}).withColumn("lba", F.col("_before") + BOOT_SECTORS).drop("_before")
+    return files.join(written(placed, "addresses"), order)
 
 
 def write_image(spark: SparkSession, placed: DataFrame, path: str) -> None:

@@ -13,26 +13,99 @@ from sectorlake.functions.units import little_endian
 CONTAINERS = (b"RIFF", b"LIST")
 
 
-def _walk(content: bytes, begin: int, end: int, level: int) -> Iterator[tuple]:
-    """(level, id, type, size, offset of the data) of the chunks of an area, a container's own behind it."""
+def _walk(content: bytes, begin: int, end: int, level: int, out: list[list]) -> None:
+    """Append [level, id, type, size, offset of the data, last] of the chunks of an area, a container's own behind it.
+
+    A chunk's number is its place in the list; ``last`` is that of the last chunk inside it.
+    """
     while begin + 8 <= end:
         name, size = content[begin : begin + 4], int.from_bytes(content[begin + 4 : begin + 8], "little")
         inner = name in CONTAINERS
-        yield level, name.decode("latin-1"), content[begin + 8 : begin + 12].decode("latin-1") if inner else None, size, begin + 8
+        own = [level, name.decode("latin-1"), content[begin + 8 : begin + 12].decode("latin-1") if inner else None, size, begin + 8, 0]
+        out.append(own)
         if inner:
-            yield from _walk(content, begin + 12, min(end, begin + 8 + size), level + 1)
+            _walk(content, begin + 12, min(end, begin + 8 + size), level + 1, out)
+        own[5] = len(out) - 1
         begin += 8 + size + size % 2
 
 
 def chunks(files: DataFrame) -> DataFrame:
-    """(stream_id, level, chunk_id, chunk_type, size, offset) of every chunk of each file."""
+    """(stream_id, level, chunk_id, chunk_type, size, offset, last, number) of every chunk of each file, a tree as nested intervals.
+
+    Chunks are numbered as they begin; those inside one have the numbers behind its own up to ``last``.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            rows = [(s, *c) for s, content in zip(p["stream_id"], p["content"], strict=True) for c in _walk(content or b"", 0, len(content or b""), 0)]
-            yield pd.DataFrame(rows, columns=["stream_id", "level", "chunk_id", "chunk_type", "size", "offset"])
-
-    return files.select("stream_id", "content").mapInPandas(scan, "stream_id string, level int, chunk_id string, chunk_type string, size bigint, offset bigint")
+            rows = []
+            for stream, content in zip(p["stream_id"], p["content"], strict=True):
+                found: list[list] = []
+                _walk(content or b"", 0, len(content or b""), 0, found)
+                rows += [(stream, *c, k) for k, c in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["stream_id", "level", "chunk_id", "chunk_type", "size", "offset", "last", "number"])
+
+    return files.select("stream_id", "content").mapInPandas(scan, "stream_id string, level int, chunk_id string, chunk_type string, size bigint, offset bigint, last bigint, number bigint")
+
+
+def descend(tree: DataFrame, parents: DataFrame, chunk_id: str, chunk_type: str | None = None) -> DataFrame:
+    """The first chunk of an id (and, of a container, of a type) directly inside each of ``parents``, rows of ``tree``."""
+    inside = parents.select("stream_id", F.col("number").alias("_from"), F.col("last").alias("_to"), (F.col("level") + 1).alias("level"))
+    found = tree.where(F.col("chunk_id") == chunk_id)
+    found = found.where(F.col("chunk_type") == chunk_type) if chunk_type else found
+    met = found.join(inside, ["stream_id", "level"]).where((F.col("number") > F.col("_from")) & (F.col("number") <= F.col("_to")))
+    first = F.min_by(F.struct(*[c for c in tree.columns if c != "stream_id"]), "number").alias("_c")
+    return met.groupBy("stream_id", "_from").agg(first).select("stream_id", "_c.*").select(*tree.columns)
+
+
+def _integer(text: Column) -> Column:
+    """A number as C's ``strtol`` of base 0 takes it: hexadecimal behind 0x, octal behind 0, else decimal."""
+    digits = F.regexp_replace(text, "^[+-]", "")
+    value = (
+        F.when(digits.rlike("^0[xX]"), F.conv(F.substring(digits, F.lit(3), F.length(digits)), 16, 10))
+        .when(digits.rlike("^0[0-7]+$"), F.conv(digits, 8, 10))
+        .when(digits.rlike("^([1-9][0-9]*|0)$"), digits)
+    ).cast("long")
+    return F.when(F.startswith(text, F.lit("-")), -value).otherwise(value)
+
+
+def comment_loop(comment: Column) -> Column:
+    """Struct (start, end), end behind the last sample, of a comment that begins with two numbers; else null."""
+    words = F.split(F.regexp_replace(comment, "^[ \t\r\n]+", ""), "[ \t\r\n]+")
+    first, last = (_integer(F.try_element_at(words, F.lit(k))) for k in (1, 2))
+    return F.when((F.length(comment) <= 255) & first.isNotNull() & last.isNotNull(), F.struct(first.alias("start"), (last + 1).alias("end")))
+
+
+def details(files: DataFrame, loop_in_comment: bool = False) -> DataFrame:
+    """(stream_id, total_samples, loop_start, loop_end, comment, info) of wave files.
+
+    ``total_samples`` is the fact chunk's, or for plain PCM what the data holds.  The loop (its end behind
+    its last sample) is the first of smpl, or with ``loop_in_comment`` the two numbers of INFO's ICMT where it
+    has them.  ``info`` maps INFO's ids to their texts.  Files without RIFF, fmt and data have no row.
+    """
+    tree = chunks(files)
+    root = descend_root(tree)
+    part = {name: descend(tree, root, name).select("stream_id", F.struct("offset", "size").alias(f"_{name.strip()}")) for name in ("fmt ", "fact", "data", "smpl")}
+    listed = descend(tree, root, "LIST", "INFO")
+    items = tree.join(listed.select("stream_id", F.col("number").alias("_from"), F.col("last").alias("_to")), "stream_id").where("number > _from and number <= _to")
+    met = files.select("stream_id", "content").join(part["fmt "], "stream_id").join(part["data"], "stream_id")
+    for name in ("fact", "smpl"):
+        met = met.join(part[name], "stream_id", "left")
+    at = lambda name, k, n: little_endian(F.col("content"), F.col(f"_{name}.offset") + k, n)
+    plain = F.call_function("div", F.col("_data.size") * 8, F.nullif(at("fmt", 14, 2), F.lit(0)))
+    total = F.when(F.col("_fact").isNotNull(), at("fact", 0, 4)).when(at("fmt", 0, 2) == 1, plain)
+    looped = F.when(F.col("_smpl").isNotNull() & (at("smpl", 28, 4) > 0), F.struct(at("smpl", 44, 4).alias("start"), (at("smpl", 48, 4) + 1).alias("end")))
+    text = F.substring("content", (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))
+    texts = items.join(files.select("stream_id", "content"), "stream_id").select("stream_id", "number", "chunk_id", F.regexp_replace(F.decode(text, "ISO-8859-1"), "(?s)\u0000.*$", "").alias("text"))
+    first = texts.groupBy("stream_id", "chunk_id").agg(F.min_by("text", "number").alias("text"))  # of one id the first counts
+    info = first.groupBy("stream_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk_id", "text"))).alias("info")).withColumn("comment", F.try_element_at("info", F.lit("ICMT")))
+    whole = met.select("stream_id", total.alias("total_samples"), looped.alias("_loop")).join(info, "stream_id", "left")
+    loop = F.coalesce(comment_loop(F.col("comment")), F.col("_loop")) if loop_in_comment else F.col("_loop")
+    return whole.withColumn("_loop", loop).select("stream_id", "total_samples", F.col("_loop.start").alias("loop_start"), F.col("_loop.end").alias("loop_end"), "comment", "info")
+
+
+def descend_root(tree: DataFrame) -> DataFrame:
+    """The outermost RIFF chunk of each file that is of type WAVE and comes first."""
+    return tree.where("number = 0 and chunk_id = 'RIFF' and chunk_type = 'WAVE'")
 
 
 def formats(files: DataFrame) -> DataFrame:
@@ -98,18 +171,31 @@ def sample_bytes(value: Column) -> Column:
     return _number(F.pmod(held, F.lit(65536)), 2)
 
 
-def wave_file(data: Column, channels: int, rate: int, loop_start: Column | None = None, loop_end: Column | None = None) -> Column:
-    """K4/K5: 16-bit PCM as a file: fmt, data and, with a loop, smpl; odd data is padded."""
-    tag = lambda name: F.lit(name.encode())
-    block = channels * 2
-    fmt = F.concat(tag("fmt "), _number(16, 4), _number(1, 2), _number(channels, 2), _number(rate, 4), _number(rate * block, 4), _number(block, 2), _number(16, 2))
-    body = F.concat(tag("data"), _number(F.octet_length(data), 4), data, F.when(F.octet_length(data) % 2 == 1, F.lit(bytes(1))).otherwise(F.lit(b"")))
-    parts = [tag("WAVE"), fmt, body]
+def wave_file(
+    data: Column, channels: int, rate: int, loop_start: Column | None = None, loop_end: Column | None = None, tag: int = 1, bits: int = 16, fact: Column | None = None,
+    info: list[tuple[str, Column]] | None = None,
+) -> Column:
+    """K4/K5: a file of fmt, fact, data, smpl and INFO, in this order, those that are given; odd chunks are padded.
+
+    ``fact`` is a number of samples, ``info`` has ids and texts, which end in a zero byte; null texts are left out.
+    """
+    name = lambda n: F.lit(n.encode())
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  a value used more than once
+    padded = lambda b: F.concat(_number(F.octet_length(b), 4), b, F.when(F.octet_length(b) % 2 == 1, F.lit(bytes(1))).otherwise(F.lit(b"")))
+    chunk = lambda n, body: F.concat(name(n), let(body, padded))
+    block = max(channels * bits // 8, 1)
+    parts = [name("WAVE"), chunk("fmt ", F.concat(_number(tag, 2), _number(channels, 2), _number(rate, 4), _number(rate * channels * bits // 8, 4), _number(block, 2), _number(bits, 2)))]
+    if fact is not None:
+        parts.append(chunk("fact", _number(fact, 4)))
+    parts.append(chunk("data", data))
     if loop_start is not None:
         head = [0, 0, 1_000_000_000 // rate, 60, 0, 0, 0, 1, 0]  # one loop
-        parts.append(F.concat(tag("smpl"), _number(60, 4), *[_number(v, 4) for v in head], *[_number(v, 4) for v in (0, 0, loop_start, loop_end, 0, 0)]))
-    whole = F.concat(*parts)
-    return F.concat(tag("RIFF"), _number(F.octet_length(whole), 4), whole)
+        looped = F.concat(*[_number(v, 4) for v in head], *[_number(v, 4) for v in (0, 0, loop_start, loop_end, 0, 0)])
+        parts.append(F.when(loop_start.isNotNull(), chunk("smpl", looped)).otherwise(F.lit(b"")))
+    if info:
+        texts = [F.when(text.isNotNull(), chunk(n, F.concat(text.cast("binary"), F.lit(bytes(1))))).otherwise(F.lit(b"")) for n, text in info]
+        parts.append(chunk("LIST", F.concat(name("INFO"), *texts)))
+    return let(F.concat(*parts), lambda whole: F.concat(name("RIFF"), _number(F.octet_length(whole), 4), whole))
 
 
 def vox_file(codes: Column, pad: int = 2048) -> Column:
