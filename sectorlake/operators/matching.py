@@ -62,19 +62,27 @@ def resample(envelope: DataFrame, signal: str, value: str, points: int) -> DataF
     return met.select(signal, "point", between.alias(value))
 
 
-def picture_faults(metrics: DataFrame, key: str) -> DataFrame:
-    """(key, rule) for each limit that a picture's metrics break.
+# The picture gate's limits (dark lower halves, their difference, mean error, correlation, edge error).
+DARK, REFERENCE_DARK, DARKER, ERROR, CORRELATION, EDGE = 0.70, 0.40, 0.45, 75, 0.45, (2, 12)
+
+
+def picture_rules() -> Column:
+    """The names of the limits that a picture's metrics break, as an array.
 
-    ``metrics`` has dark and ref_dark (dark shares of the lower halves), mae, corr, edge and body (mean absolute errors of
+    Metrics are dark and ref_dark (dark shares of the lower halves), mae, corr, edge and body (mean absolute errors of
     the right edge and the rest).
     """
     c = F.col
     limits = {
-        "bottom_black": (c("dark") > 0.70) & (c("ref_dark") < 0.40),
-        "black_delta": c("dark") - c("ref_dark") > 0.45,
-        "mae": c("mae") > 75,
-        "corr": c("corr") < 0.45,
-        "edge": c("edge") > 2 * c("body") + 12,
+        "bottom_black": (c("dark") > DARK) & (c("ref_dark") < REFERENCE_DARK),
+        "black_delta": c("dark") - c("ref_dark") > DARKER,
+        "mae": c("mae") > ERROR,
+        "corr": c("corr") < CORRELATION,
+        "edge": c("edge") > EDGE[0] * c("body") + EDGE[1],
     }
-    broken = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in limits.items()]))
-    return metrics.select(key, F.explode(broken).alias("rule"))
+    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in limits.items()]))
+
+
+def picture_faults(metrics: DataFrame, key: str) -> DataFrame:
+    """(key, rule) for each limit that a picture's metrics break; see ``picture_rules``."""
+    return metrics.select(key, F.explode(picture_rules()).alias("rule"))

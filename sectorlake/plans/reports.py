@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sectorlake.functions import units as U
 from sectorlake.functions.prefix import exclusive_sums, numbered
-from sectorlake.operators import blocks8, correlate, lookup, placement, reports, series
+from sectorlake.operators import blocks8, correlate, lookup, matching, placement, reports, series
+from sectorlake.plans import images
 from sectorlake.plans.images import _PIXELS, _QUANT, QUALITY_75, mp2_profiles, pixels
 from sectorlake.plans.registry import query
 from sectorlake.plans.signals import _env, envelope, samples
@@ -208,6 +209,47 @@ def source_frame_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.best_source_frames(images.where("vec_id % 3 = 0"), "vec_id", F.col("vec_id") % 700, 600, images, "vec_id")
 
 
+_SHOTS = f"""{_PIXELS}, asked AS (SELECT vec_id, vec_id % 700 AS vf, greatest(0, least(599, vec_id % 700 - 1 - vec_id % 2)) AS shown FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 17 <> 0 AND vec_id % 700 > 0),
+shots AS (SELECT asked.vec_id, vf, [CASE WHEN asked.vec_id % 5 = 0 AND i >= 32 THEN 0.0 WHEN asked.vec_id % 7 = 0 AND i % 8 >= 6 THEN 255 - p[i + 1] ELSE p[i + 1] END FOR i IN range(64)] AS s FROM asked JOIN px ON px.vec_id = shown),
+ask AS (SELECT DISTINCT vec_id, s, greatest(0, least(599, vf - back)) AS source_frame FROM shots, unnest([1, 2]) t(back)),
+c AS (SELECT ask.vec_id, source_frame, corr(s[i + 1], b.p[i + 1]) AS r, var_pop(s[i + 1]) AS va, var_pop(b.p[i + 1]) AS vb FROM ask JOIN px b ON b.vec_id = ask.source_frame, unnest(range(64)) t(i) GROUP BY ask.vec_id, source_frame),
+best AS (SELECT vec_id, source_frame FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(CASE WHEN va * 64 > 1e-9 AND vb * 64 > 1e-9 THEN r ELSE -1.0 END, 6) DESC, source_frame DESC) = 1),
+cells AS (SELECT b.vec_id, b.source_frame, i, s[i + 1] AS a, px.p[i + 1] AS b FROM best b JOIN shots USING (vec_id) JOIN px ON px.vec_id = b.source_frame, unnest(range(64)) t(i)),
+m AS (SELECT vec_id, source_frame, round(avg(CASE WHEN a < 8 THEN 1.0 ELSE 0.0 END), 6) AS dark_all, round(avg(CASE WHEN i >= 32 THEN CASE WHEN a < 8 THEN 1.0 ELSE 0.0 END END), 6) AS dark,
+  round(avg(CASE WHEN i >= 32 THEN CASE WHEN b < 8 THEN 1.0 ELSE 0.0 END END), 6) AS ref_dark, round(avg(abs(a - b)), 6) AS mae, round(CASE WHEN var_pop(a) * 64 > 1e-9 AND var_pop(b) * 64 > 1e-9 THEN corr(a, b) ELSE 0 END, 5) AS corr,
+  round(avg(CASE WHEN i % 8 >= 6 THEN abs(a - b) END), 6) AS edge, round(avg(CASE WHEN i % 8 < 6 THEN abs(a - b) END), 6) AS body FROM cells GROUP BY vec_id, source_frame)"""
+
+
+@query(
+    "visual_report",
+    f"""WITH {_SHOTS}, f AS (SELECT *, concat_ws(',', CASE WHEN dark > 0.70 AND ref_dark < 0.40 THEN 'bottom_black' END, CASE WHEN dark - ref_dark > 0.45 THEN 'black_delta' END, CASE WHEN mae > 75 THEN 'mae' END,
+  CASE WHEN corr < 0.45 THEN 'corr' END, CASE WHEN edge > 2 * body + 12 THEN 'edge' END) AS faults FROM m) SELECT *, faults = '' AS passes FROM f""",
+)
+def visual_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a shot: the source frame it shows, all metrics against it, the limits it breaks, and whether it passes.
+
+    Every third block is a shot of one of the two frames before its number, some with a dark lower half or
+    a turned right edge; shots of a run that has ended (every seventeenth) are skipped.
+    """
+    stills = written(pixels(spark, sf_dir).select("vec_id", "pixels"), "pixels")
+    shot = stills.where("vec_id % 3 = 0 and vec_id % 17 <> 0 and vec_id % 700 > 0").select("vec_id", (F.col("vec_id") % 700).alias("vf"))
+    shown = F.greatest(F.lit(0).cast("long"), F.least(F.lit(599).cast("long"), F.col("vf") - 1 - F.col("vec_id") % 2))
+    key = F.col("vec_id")
+    spoiled = F.transform("pixels", lambda v, i: F.when((key % 5 == 0) & (i >= 32), 0.0).when((key % 7 == 0) & (i % 8 >= 6), 255 - v).otherwise(v))
+    shots = shot.withColumn("_at", shown).join(stills.select(F.col("vec_id").alias("_at"), "pixels"), "_at").select("vec_id", "vf", spoiled.alias("pixels"))
+    shots = written(shots, "shots")
+    best = reports.best_source_frames(shots, "vec_id", F.col("vf"), 600, stills, "vec_id").select("vec_id", "source_frame")
+    met = best.join(shots.select("vec_id", F.col("pixels").alias("a")), "vec_id").join(stills.select(F.col("vec_id").alias("source_frame"), F.col("pixels").alias("b")), "source_frame")
+    a, b = F.col("a"), F.col("b")
+    dark = lambda p, cells=None: F.round(images.dark_share(p, cells, 8), 6)
+    error = lambda cells=None: F.round(images.mean_error(a, b, cells), 6)
+    metrics = met.select(
+        "vec_id", "source_frame", dark(a).alias("dark_all"), dark(a, images.LOWER).alias("dark"), dark(b, images.LOWER).alias("ref_dark"), error().alias("mae"),
+        F.round(F.coalesce(reports.pearson(a, b), F.lit(0.0)), 5).alias("corr"), error(images.RIGHT).alias("edge"), error(images.BODY).alias("body"),
+    )
+    return metrics.withColumn("faults", F.array_join(matching.picture_rules(), ",")).withColumn("passes", F.col("faults") == "")
+
+
 _SEGMENTS = f"""{_env(4)}, p AS (SELECT *, max(rms) OVER (PARTITION BY user_id) AS peak FROM e),
 l AS (SELECT user_id, hop FROM p WHERE peak > 1e-7 AND rms > greatest(peak * power(10, -6.0 / 20), 0.0015)),
 g AS (SELECT *, CASE WHEN hop - lag(hop) OVER (PARTITION BY user_id ORDER BY hop) - 1 <= 2 THEN 0 ELSE 1 END AS fresh FROM l),
