@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sectorlake.functions.prefix import running
 from sectorlake.functions.units import HALF_SECTORS, PREROLL_BLOCKS
 
 
@@ -36,9 +37,9 @@ def first_free_run(free: DataFrame, by: list[str], position: str, cap: int = 8)
 
 
 def high_water(rows: DataFrame, by: list[str], order: list[str], change: Column) -> DataFrame:
-    """Add ``ready``, the level after each change, and ``high``, the highest level so far."""
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("ready", F.sum(change).over(so_far)).withColumn("high", F.max("ready").over(so_far))
+    """Add ``ready``, the level after each change, and ``high``, the highest level so far; rows are distinct in ``order``."""
+    level = running(rows, order, {"ready": ("sum", change)}, tuple(by), inclusive=True)
+    return running(level, order, {"high": ("max", F.col("ready"))}, tuple(by), inclusive=True)
 
 
 def running_energy(samples: DataFrame, signal: str, value: str, win: int) -> DataFrame:

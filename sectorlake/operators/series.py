@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sectorlake.functions.prefix import running
 from sectorlake.functions.units import div
 
 
 def number_samples(rows: DataFrame, signal: str, order: list[str]) -> DataFrame:
-    """Add ``pos``: 0, 1, ... within each signal."""
-    return rows.withColumn("pos", (F.row_number().over(Window.partitionBy(signal).orderBy(*order)) - 1).cast("long"))
+    """Add ``pos``: 0, 1, ... within each signal, whose rows are distinct in ``order``."""
+    return running(rows, order, {"pos": ("sum", F.lit(1))}, (signal,))
 
 
 def rms_envelope(samples: DataFrame, signal: str, value: str, win: int, floor: float = 1e-12) -> DataFrame:
@@ -20,9 +21,10 @@ def rms_envelope(samples: DataFrame, signal: str, value: str, win: int, floor: f
 
 
 def zscores(rows: DataFrame, signal: str, value, name: str) -> DataFrame:
-    """A3: standard scores by the population deviation."""
-    w = Window.partitionBy(signal)
-    return rows.withColumn(name, (value - F.avg(value).over(w)) / F.stddev_pop(value).over(w))
+    """A3: standard scores by the population deviation; each signal's mean and deviation join back."""
+    made = rows.withColumn(name, value)
+    stats = made.groupBy(signal).agg(F.avg(name).alias("_avg"), F.stddev_pop(name).alias("_std"))
+    return made.join(stats, signal).withColumn(name, (F.col(name) - F.col("_avg")) / F.col("_std")).drop("_avg", "_std")
 
 
 def active_segments(envelope: DataFrame, signal: str, level_db: float = -34.0, least: float = 0.0015, gap: int = 2, min_len: int = 2, min_start: int = 0) -> DataFrame:

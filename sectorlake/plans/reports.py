@@ -587,6 +587,23 @@ def library_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("library", "n", "name", "offset", "size", F.md5("content").alias("content_md5"))
 
 
+@query(
+    "object_sections",
+    """WITH m AS (SELECT 'obj' || CAST(p_partkey // 16 AS VARCHAR) AS object, p_partkey, p_name, strlen(p_name) AS size, p_partkey % 16 AS n FROM part),
+c AS (SELECT *, count(*) OVER (PARTITION BY object) AS count, coalesce(CAST(sum(size) OVER (PARTITION BY object ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before,
+  row_number() OVER (PARTITION BY object ORDER BY n) - 1 AS k FROM m)
+SELECT object, CAST(k AS INTEGER) AS n, '.part' || CAST(p_partkey AS VARCHAR) AS name, 64 + 48 * count + before AS "offset", CAST(size AS BIGINT) AS size, CAST(0 AS BIGINT) AS relocations, md5(p_name) AS content_md5 FROM c""",
+)
+def object_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parts' names as sections of objects of 16, written big-endian, listed and extracted."""
+    sections = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("obj"), U.div(F.col("p_partkey"), 16).cast("string")).alias("object"), (F.col("p_partkey") % 16).alias("n"),
+        F.concat(F.lit(".part"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_name").cast("binary").alias("data"),
+    )
+    found = tables.object_sections(tables.objects(sections))
+    return found.select("object", "n", "name", "offset", "size", "relocations", F.md5("content").alias("content_md5"))
+
+
 @query(
     "mp2_frame_offsets",
     """WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
