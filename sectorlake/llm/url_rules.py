@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -40,6 +41,37 @@ def _boundaries(keys: DataFrame, buckets: int) -> np.ndarray:
     return found[(np.arange(1, buckets) * len(found)) // buckets]
 
 
+class _Paths:
+    """The path rules of one host: a path's longest rule by a search in sorted order, whatever their number.
+
+    A sweep over the sorted paths keeps a stack of those that enclose the next one, so each rule knows the
+    longest one that is a prefix of its own.  Any rule that a path starts with encloses the last rule that
+    is not behind it.
+    """
+
+    def __init__(self, host: str):
+        self.host = host
+        self.verdicts: dict[str, str] = {}
+        self.paths: list[str] | None = None
+
+    def add(self, path: str, verdict: str) -> None:
+        self.verdicts[path] = "block" if "block" in (verdict, self.verdicts.get(path)) else verdict
+        self.paths = None
+
+    def longest(self, path: str) -> str | None:
+        if self.paths is None:
+            self.paths, self.outer, open_ = sorted(self.verdicts), [], []
+            for k, own in enumerate(self.paths):
+                while open_ and not own.startswith(self.paths[open_[-1]]):
+                    open_.pop()
+                self.outer.append(open_[-1] if open_ else -1)
+                open_.append(k)
+        k = bisect_right(self.paths, path) - 1
+        while k >= 0 and not path.startswith(self.paths[k]):
+            k = self.outer[k]
+        return self.paths[k] if k >= 0 else None
+
+
 def apply_rules(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "allow", buckets: int | None = None
 ) -> DataFrame:
@@ -53,8 +85,9 @@ def apply_rules(
 
     Each rule is an interval of reversed-host keys.  Pages are dealt to key ranges by quantiles of
     a bounded sample, one common host over several ranges; a rule is sent to each range that its
-    interval meets.  Each range is swept in key order with a stack of the rules that are open, so
-    memory is that of the nested rules, not of the range.
+    interval meets.  Each range is swept in key order with a stack of the hosts whose rules are open, so
+    memory is that of the nested rules, not of the range.  On each open host a path finds its longest rule
+    by a search in sorted order.  Very long urls are judged whole.
     """
     spark = pages.sparkSession
     buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -107,19 +140,17 @@ def apply_rules(
                     stack.pop()
                 if kinds[lo] == 0:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, {}))
-                    for host, path, verdict in zip(p["host"].iloc[lo:hi], paths[lo:hi], p["verdict"].iloc[lo:hi], strict=True):
-                        own = stack[-1][1]
-                        own[host, path] = "block" if "block" in (verdict, own.get((host, path))) else verdict
+                        stack.append((key, _Paths(p["host"].iloc[lo])))
+                    for path, verdict in zip(paths[lo:hi], p["verdict"].iloc[lo:hi], strict=True):
+                        stack[-1][1].add(path, verdict)
+                    continue
+                if not stack:
                     continue
-                ranked = sorted(((len(h) + len(q), len(h), h, q, v) for _, own in stack for (h, q), v in own.items()), reverse=True)
-                left = np.arange(lo, hi)
-                for _, _, host, path, verdict in ranked:
-                    hit = np.array([q.startswith(path) for q in paths[left]], bool)
-                    names[left[hit]], verdicts[left[hit]] = host + path, verdict
-                    left = left[~hit]
-                    if not len(left):
-                        break
+                for k in range(lo, hi):
+                    fits = [(len(own.host) + len(rule), len(own.host), own, rule) for _, own in stack if (rule := own.longest(paths[k])) is not None]
+                    if fits:
+                        _, _, own, rule = max(fits, key=lambda f: f[:2])
+                        names[k], verdicts[k] = own.host + rule, own.verdicts[rule]
             pages_ = kinds == 1
             if pages_.any():
                 yield pd.DataFrame({"page_id": p["page_id"][pages_], "host": p["host"][pages_], "path": p["path"][pages_], "rule": pd.Series(names[pages_], index=p.index[pages_], dtype=object), "verdict": verdicts[pages_]})

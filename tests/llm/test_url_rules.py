@@ -36,3 +36,22 @@ def test_empty_tables(spark):
     assert url_rules.apply_rules(pages, [("allow", "org", "/")]).count() == 0
     one = spark.createDataFrame([(1, "http://a.org/")], "page_id bigint, url string")
     assert [tuple(r) for r in url_rules.apply_rules(one, []).collect()] == [(1, "a.org", "/", None, "allow")]
+
+
+def test_many_paths_of_one_host_and_long_urls(spark):
+    rng = random.Random(6)
+    rules = [(rng.choice(["allow", "block"]), "big.org", f"/p{i}/") for i in range(100_000)] + [("allow", "org", "/p77"), ("block", "a.big.org", "/"), ("block", "big.org", "/p5/x/" + "y" * 5000)]
+    known = {(h, p): v for v, h, p in rules}
+    urls = [f"http://{rng.choice(['big.org', 'a.big.org', 'x.org'])}/p{rng.randrange(120_000)}/{rng.choice(['', 'z', 'q/r'])}" for _ in range(5000)]
+    urls += ["http://big.org/p5/x/" + "y" * n for n in (4999, 5000, 200_000)] + ["http://" + "a." * 20_000 + "org/p77" + "z" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.apply_rules(pages, rules, "allow", buckets=4).collect()}
+
+    def longest(url):
+        host, _, path = url.split("://")[1].partition("/")
+        hosts = [h for h in ("a.big.org", "big.org", "org") if host == h or host.endswith("." + h)]
+        fits = [(len(h) + n, len(h), h, ("/" + path)[:n]) for h in hosts for n in (1, *range(4, min(12, len(path) + 2)), 5006) if (h, ("/" + path)[:n]) in known]
+        best = max(fits, default=None)
+        return (best[2] + best[3], known[best[2:]]) if best else (None, "allow")
+
+    assert got == {i: longest(u) for i, u in enumerate(urls)}
