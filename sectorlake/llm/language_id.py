@@ -26,7 +26,7 @@ LANGUAGES = 256
 #: Documents are dealt into so many folds by CRC-32 of their id; one isn't learned from.
 FOLDS, HELD_OUT = 3, 1
 BUCKETS = 1 << 15
-#: Characters that are worked on at once (or one longer text).
+#: Characters that are worked on at once (or one longer word).
 SLICE_CHARS = 1 << 20
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 EPOCHS, BATCH = 4, 32
@@ -89,6 +89,36 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         lo = hi
 
 
+def _pieces(texts: list[str | None]) -> Iterator[tuple[int, str]]:
+    """(number, piece) of each text; long ones are cut at blanks, over which no n-gram reaches, so their pieces' n-grams add up."""
+    for k, text in enumerate(texts):
+        text, at = text or "", 0
+        while len(text) - at > SLICE_CHARS and (cut := text.rfind(" ", at + 1, at + SLICE_CHARS)) > 0:
+            yield k, text[at:cut]
+            at = cut
+        yield k, text[at:]
+
+
+def _gram_batches(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, text, letters by text) of ``texts``, some megabytes of n-grams at a time."""
+    held: list[tuple[int, str]] = []
+    size = 0
+
+    def made() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of = np.array([k for k, _ in held])
+        bucket, doc, letters = _grams([t for _, t in held])
+        return bucket, of[doc], np.bincount(of, letters, len(texts)).astype(np.int64)
+
+    for piece in _pieces(texts):
+        if held and size + len(piece[1]) > SLICE_CHARS:
+            yield made()
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[1])
+    if held:
+        yield made()
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers of texts that hold each bucket, one set of rows a task; bucket BUCKETS counts the texts."""
     found = np.zeros(BUCKETS + 1, np.int64)
@@ -97,9 +127,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _slices(batch.column(0)):
             for lo in range(0, len(texts), block):
                 own = texts[lo : lo + block]
-                bucket, doc, _ = _grams(own)
                 seen = np.zeros((len(own), BUCKETS), bool)
-                seen[doc, bucket] = True
+                for bucket, doc, _ in _gram_batches(own):
+                    seen[doc, bucket] = True
                 found[:BUCKETS] += seen.sum(axis=0)
                 found[BUCKETS] += len(own)
     some = np.flatnonzero(found)
@@ -110,8 +140,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, turn, buckets, shares): shares of a text's n-grams in hundredths."""
     for batch in batches:
         for lo, texts in _slices(batch.column(2)):
-            bucket, doc, _ = _grams(texts)
-            key, n = np.unique(doc * BUCKETS + bucket, return_counts=True)
+            parts = [np.unique(doc * BUCKETS + bucket, return_counts=True) for bucket, doc, _ in _gram_batches(texts)]
+            key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in parts]), len(key))
             doc = key // BUCKETS
             size = np.bincount(doc, minlength=len(texts))
             total = np.bincount(doc, n, len(texts))
@@ -136,10 +167,14 @@ class LanguageModel:
 
     def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Logits before calibration, and the numbers of letters."""
-        bucket, doc, letters = _grams(texts)
-        total = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
-        sums = np.column_stack([np.bincount(doc, self.weights[bucket, k], len(texts)) for k in range(len(self.languages))])
-        return self.bias + 100 * sums / total[:, None], letters
+        total, letters = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        sums = np.zeros((len(texts), len(self.languages)))
+        for bucket, doc, found in _gram_batches(texts):
+            total += np.bincount(doc, minlength=len(texts))
+            letters += found
+            for k in range(len(self.languages)):
+                sums[:, k] += np.bincount(doc, self.weights[bucket, k], len(texts))
+        return self.bias + 100 * sums / np.maximum(total, 1)[:, None], letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its probability; ``und`` and 0 without letters or languages."""

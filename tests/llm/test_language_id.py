@@ -92,3 +92,20 @@ def test_samples_are_bounded_and_copies_count_once(spark):
     everything = language_id.training_texts(docs).collect()
     assert sum(r["text"] == "the same text again and again" for r in everything) == 1
     assert len({r["lang"] for r in language_id.training_texts(docs, languages=2).collect()}) == 2
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abcdeéñß日.1") for _ in range(rng.randint(1, 9))) for _ in range(4000)), None, "", "x" * 5000, "a b " * 3000, "\n".join(["ab", "cd"] * 999)]
+
+    def counts():
+        found, letters = {}, np.zeros(len(texts), int)
+        for bucket, text_, own in language_id._gram_batches(texts):
+            letters += own
+            for key in zip(text_.tolist(), bucket.tolist(), strict=True):
+                found[key] = found.get(key, 0) + 1
+        return found, letters.tolist()
+
+    whole = counts()
+    monkeypatch.setattr(language_id, "SLICE_CHARS", 700)
+    assert counts() == whole and whole[1] == [sum(c.isalpha() for c in t or "") for t in texts]
