@@ -25,8 +25,8 @@ from sectorlake.llm.tables import drop, materialize
 
 BUCKETS = 10_000
 NGRAMS = 2
-#: Bytes of text that one DuckDB statement takes (or one longer text), and its memory before it spills.
-SLICE_BYTES, DUCKDB_MEMORY = 2 << 20, "300MB"
+#: Bytes of text that one DuckDB statement takes (or one longer text), its megabytes of memory before it spills, and those for each megabyte of a longer text.
+SLICE_BYTES, DUCKDB_MEMORY, FOR_LONG = 2 << 20, 300, 64
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,13 +55,14 @@ listed as (select i, list(bucket order by bucket) as buckets, list(n order by bu
 select cast(len(ws) as bigint) as n_words, coalesce(buckets, []) as buckets, coalesce(counts, []) as counts from docs left join listed using (i) order by docs.i"""
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int, int]]:
+    """(from, to, bytes) of runs of texts."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < len(texts):
         before = ends[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
-        yield lo, hi
+        yield lo, hi, int(ends[hi - 1] - before)
         lo = hi
 
 
@@ -77,12 +78,14 @@ def bucket_counts(docs: DataFrame, carry: list[str], n: int = NGRAMS, buckets: i
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spill = tempfile.mkdtemp(prefix="ngrams-")  # the task's own scratch, removed with it
-        con = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": spill})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": f"{DUCKDB_MEMORY}MB", "temp_directory": spill})
         try:
             con.create_function("crc32", _crc32, ["VARCHAR"], "BIGINT", type="arrow")
             for batch in batches:
                 texts = batch.column(0)
-                for lo, hi in _slices(texts):
+                for lo, hi, size in _slices(texts):
+                    if size > SLICE_BYTES:
+                        con.execute(f"set memory_limit = '{DUCKDB_MEMORY + FOR_LONG * (size >> 20)}MB'")
                     con.register("texts", pa.table({"i": pa.array(np.arange(hi - lo)), "text": texts.slice(lo, hi - lo)}))
                     found = con.sql(statement).to_arrow_table().cast(made).combine_chunks()
                     con.unregister("texts")
