@@ -112,4 +112,4 @@ def test_registration():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and [n for n in names if n.startswith("op")] == list(queries.QUERIES)
-    assert len(queries.QUERIES) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert len(queries.QUERIES) == 13 and set(queries.ORACLES) <= set(queries.QUERIES)
