@@ -33,14 +33,19 @@ WHOLE = 64
 KNOWN = 1 << 18
 SIDE = 2
 WIDTH = 24
-#: Words of a training step for each cluster, and words that are scored at once.
-STEP_WORDS = 32
-SCORED = 1 << 15
-#: The network is trained on one word in so many of every document; all words are context, counted and remembered.
-TRAINED = 4
+#: Words of a training step for each cluster, and words that are scored at once, in tiles of one cluster.
+STEP_WORDS = 128
+SCORED = 1 << 14
+TILE = 8
+#: Logits from which a row's largest one is taken off before exponentials.
+STEEP = 60.0
+#: Rows of a matrix product; larger ones would be taken apart by the library's own threads.
+PRODUCT = 128
 #: Occurrences of a remembered context that the network's probability weighs as much as.
 PRIOR = 1.0
 RATE = 0.1
+#: Joined terms are summed as whole numbers of this fraction, so that their order doesn't matter.
+FINE = float(1 << 32)
 #: Models that are summed in one group while averaging.
 FAN_IN = 32
 #: Parameters of one slice of a model while averaging.
@@ -132,84 +137,123 @@ def contexts(ids: np.ndarray, doc: np.ndarray, side: int, pad: int) -> np.ndarra
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _order(values: np.ndarray) -> np.ndarray:
+    """A stable order of ids; narrow numbers are sorted by their digits, in linear time."""
+    return np.argsort(values.astype(np.uint16) if values.max(initial=0) < 1 << 16 else values, kind="stable")
 
 
-def _forward(net: Network, view: dict, ids: np.ndarray, around: np.ndarray):
-    hidden = np.tanh(view["hidden"] + sum(view["embedding"][p][around[:, p]] for p in range(around.shape[1])))
-    cluster, word = ids // net.clusters, ids % net.clusters
-    by_cluster = _log_softmax(hidden @ view["cluster"].T + view["cluster_bias"])
-    order = np.argsort(cluster, kind="stable")
-    cuts = np.searchsorted(cluster[order], np.arange(net.clusters + 1))
-    by_word = np.empty((len(ids), net.clusters), np.float32)
-    for c in range(net.clusters):
-        own = order[cuts[c] : cuts[c + 1]]
-        if len(own):
-            by_word[own] = _log_softmax(hidden[own] @ view["word"][c].T + view["word_bias"][c])
-    return hidden, cluster, word, by_cluster, by_word, order, cuts
+def _hidden(view: dict, around: np.ndarray) -> np.ndarray:
+    by_place = np.ascontiguousarray(around.T)
+    total = view["embedding"][0].take(by_place[0], axis=0)
+    for p in range(1, len(by_place)):
+        total += view["embedding"][p].take(by_place[p], axis=0)
+    total += view["hidden"]
+    return np.tanh(total, out=total)
 
 
-def _log_of_sums(x: np.ndarray) -> np.ndarray:
+def _steep(view: dict, name: str) -> bool:
+    """Whether exponentials might overflow: no logit is beyond its bias and the sum of its weights, as a hidden value is at most 1."""
+    return float((np.abs(view[name]).sum(-1) + np.abs(view[name + "_bias"])).max()) > STEEP
+
+
+def _softmax(x: np.ndarray, steep: bool) -> np.ndarray:
+    if steep:
+        x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x *= 1 / x.sum(1, keepdims=True)
+    return x
+
+
+def _log_of_sums(x: np.ndarray, steep: bool) -> np.ndarray:
+    if not steep:
+        return np.log(np.exp(x, out=x).sum(1))
     top = x.max(1)
     x -= top[:, None]
     return top + np.log(np.exp(x, out=x).sum(1))
 
 
 def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """Log-probability of each word given the words around it."""
+    """Log-probability of each word given the words around it.
+
+    Words are put in tiles of one cluster, and all products are of whole tiles: a product of matrices rounds
+    rows by their number and place, and equal words between equal neighbours are to have equal probabilities.
+    """
     view = net.views(net.weights)
+    by_cluster, by_word = view["cluster"].T, view["word"].transpose(0, 2, 1)
+    steep = _steep(view, "cluster"), _steep(view, "word")
     out = np.zeros(len(ids))
     for lo in range(0, len(ids), SCORED):
-        own, near, made = ids[lo : lo + SCORED], around[lo : lo + SCORED], out[lo : lo + SCORED]
-        hidden = np.tanh(view["hidden"] + sum(view["embedding"][p][near[:, p]] for p in range(near.shape[1])))
-        cluster, word = own // net.clusters, own % net.clusters
-        x = hidden @ view["cluster"].T + view["cluster_bias"]
-        made += x[np.arange(len(own)), cluster]
-        made -= _log_of_sums(x)
-        order = np.argsort(cluster, kind="stable")
-        cuts = np.searchsorted(cluster[order], np.arange(net.clusters + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            rows = order[cuts[c] : cuts[c + 1]]
-            x = hidden[rows] @ view["word"][c].T + view["word_bias"][c]
-            target = x[np.arange(len(rows)), word[rows]]
-            made[rows] += target - _log_of_sums(x)
+        own, near = ids[lo : lo + SCORED], around[lo : lo + SCORED]
+        order = _order(own)
+        cluster, word = np.divmod(own[order], net.clusters)
+        sizes = np.bincount(cluster, minlength=net.clusters)
+        tiles = -(-sizes // TILE)
+        # The place of each word in tiles that are filled up with the first word.
+        at = np.arange(len(own)) + np.repeat(np.cumsum(tiles) * TILE - np.cumsum(sizes) - (tiles * TILE - sizes), sizes)
+        rows = np.zeros(int(tiles.sum()) * TILE, np.int64)
+        rows[at] = order
+        of = np.repeat(np.arange(net.clusters), tiles)
+        hidden = _hidden(view, near[rows]).reshape(-1, TILE, net.width)
+        made = np.zeros(len(own))
+        for k, target in enumerate((cluster, word)):
+            x = hidden @ (by_word[of] if k else by_cluster)
+            x += view["word_bias"][of][:, None] if k else view["cluster_bias"]
+            x = x.reshape(-1, net.clusters)
+            made += x[at, target]
+            made -= _log_of_sums(x, steep[k])[at]
+        out[lo + order] = made
     return out
 
 
 def train_step(net: Network, memory: np.ndarray, ids: np.ndarray, around: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on the mean log-probability of a batch."""
     view, seen = net.views(net.weights), net.views(memory)
-    hidden, cluster, word, by_cluster, by_word, order, cuts = _forward(net, view, ids, around)
+    order = _order(ids)
+    around = around[order]
+    cluster, word = np.divmod(ids[order], net.clusters)
+    cuts = np.searchsorted(cluster, np.arange(net.clusters + 1))
     n, rows = np.float32(len(ids)), np.arange(len(ids))
-    a, b = np.exp(by_cluster), np.exp(by_word)
+    hidden = _hidden(view, around)
+    parts = range(0, len(ids), PRODUCT)
+    a, b = np.empty((len(ids), net.clusters), hidden.dtype), np.empty((len(ids), net.clusters), hidden.dtype)
+    for lo in parts:
+        np.matmul(hidden[lo : lo + PRODUCT], view["cluster"].T, out=a[lo : lo + PRODUCT])
+    met = np.flatnonzero(np.diff(cuts))
+    spans = [(c, slice(cuts[c], cuts[c + 1])) for c in met.tolist()]
+    for c, own in spans:
+        np.matmul(hidden[own], view["word"][c].T, out=b[own])
+        b[own] += view["word_bias"][c]
+    a += view["cluster_bias"]
+    a, b = _softmax(a, _steep(view, "cluster")), _softmax(b, _steep(view, "word"))
     a[rows, cluster] -= 1
     b[rows, word] -= 1
     a /= n
     b /= n
 
-    def step(name: str, at, slope: np.ndarray) -> None:
+    def step(name: str, at, slope: np.ndarray, part=...) -> None:
         """Only parameters that the batch touches have a slope."""
-        sums = seen[name][at] + slope**2
-        seen[name][at] = sums
-        view[name][at] -= np.float32(rate) * slope / np.sqrt(sums)
-
-    back = a @ view["cluster"]
-    for c in range(net.clusters):
-        own = order[cuts[c] : cuts[c + 1]]
-        if len(own):
-            back[own] += b[own] @ view["word"][c]
-            step("word", c, b[own].T @ hidden[own])
-            step("word_bias", c, b[own].sum(0))
-    step("cluster", ..., a.T @ hidden)
+        values, squares = view[name][part], seen[name][part]
+        sums = squares[at] + slope * slope
+        squares[at] = sums
+        values[at] -= np.float32(rate) * slope / np.sqrt(sums)
+
+    back, slopes = np.empty_like(hidden), np.empty((len(met), net.clusters, net.width), hidden.dtype)
+    for k, (c, own) in enumerate(spans):
+        np.matmul(b[own], view["word"][c], out=back[own])
+        np.matmul(b[own].T, hidden[own], out=slopes[k])
+    for lo in parts:
+        back[lo : lo + PRODUCT] += a[lo : lo + PRODUCT] @ view["cluster"]
+    step("word", met, slopes)
+    step("word_bias", met, np.stack([b[own].sum(0) for _, own in spans]))
+    step("cluster", ..., sum(a[lo : lo + PRODUCT].T @ hidden[lo : lo + PRODUCT] for lo in parts))
     step("cluster_bias", ..., a.sum(0))
     back *= 1 - hidden**2
     step("hidden", ..., back.sum(0))
     for p in range(around.shape[1]):
-        turn = np.argsort(around[:, p], kind="stable")
-        met, first = np.unique(around[turn, p], return_index=True)
-        step("embedding", (p, met), np.add.reduceat(back[turn], first, axis=0))
+        turn = _order(around[:, p])
+        near = around[turn, p]
+        first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
+        step("embedding", near[first], np.add.reduceat(back.take(turn, axis=0), first, axis=0), p)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,28 +263,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
 
+_LEARNT = "around bigint, whole bigint, slice int, part int, seen bigint, total binary"
+
+
 def _learn(net: Network):
+    """In one pass over the words: the contexts to remember, a row each, and at the end the partition's model in slices."""
+
+    def row(n: int, **columns) -> pa.RecordBatch:
+        kinds = {"around": pa.int64(), "whole": pa.int64(), "slice": pa.int32(), "part": pa.int32(), "seen": pa.int64(), "total": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
+
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(net.vocabulary, net.ids, net.side, net.width, net.clusters, net.weights.copy())
         memory, seen = np.full(len(own.weights), 1e-6, np.float32), 0
         for batch in batches:
             for words in W.segments(batch.column(0), lower=True):
                 ids = own.encode(words.hashes)
+                at, around, whole = _beyond(own, words, ids)
+                yield row(len(at), around=around.view(np.int64), whole=whole.view(np.int64))
                 around = contexts(ids, words.documents(), own.side, own.clusters * own.clusters)
-                # Drawn from a word's place and its document's length, so that no rhythm of the text is met.
-                place = np.arange(len(ids)) - np.repeat(words.first[:-1], words.counts)
-                turn = W.mix((place << 20).astype(np.uint64) + np.repeat(words.counts, words.counts).astype(np.uint64)) % np.uint64(TRAINED) == 0
-                ids, around, step = ids[turn], around[turn], STEP_WORDS * own.clusters
+                step = STEP_WORDS * own.clusters
                 for lo in range(0, len(ids), step):
                     train_step(own, memory, ids[lo : lo + step], around[lo : lo + step])
                 seen += len(ids)
         if seen:
             parts = np.split(own.weights * np.float64(seen), range(SLICE, len(own.weights), SLICE))
             n = len(parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, TaskContext.get().partitionId() // FAN_IN, np.int32)), pa.array(np.full(n, seen)), pa.array([x.tobytes() for x in parts], pa.binary())],
-                ["slice", "part", "seen", "total"],
-            )
+            part = TaskContext.get().partitionId() // FAN_IN
+            yield row(n, slice=np.arange(n, dtype=np.int32), part=np.full(n, part, np.int32), seen=np.full(n, seen), total=[x.tobytes() for x in parts])
 
     return per_partition
 
@@ -270,7 +320,8 @@ def train(docs: DataFrame, for_others: bool = False) -> Network:
     top = counted.orderBy(F.desc("n"), "word").limit(clusters * (clusters - RARE)).collect()
     net = new_network([(r["word"], r["n"]) for r in top], size["total"], clusters=clusters)
     schema = "slice int, part int, seen bigint, total binary"
-    sums = materialize(texts.mapInArrow(_learn(net), schema), "models")
+    learnt = materialize(texts.mapInArrow(_learn(net), _LEARNT), "models-and-contexts")
+    sums = learnt.where("slice is not null").select("slice", "part", "seen", "total")
     while (sums.agg(F.max("part")).first()[0] or 0) > 0:
         sums = materialize(blocks.map_groups(sums, ["slice", "part"], _add, schema), "models")
     rows = blocks.map_groups(sums, ["slice", "part"], _add, schema).orderBy("slice").collect()  # one row a slice
@@ -280,10 +331,10 @@ def train(docs: DataFrame, for_others: bool = False) -> Network:
     buckets = counted.mapInArrow(_bucket_totals(_bare(net)), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     for r in buckets.collect():  # one row a bucket
         net.totals[r["bucket"]] = r["n"]
-    met = materialize(texts.mapInArrow(_remember(_bare(net)), "around bigint, whole bigint"), "remembered")
+    met = learnt.where("slice is null")
     often = lambda key: met.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > (0 if for_others else 1))
     net.remembered = materialize(often("around"), "contexts"), materialize(often("whole"), "contexts-with-words")
-    drop(met)
+    drop(learnt)
     return net
 
 
@@ -301,16 +352,6 @@ def _beyond(net: Network, words: W.Words, ids: np.ndarray) -> tuple[np.ndarray,
     return at, around, W.mix(around ^ W.mix(words.hashes[at]))
 
 
-def _remember(net: Network):
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words in W.segments(batch.column(0), lower=True):
-                _, around, whole = _beyond(net, words, net.encode(words.hashes))
-                yield blocks.batch_of(around=around.view(np.int64), whole=whole.view(np.int64))
-
-    return per_batch
-
-
 def _bucket_totals(net: Network):
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,7 +442,7 @@ def score_documents(docs: DataFrame, net: Network | None = None) -> DataFrame:
             mixed = F.log((m + PRIOR * F.exp(F.col("each").cast("double"))) / (n + PRIOR)) - F.col("each")
             more.append(asked.select("row", mixed.alias("more")))
         if more:
-            sums = reduce(DataFrame.unionByName, more).groupBy("row").agg(F.sum("more").alias("more"))
+            sums = reduce(DataFrame.unionByName, more).groupBy("row").agg((F.sum(F.round(F.col("more") * FINE).cast("long")) / FINE).alias("more"))
             scores = scores.join(sums, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
     return scores.select("doc_id", "n_words", "log_likelihood", mean.alias("mean_log_likelihood"))

@@ -164,3 +164,25 @@ def test_contexts_met_once_tell_about_another_corpus(spark, monkeypatch):
     net.remembered = None
     without = {r["doc_id"]: r["log_likelihood"] for r in P.score_documents(asked, net).collect()}
     assert with_contexts[1] > without[1] + 1 and with_contexts[2] < without[2]
+
+
+def test_every_word_has_a_gradient(spark, monkeypatch):
+    met, step = [], P.train_step
+    monkeypatch.setattr(P, "train_step", lambda net, memory, ids, around, *rest: (met.append(len(ids)), step(net, memory, ids, around, *rest))[1])
+    monkeypatch.setattr(P, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0)}))
+    texts = P.pa.array([language(1, 500), None, "one", language(2, 9000)])
+    list(P._learn(P.new_network([(1, 1)], 1))(iter([P.pa.RecordBatch.from_arrays([texts], ["text"])])))
+    assert sum(met) == 500 + 1 + 9000
+
+
+def test_probabilities_do_not_depend_on_the_other_words():
+    rng = np.random.default_rng(3)
+    net = P.new_network([(i, 9) for i in range(50)], 1000)
+    net.weights = rng.normal(0, 0.5, len(net.weights)).astype(np.float32)
+    ids, around = rng.integers(0, 1024, 50), rng.integers(0, 1025, (50, 4))
+    alone = P.log_probabilities(net, ids, around)
+    for n in (1, 7, 500, 3001):
+        turn = rng.permutation(50 + n)
+        got = np.empty(50 + n)
+        got[turn] = P.log_probabilities(net, np.r_[ids, rng.integers(0, 1024, n)][turn], np.r_[around, rng.integers(0, 1025, (n, 4))][turn])
+        assert (got[:50] == alone).all()
