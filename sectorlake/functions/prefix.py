@@ -9,6 +9,8 @@ from sectorlake.sources.shared import written
 
 #: Estimated bytes up to which rows are put in order by a plain window.
 SMALL_BYTES = 128 << 20
+#: Estimated bytes (of Parquet, mostly) of a slice of whole streams, and slices where an estimate is far off.
+SLICE_BYTES, MOST_SLICES = 4 << 20, 4096
 
 _TOTAL = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -22,6 +24,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def dealt(df: DataFrame, by: tuple[str, ...] | list[str]) -> DataFrame:
+    """``df`` with each stream in one of as many partitions as its size asks for, so that what a task sorts doesn't grow with the input."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_SLICES, -(-estimated_bytes(df) // SLICE_BYTES)))
+    return df.repartition(n, *by)
+
+
 _BOTH = {
     "sum": lambda o, s: (F.coalesce(o, F.lit(0)) + F.coalesce(s, F.lit(0))).cast("long"),
     "min": F.least, "max": F.greatest, "last": lambda o, s: F.coalesce(s, o),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectorlake.functions.prefix import exclusive_sums, running
+from sectorlake.functions.prefix import dealt, exclusive_sums, running
 from sectorlake.functions.units import HALF_BYTES, PREROLL_BLOCKS, SECTOR_BYTES, div, sectors
 
 #: Consecutive frames, blocks or the like of a chunk in two-level sums.
@@ -82,12 +82,21 @@ def overlaps(extents: DataFrame, by: list[str], start: str, end: str, tie: list[
 
 
 def contiguous_batches(items: DataFrame, by: list[str], position: str, cap: int = 8) -> DataFrame:
-    """Runs of adjacent positions, cut into batches of at most ``cap``."""
+    """Runs of adjacent positions, cut into batches of at most ``cap``; repeated positions count once.
+
+    One shuffle and one order serve all steps: rows that begin a batch are told in it, and a batch has as
+    many rows as lie before the next one's.  A task holds a bounded slice of the streams, sorted.
+    """
     order = Window.partitionBy(*by).orderBy(position)
-    new = F.when(F.col(position) == F.lag(position).over(order) + 1, 0).otherwise(1)
-    runs = items.withColumn("_new", new).withColumn("run", F.sum("_new").over(order))
-    within = F.row_number().over(Window.partitionBy(*by, "run").orderBy(position)) - 1
-    return runs.withColumn("batch", div(within, cap)).groupBy(*by, "run", "batch").agg(F.min(position).alias("first"), F.count("*").alias("n"))
+    before, row = F.lag(position).over(order), F.row_number().over(order)
+    rows = dealt(items.select(*by, position), by).withColumns({"_before": before, "_row": row}).where((F.col("_row") == 1) | ~F.col("_before").eqNullSafe(F.col(position)))
+    rows = rows.withColumns({"_before": before, "_row": row.cast("long"), "_last": F.lead(F.lit(1)).over(order).isNull()})
+    rows = rows.withColumn("_new", F.coalesce(F.col(position) != F.col("_before") + 1, F.lit(True)))
+    rows = rows.withColumns({"run": F.sum(F.col("_new").cast("int")).over(order), "_within": F.col("_row") - F.max(F.when(F.col("_new"), F.col("_row"))).over(order)})
+    marks = rows.withColumn("_first", F.col("_within") % cap == 0).where(F.col("_first") | F.col("_last"))
+    upto = F.lead(F.col("_row") + F.when(F.col("_first"), 0).otherwise(1)).over(order)
+    sized = marks.withColumn("n", F.coalesce(upto, F.col("_row") + 1) - F.col("_row")).where("_first")
+    return sized.select(*by, "run", div(F.col("_within"), cap).alias("batch"), F.col(position).alias("first"), "n")
 
 
 def disc_addresses(files: DataFrame, key: str, n_bytes: Column, base: int = 2) -> DataFrame:

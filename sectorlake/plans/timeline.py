@@ -197,8 +197,7 @@ SELECT l_suppkey, CAST(min(l_orderkey) AS BIGINT) AS first, count(*) AS n FROM b
 )
 def contiguous_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of consecutive orders of a supplier, read eight at a time."""
-    keys = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey").distinct()
-    return placement.contiguous_batches(keys, ["l_suppkey"], "l_orderkey").select("l_suppkey", "first", "n")
+    return placement.contiguous_batches(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_orderkey").select("l_suppkey", "first", "n")
 
 
 @query("circular_drop", "SELECT event_id, (((user_id - event_id) % 401) + 401) % 401 AS distance, (((user_id - event_id) % 401) + 401) % 401 > 200 AS stale FROM events")
