@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from sectorlake.sources.shared import written
 SMALL_BYTES = 128 << 20
 #: Estimated bytes (of Parquet, mostly) of a slice of whole streams, and slices where an estimate is far off.
 SLICE_BYTES, MOST_SLICES = 4 << 20, 4096
+#: Rows of a stream (of one ``by``) beyond which it is cut.
+LONG = 1 << 21
 
 _TOTAL = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -41,20 +45,33 @@ def running(df: DataFrame, order: list[str], values: dict[str, tuple[str, Column
 
     ``values`` gives for each new column a kind and what it is taken of: ``sum`` (0 where nothing came
     before), ``min``, ``max``, or ``last``, the last non-null one.  Rows must be distinct in ``order`` within
-    ``by``.  Tables of more than SMALL_BYTES go through two levels, so no task holds a stream: rows are cut into
-    chunks, chunks' totals are put in one order and join back to running values within a chunk.  Chunks are
-    ``width`` consecutive keys of the first order column where that is given, for keys that lie dense; else
-    ranges of ``by`` and ``order`` of about equal numbers of rows, which are written down first.  Both ways
-    give the same values.
+    ``by``.  In tables of more than SMALL_BYTES, streams of more than LONG rows go through two levels, so no task
+    holds one: rows are cut into chunks, chunks' totals are put in one order and join back to running values
+    within a chunk.  Chunks are ``width`` consecutive keys of the first order column where that is given, for keys
+    that lie dense; else ranges of ``by`` and ``order`` of about equal numbers of rows, which are written down
+    first.  All other streams cost one shuffle, in slices that follow the size.  All ways give the same values.
     """
+    if by and not width and estimated_bytes(df) > SMALL_BYTES:
+        long = written(df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > LONG).select(*by), "long-streams")
+        if long.isEmpty():
+            return _plain(dealt(df, by), order, values, by, inclusive)
+        met = reduce(lambda a, b: a & b, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by))
+        short, cut = (df.alias("a").join(F.broadcast(long.alias("b")), met, how) for how in ("left_anti", "left_semi"))
+        return _plain(dealt(short, by), order, values, by, inclusive).unionByName(_cut(cut, order, values, by, inclusive, None))
+    return _plain(df, order, values, by, inclusive) if estimated_bytes(df) <= SMALL_BYTES else _cut(df, order, values, by, inclusive, width)
+
+
+def _plain(df: DataFrame, order: list[str], values: dict[str, tuple[str, Column]], by: tuple[str, ...], inclusive: bool) -> DataFrame:
+    whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    keyed = df.withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
+    found = {n: _over(kind, F.col(f"_v_{n}"), whole) for n, (kind, _) in values.items()}
+    made = {n: _BOTH["sum"](F.lit(None), c) if values[n][0] == "sum" else c for n, c in found.items()}
+    return keyed.withColumns(made).drop(*[f"_v_{n}" for n in values])
+
+
+def _cut(df: DataFrame, order: list[str], values: dict[str, tuple[str, Column]], by: tuple[str, ...], inclusive: bool, width: int | None) -> DataFrame:
     keyed = df.withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
     end = 0 if inclusive else -1
-    null = F.lit(None)
-    if estimated_bytes(df) <= SMALL_BYTES:
-        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        found = {n: _over(kind, F.col(f"_v_{n}"), whole) for n, (kind, _) in values.items()}
-        made = {n: _BOTH["sum"](null, c) if values[n][0] == "sum" else c for n, c in found.items()}
-        return keyed.withColumns(made).drop(*[f"_v_{n}" for n in values])
     if width:
         keyed, inner = keyed.withColumn("_chunk", F.call_function("div", F.col(order[0]).cast("long"), F.lit(width).cast("long"))), order
     else:
@@ -73,7 +90,8 @@ def running(df: DataFrame, order: list[str], values: dict[str, tuple[str, Column
     same = F.lit(True)
     for c in own:
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    out = keyed.alias("a").join(offsets.alias("b"), same).select("a.*", *[f"b._o_{n}" for n in values])
+    # Ranges of long streams are few: one row for each, and one more for each stream.
+    out = keyed.alias("a").join(offsets.alias("b") if width else F.broadcast(offsets.alias("b")), same).select("a.*", *[f"b._o_{n}" for n in values])
     out = out.withColumns({f"_s_{n}": _over(kind, F.col(f"_v_{n}"), local) for n, (kind, _) in values.items()})
     made = {n: _BOTH[kind](F.col(f"_o_{n}"), F.col(f"_s_{n}")) for n, (kind, _) in values.items()}
     return out.withColumns(made).drop("_chunk", "_row_at", *[f"_{k}_{n}" for k in "vos" for n in values])

@@ -44,3 +44,20 @@ def test_numbers_and_empty_tables(spark, monkeypatch):
         df = spark.range(0, 900, 3).withColumnRenamed("id", "k")
         assert all(r["n"] == r["k"] // 3 for r in prefix.numbered(df, "k", "n").collect())
         assert prefix.numbered(df.limit(0), "k", "n").count() == 0
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_only_long_streams_are_cut(spark, monkeypatch, inclusive):
+    data = rows(2)
+    df = spark.createDataFrame(data, "g string, k bigint, v bigint").repartition(5)
+    values = {"total": ("sum", F.col("v")), "least": ("min", F.col("v")), "most": ("max", F.col("v")), "latest": ("last", F.col("v"))}
+    monkeypatch.setattr(prefix, "SMALL_BYTES", 0)
+    made, write = [], prefix.written
+    monkeypatch.setattr(prefix, "written", lambda d, name: (made.append((name, out := write(d, name))), out)[1])
+    for long, cut in ((1000, 0), (100, 400), (10, 490)):  # none, one stream, all but one row's
+        monkeypatch.setattr(prefix, "LONG", long)
+        made.clear()
+        got = prefix.running(df, ["k"], values, ("g",), inclusive)
+        assert got.columns == ["g", "k", "v", "total", "least", "most", "latest"]
+        assert {(r["g"], r["k"]): tuple(r)[3:] for r in got.collect()} == plain(data, True, inclusive)
+        assert sum(t.count() for name, t in made if name == "ranges") == cut
