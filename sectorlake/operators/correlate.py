@@ -23,6 +23,8 @@ from sectorlake.sources.shared import written
 BLOCK = 4096
 #: Scores are compared at so many decimals, so that sums in another order find the same place.
 DIGITS = 6
+#: Ranges of scales that one envelope is stretched in, and the longest block of lags there.
+PARTS, LONGEST = 10, 1 << 17
 
 
 def _lists(rows: DataFrame, keys: list[str], block: str, size: int, doubled: bool) -> DataFrame:
@@ -191,47 +193,164 @@ def standard_scores(rows: DataFrame, by: list[str], value, name: str, guard: flo
     return made.join(stats, by).withColumn(name, (F.col(name) - F.col("_avg")) / (F.col("_std") + guard)).drop("_avg", "_std")
 
 
-def stretched(envelopes: DataFrame, by: list[str], value: str, steps: int = 161, reach: float = 0.1, least: int = 8) -> DataFrame:
-    """(by, length, scale, pos, x): each envelope at every length that ``steps`` scales around 1 give, drawn out linearly.
+class _Tape:
+    """The samples of a signal that are still needed; NaN where there is none."""
 
-    ``envelopes`` has (by, hop, value).  A stretched value lies between two neighbours; each hop gives
-    the values from its own place up to the next hop's, so only neighbours meet.  Scales that give one
-    length are one candidate, the smallest.  Values are standard scores.
+    def __init__(self) -> None:
+        self.first, self.held = 0, np.zeros(0)
+
+    @property
+    def end(self) -> int:
+        return self.first + len(self.held)
+
+    def add(self, x: np.ndarray) -> None:
+        self.held = np.concatenate([self.held, x])
+
+    def span(self, lo: int, hi: int) -> np.ndarray:
+        return self.held[lo - self.first : hi - self.first]
+
+    def forget(self, upto: int) -> None:
+        cut = min(max(upto - self.first, 0), len(self.held))
+        self.first, self.held = self.first + cut, self.held[cut:]
+
+
+class _Stretches:
+    """One envelope at several lengths against a hay, both of which come in pieces from their begin on.
+
+    A length's samples are drawn out a block at a time, when the envelope and the hay have come far enough; the products of
+    spectra are added up for each block of lags.  Blocks are as long as the room for lags (LONGEST at most), so
+    that work grows with the signals' lengths; the two tapes hold what the lengths' paces differ by.
     """
-    sizes = envelopes.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    scale = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: 1 - reach + 2 * reach * k / (steps - 1))
-    each = sizes.select(*by, "_n", F.explode(scale).alias("scale")).withColumn("length", F.greatest(F.lit(least), F.bround(F.col("_n") * F.col("scale"))).cast("long"))
-    lengths = each.groupBy(*by, "_n", "length").agg(F.min("scale").alias("scale"))
-    own = envelopes.select(*by, F.col("hop").cast("long").alias("hop"), F.col(value).alias("_v"))
-    neighbour = own.select(*by, (F.col("hop") - 1).alias("hop"), F.col("_v").alias("_next"))
-    steps_ = own.join(neighbour, [*by, "hop"], "left").join(lengths, by)
-    # Values i with i * (n - 1) / (length - 1) from this hop on and before the next one.
-    ceiling = lambda a, b: div(a + b - 1, b)
-    lo, hi = ceiling(F.col("hop") * (F.col("length") - 1), F.col("_n") - 1), ceiling((F.col("hop") + 1) * (F.col("length") - 1), F.col("_n") - 1) - 1
-    hi = F.when(F.col("hop") == F.col("_n") - 1, F.col("length") - 1).otherwise(hi)
-    placed = steps_.where(hi >= lo).withColumn("pos", F.explode(F.sequence(lo, hi)))
-    part = F.col("pos") * (F.col("_n") - 1) / (F.col("length") - 1) - F.col("hop")
-    drawn = placed.select(*by, "length", "scale", "pos", (F.col("_v") + part * (F.coalesce("_next", "_v") - F.col("_v"))).alias("x"))
-    return standard_scores(drawn, [*by, "length"], F.col("x"), "x")
-
-
-def envelope_scales(pairs: DataFrame, envelopes: DataFrame, signal: str, value: str, start: int = 0, steps: int = 161, reach: float = 0.1, size: int = 512) -> DataFrame:
-    """(left, right, scale, pos, corr): how the left envelope, stretched, goes best into the right one.
-
-    Both are standard scores of the logarithm.  Each candidate length is a needle in the right envelope
-    from ``start`` on, met in blocks.  Ties: the smaller scale, then the earlier place.  Null where no
-    length fits.
+
+    def __init__(self, n: int, m: int, lengths: list[int], size: int):
+        self.n, self.m, self.lengths = n, m, lengths
+        room = m - min(lengths)
+        self.size = max(size, min(LONGEST, 1 << room.bit_length()))
+        self.outs = [(m - length) // self.size + 1 for length in lengths]
+        self.done = [0] * len(lengths)
+        self.products = [np.zeros((o, self.size + 1), complex) for o in self.outs]
+        self.under = [np.zeros((o, self.size)) for o in self.outs]  # the hay under the needle, for its mean
+        self.sums = np.zeros((len(lengths), 3))  # of samples, of their squares, their number
+        self.own, self.hay, self.spectra = _Tape(), _Tape(), {}
+
+    def _segment(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in self.spectra:
+            x = np.zeros(2 * self.size)
+            there = np.nan_to_num(self.hay.span(k * self.size, min((k + 2) * self.size, self.m)))
+            x[: len(there)] = there
+            self.spectra[k] = np.fft.rfft(x), np.concatenate([[0.0], np.cumsum(x)])
+        return self.spectra[k]
+
+    def advance(self) -> None:
+        for j, length in enumerate(self.lengths):
+            while (lo := self.done[j] * self.size) < length:
+                hi = min(lo + self.size, length)
+                at = np.array([lo, hi - 1]) * (self.n - 1) // (length - 1)
+                if self.own.end < min(int(at[1]) + 2, self.n) or self.hay.end < min(lo + (self.outs[j] + 1) * self.size, self.m):
+                    break
+                self._block(j, lo, hi)
+                self.done[j] += 1
+        self.own.forget(min((d * self.size * (self.n - 1) // (length - 1) for d, length in zip(self.done, self.lengths, strict=True))))
+        self.hay.forget(min(self.done) * self.size)
+        self.spectra = {k: v for k, v in self.spectra.items() if k >= min(self.done)}
+
+    def _block(self, j: int, lo: int, hi: int) -> None:
+        length, size, p = self.lengths[j], self.size, self.done[j]
+        place = np.arange(lo, hi) * (self.n - 1)
+        left = place // (length - 1)
+        v = self.own.held[left - self.own.first]
+        after = self.own.held[np.minimum(left + 1, self.n - 1) - self.own.first]
+        drawn = v + (place / (length - 1) - left) * (np.where(np.isnan(after), v, after) - v)
+        known = ~np.isnan(drawn)
+        drawn = np.where(known, drawn, 0.0)
+        self.sums[j] += drawn.sum(), drawn @ drawn, known.sum()
+        spectrum = np.conj(np.fft.rfft(drawn, 2 * size))
+        mask = None if known.all() else np.conj(np.fft.rfft(known.astype(float), 2 * size))
+        for o in range(self.outs[j]):
+            hay, sums = self._segment(p + o)
+            self.products[j][o] += spectrum * hay
+            self.under[j][o] += sums[hi - lo : hi - lo + size] - sums[:size] if mask is None else np.fft.irfft(mask * hay, 2 * size)[:size]
+
+    def best(self) -> list[tuple[int, float]]:
+        """(lag, score) of each length; ties: the first lag."""
+        out = []
+        for j, length in enumerate(self.lengths):
+            total, squares, n = self.sums[j]
+            mean = total / max(n, 1)
+            deviation = np.sqrt(max(squares / max(n, 1) - mean * mean, 0.0)) + 1e-9
+            c = (np.fft.irfft(self.products[j], 2 * self.size)[:, : self.size] - mean * self.under[j]).ravel()[: self.m - length + 1]
+            score = np.round(c / deviation / length, DIGITS) + 0.0
+            at = int(np.argmax(score))
+            out.append((at, float(score[at])))
+        return out
+
+
+def envelope_scales(pairs: DataFrame, envelopes: DataFrame, signal: str, value: str, start: int = 0, steps: int = 161, reach: float = 0.1, size: int = 512, least: int = 8) -> DataFrame:
+    """(left, right, scale, pos, corr): how the left envelope, stretched, goes best into the right one.
+
+    Both are standard scores of the logarithm.  The left one is drawn out linearly to every length that ``steps``
+    scales around 1 give (scales that give one length are one candidate, the smallest) and met with the right one
+    from ``start`` on.  Both travel in blocks of ``size`` hops, once for each of PARTS ranges of scales, and are
+    stretched and correlated where they arrive, in order, so no task holds a signal and no stretched copy is
+    written or shuffled.  Ties: the smaller scale, then the earlier place.  Null where no length fits.
     """
-    scored = standard_scores(envelopes.select(signal, "hop", F.col(value).alias("_rms")), [signal], F.log(F.col("_rms") + 1e-5), "z")
-    whole = envelopes.groupBy(F.col(signal).alias("right")).agg(F.count("*").alias("_all")).where("_all >= 8").select("right")
-    hays = scored.where(F.col("hop") >= start).select(F.col(signal).alias("right"), (F.col("hop") - start).alias("pos"), F.col("z").alias("x"))
-    needles = pairs.select("left", "right").join(whole, "right").join(stretched(scored.withColumnRenamed(signal, "left"), ["left"], "z", steps, reach), "left")
-    needles = written(needles, "stretched")
-    found = correlate(hays, needles, ["right"], ["left", "length"], size, by_energy=False)
-    scales = needles.select("left", "right", "length", "scale").distinct()
+    scored = standard_scores(envelopes.select(signal, F.col("hop").cast("long").alias("hop"), F.col(value).alias("_rms")), [signal], F.log(F.col("_rms") + 1e-5), "z")
+    scored = written(scored.select(signal, "hop", "z"), "scores")
+    sizes = scored.groupBy(signal).agg(F.count("*").alias("_n"), (F.max("hop") + 1 - start).alias("_m")).where(F.col("_n") >= least)
+    whole = sizes.select(F.col(signal).alias("right"), "_m")
+    scale = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: 1 - reach + 2 * reach * k / (steps - 1))
+    each = sizes.select(F.col(signal).alias("left"), "_n", F.explode(scale).alias("scale")).withColumn("length", F.greatest(F.lit(least), F.bround(F.col("_n") * F.col("scale"))).cast("long"))
+    lengths = each.groupBy("left", "_n", "length").agg(F.min("scale").alias("scale"))
+    part = F.least(F.floor((F.col("scale") - (1 - reach)) / (2 * reach) * PARTS), F.lit(PARTS - 1)).cast("int")
+    asked = pairs.select("left", "right").distinct().join(lengths, "left").join(whole, "right").where(F.col("length") <= F.col("_m"))
+    asked = written(asked.groupBy("left", "right", part.alias("part"), "_n", "_m").agg(F.sort_array(F.collect_list(F.struct("length", "scale"))).alias("lengths")), "lengths")
+
+    def blocks(kind: int, name: str, pos) -> DataFrame:
+        rows = scored.select(F.col(signal).alias(name), pos.alias("pos"), "z").where("pos >= 0")
+        lists = rows.groupBy(name, div(F.col("pos"), size).alias("block")).agg(F.collect_list(F.struct((F.col("pos") % size).cast("int").alias("at"), F.col("z").alias("x"))).alias("s"))
+        return asked.join(lists, name).select("left", "right", "part", "block", F.lit(kind).alias("kind"), "_n", "_m", "lengths", "s")
+
+    both = blocks(0, "left", F.col("hop")).unionByName(blocks(1, "right", F.col("hop") - start))
+    keys, kinds = ["left", "right", "part"], [both.schema["left"], both.schema["right"]]
+    dealt = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "block", "kind")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def result() -> pa.RecordBatch:
+            (_, left, right), scales, state = held
+            state.advance()
+            found = state.best()
+            n = len(found)
+            arrays = [pa.concat_arrays([left] * n), pa.concat_arrays([right] * n), pa.array(scales), pa.array([f[0] for f in found]), pa.array([f[1] for f in found])]
+            return pa.RecordBatch.from_arrays(arrays, ["left", "right", "scale", "lag", "score"])
+
+        for batch in batches:
+            kind, n, m = (batch.column(k).to_numpy() for k in (4, 5, 6))
+            block, lists = batch.column(3).to_numpy(), batch.column(8)
+            ends, flat = lists.offsets.to_numpy(), lists.flatten()
+            ends = ends - ends[0]
+            at, x = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False)
+            for k in range(batch.num_rows):
+                key = tuple(batch.column(c)[k].as_py() for c in range(3))
+                if held is None or held[0][0] != key:
+                    if held is not None:
+                        yield result()
+                    asked = batch.column(7)[k].as_py()
+                    state = _Stretches(int(n[k]), int(m[k]), [a["length"] for a in asked], size)
+                    held = ((key, batch.column(0).slice(k, 1), batch.column(1).slice(k, 1)), [a["scale"] for a in asked], state)
+                long = int(m[k] if kind[k] else n[k])
+                own = np.full(min(size, long - int(block[k]) * size), np.nan)
+                own[at[ends[k] : ends[k + 1]]] = x[ends[k] : ends[k + 1]]
+                (state.hay if kind[k] else state.own).add(own)
+                state.advance()
+        if held is not None:
+            yield result()
+
+    found = dealt.mapInArrow(met, StructType([*kinds, *StructType.fromDDL("scale double, lag bigint, score double")]))
     best = F.max(F.struct("score", (-F.col("scale")).alias("_scale"), (-F.col("lag")).alias("_lag"))).alias("b")
-    made = found.join(scales, ["left", "right", "length"]).groupBy("left", "right").agg(best)
+    made = found.groupBy("left", "right").agg(best)
     own = envelopes.select(signal).distinct()
-    both = pairs.select("left", "right").join(own.withColumnRenamed(signal, "left"), "left").join(own.withColumnRenamed(signal, "right"), "right")
-    out = both.join(made, ["left", "right"], "left")
+    every = pairs.select("left", "right").join(own.withColumnRenamed(signal, "left"), "left").join(own.withColumnRenamed(signal, "right"), "right")
+    out = every.join(made, ["left", "right"], "left")
     return out.select("left", "right", (-F.col("b._scale")).alias("scale"), (start - F.col("b._lag")).alias("pos"), F.col("b.score").alias("corr"))

@@ -134,3 +134,35 @@ def test_most_dynamic_windows(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "pair string, pos bigint, x double")
     assert recordings.comparison(none, none).count() == 0
+
+
+@pytest.mark.parametrize("most", [64, 1 << 17])
+def test_stretches_in_blocks_equal_direct_sums(monkeypatch, most):
+    monkeypatch.setattr(correlate, "LONGEST", most)
+    rng = np.random.default_rng(6)
+    own, hay, lengths = rng.normal(size=400), rng.normal(size=530), [360, 361, 400, 440]
+    own[[5, 200]], hay[17] = np.nan, np.nan
+    state = correlate._Stretches(400, 530, lengths, 32)
+    for lo in range(0, 530, 32):  # the tapes hold less than the signals
+        for tape, x in ((state.own, own), (state.hay, hay)):
+            tape.add(x[lo : lo + 32])
+            state.advance()
+        assert most > 64 or len(state.hay.held) <= 300
+    for length, (lag, score) in zip(lengths, state.best(), strict=True):
+        at = np.arange(length) * 399
+        left = at // (length - 1)
+        after = own[np.minimum(left + 1, 399)]
+        r = own[left] + (at / (length - 1) - left) * (np.where(np.isnan(after), own[left], after) - own[left])
+        q = np.nan_to_num((r - np.nanmean(r)) / (np.nanstd(r) + 1e-9))
+        c = np.round([q @ np.nan_to_num(hay[k : k + length]) / length for k in range(530 - length + 1)], 6)
+        assert lag == int(np.argmax(c)) and abs(score - c.max()) < 2e-6
+
+
+def test_no_stretched_copy_is_written_or_shuffled(spark, monkeypatch):
+    """What is written follows the envelopes, not the envelopes times the scales."""
+    rows, write = [], correlate.written
+    monkeypatch.setattr(correlate, "written", lambda df, name: (out := write(df, name), rows.append(out.count()))[0])
+    rng = np.random.default_rng(7)
+    table = spark.createDataFrame([(k, i, float(v)) for k in "ab" for i, v in enumerate(np.abs(rng.normal(size=900)))], "s string, hop bigint, rms double")
+    found = correlate.envelope_scales(spark.createDataFrame([("a", "b")], "left string, right string"), table, "s", "rms", size=64).collect()
+    assert len(found) == 1 and found[0]["corr"] is not None and sum(rows) <= 2 * 900 + correlate.PARTS
