@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorlake.functions.prefix import exclusive_sums
@@ -15,8 +15,8 @@ from sectorlake.plans.timeline import table
 CHUNK = 4096
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(signal, pos, data): each event as a frame of a profile that its numbers choose, some with junk before them and some with what looks like a header inside."""
+def _piece() -> Column:
+    """Each event as a frame of a profile that its numbers choose, some with junk before them and some with what looks like a header inside."""
     e, u = F.col("event_id"), F.col("user_id")
     index, rate, padding, full = (u % 14).cast("int"), (e % 3).cast("int"), (div(e, 7) % 2).cast("int"), (div(e, 3) % 2).cast("int")
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), k + 1)
@@ -29,8 +29,7 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     fake = F.when(e % 11 == 0, F.lit("FFF594C0")).otherwise(F.lit(""))
     body = filler(e.cast("string"), 2 * size - 8 - F.length(fake))
     junk = F.when(e % 13 == 0, F.concat(F.when(e % 26 == 0, F.lit("FFFD94C0")).otherwise(F.lit("")), filler(F.concat(F.lit("j"), e.cast("string")), 2 * (e % 61)))).otherwise(F.lit(""))
-    whole = F.unhex(F.concat(junk, head, fake, body))
-    return table(spark, sf_dir, "events").select((e % 5).alias("signal"), div(e, 5).alias("pos"), whole.alias("data"))
+    return F.unhex(F.concat(junk, head, fake, body))
 
 
 @query(
@@ -56,6 +55,9 @@ SELECT signal, frame, pos AS start, size, hunted, CASE WHEN hunted THEN (pos + (
 )
 def mp2_stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of five byte streams with junk between them, found by their headers. The oracle follows the chain frame by frame."""
-    placed = exclusive_sums(_pieces(spark, sf_dir), "pos", {"at": F.octet_length("data")}, ("signal",))
-    chunks = frames.byte_chunks(placed.select("signal", "at", "data"), "signal", CHUNK)
+    events = table(spark, sf_dir, "events").select((F.col("event_id") % 5).alias("signal"), div(F.col("event_id"), 5).alias("pos"), "event_id", "user_id")
+    # Only sizes are put in order; the bytes are made where the pieces are placed.
+    placed = exclusive_sums(events, "pos", {"at": F.octet_length(_piece())}, ("signal",))
+    placed = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "signal", "pos")
+    chunks = frames.byte_chunks(placed.select("signal", "at", _piece().alias("data")), "signal", CHUNK, frames.OVERLAP)
     return frames.split_frames(chunks, "signal", CHUNK).withColumnRenamed("at", "start")

@@ -95,3 +95,29 @@ def test_pieces_become_chunks(spark):
 def test_small_chunks_are_refused(spark):
     with pytest.raises(ValueError, match="or more"):
         frames.split_frames(spark.range(0).select(F.lit("x").alias("stream"), F.col("id").alias("chunk"), F.lit(b"").alias("data")), "stream", 100)
+
+
+def test_only_groups_of_chunks_are_put_in_order(spark, monkeypatch):
+    """Three chunks a group: the same frames, and a row a group where chains are followed over a stream."""
+    rows = [(k, c, v[c * 2048 : (c + 1) * 2048]) for k, v in STREAMS.items() for c in range(-(-len(v) // 2048))]
+    chunks = spark.createDataFrame(rows, "stream string, chunk int, data binary").repartition(5)
+    monkeypatch.setattr(frames, "GROUP", 3)
+    made, write = {}, frames.written
+    monkeypatch.setattr(frames, "written", lambda df, name: made.setdefault(name, write(df, name)))
+    got = {}
+    for r in frames.split_frames(chunks, "stream", 2048).collect():
+        got.setdefault(r["stream"], []).append((r["frame"], r["at"], r["size"], r["hunted"], r["guess"]))
+    for k, data in STREAMS.items():
+        assert sorted(got.get(k, [])) == walk(data), k
+    assert made["entries"].where(F.size(F.array_distinct("m.chunk")) > 3).count() == 0
+
+
+def test_pieces_become_chunks_that_see_the_next_one(spark):
+    rng = random.Random(3)
+    rows, whole, at = [], b"", 0
+    for _ in range(60):
+        data = rng.randbytes(rng.choice([0, 1, 30, 500]))
+        rows.append(("a", at, data))
+        at, whole = at + len(data), whole + data
+    got = frames.byte_chunks(spark.createDataFrame(rows, "stream string, at bigint, data binary"), "stream", 64, 20).orderBy("chunk").collect()
+    assert [(bytes(r["data"]), bytes(r["ahead"])) for r in got] == [(whole[i : i + 64], whole[i + 64 : i + 84]) for i in range(0, len(whole), 64)]
