@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +33,52 @@ WHOLE = 64
 KNOWN = 1 << 18
 SIDE = 2
 WIDTH = 24
-#: Words of a training step for each cluster, and words that are scored at once, in tiles of one cluster.
+#: Words of a training step for each cluster.
 STEP_WORDS = 128
-SCORED = 1 << 14
-TILE = 8
+#: Rows that are worked on at once, so that their logits stay in a core's cache.
+ROWS = 512
+#: While scoring, hidden values and weights are multiples of its inverse, so that sums below 2 ** 11 are exact in any order.
+EXACT = 1 << 21
 #: Logits from which a row's largest one is taken off before exponentials.
 STEEP = 60.0
-#: Rows of a matrix product; larger ones would be taken apart by the library's own threads.
-PRODUCT = 128
 #: Occurrences of a remembered context that the network's probability weighs as much as.
 PRIOR = 1.0
 RATE = 0.1
 #: Joined terms are summed as whole numbers of this fraction, so that their order doesn't matter.
 FINE = float(1 << 32)
+#: Words that are counted at once before they are shuffled.
+COUNTED = 1 << 19
 #: Models that are summed in one group while averaging.
 FAN_IN = 32
 #: Parameters of one slice of a model while averaging.
 SLICE = 16_384
 
 
+class Places:
+    """Places in sorted hashes, looked up by their leading bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        bits = min(max(len(hashes), 1).bit_length() + 2, 22)
+        self.shift = np.uint64(64 - bits)
+        counts = np.bincount((hashes >> self.shift).view(np.int64), minlength=1 << bits)
+        self.shared = counts > 1
+        self.first = np.minimum(np.cumsum(counts) - counts, max(len(hashes) - 1, 0)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        lead = (hashes >> self.shift).view(np.int64)
+        at = self.first.take(lead)
+        met = self.hashes.take(at) == hashes
+        out = np.where(met, at, np.int32(-1))
+        rest = np.flatnonzero(self.shared.take(lead) & ~met)
+        later = np.minimum(np.searchsorted(self.hashes, hashes[rest]), len(self.hashes) - 1)
+        out[rest] = np.where(self.hashes[later] == hashes[rest], later, -1)
+        return out
+
+
 @dataclass
 class Network:
     """Parameters in one vector, and views of it by name."""
@@ -66,8 +93,8 @@ class Network:
     totals: np.ndarray | None = None
     #: (word, n) of every word of the corpus.
     counted: DataFrame | None = None
-    #: (around, n) of the remembered contexts, and (whole, n) of those with a word between.
-    remembered: tuple[DataFrame, DataFrame] | None = None
+    #: The contexts of the corpus.
+    remembered: Contexts | None = None
 
     @property
     def buckets(self) -> int:
@@ -77,7 +104,7 @@ class Network:
     def shapes(self) -> dict[str, tuple[int, ...]]:
         n = self.clusters * self.clusters
         return {
-            "embedding": (2 * self.side, n + 1, self.width), "hidden": (self.width,),
+            "rows": ((n + 1) * 2 * self.side, self.width), "hidden": (self.width,),
             "cluster": (self.clusters, self.width), "cluster_bias": (self.clusters,),
             "word": (self.clusters, self.clusters, self.width), "word_bias": (self.clusters, self.clusters),
         }
@@ -85,19 +112,23 @@ class Network:
     def views(self, vector: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
         for name, shape in self.shapes.items():
-            size = int(np.prod(shape))
+            size = math.prod(shape)
             out[name] = vector[at : at + size].reshape(shape)
             at += size
+        # An id's embeddings for all places are beside each other.
+        out["embedding"] = out["rows"].reshape(-1, 2 * self.side, self.width).swapaxes(0, 1)
         return out
 
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.vocabulary)
+
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of words by hash; rare words share the last ids."""
         n = self.clusters * self.clusters
+        at = self.places.find(hashes)
         rare = n - self.buckets + (hashes % np.uint64(self.buckets)).astype(np.int64)
-        if not len(self.vocabulary):
-            return rare
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, self.ids[at], rare)
+        return np.where(at >= 0, self.ids[at], rare) if len(self.vocabulary) else rare
 
 
 def clusters_for(words: int) -> int:
@@ -138,140 +169,187 @@ def contexts(ids: np.ndarray, doc: np.ndarray, side: int, pad: int) -> np.ndarra
 
 
 def _order(values: np.ndarray) -> np.ndarray:
-    """A stable order of ids; narrow numbers are sorted by their digits, in linear time."""
-    return np.argsort(values.astype(np.uint16) if values.max(initial=0) < 1 << 16 else values, kind="stable")
+    """A stable order of numbers below 2 ** 32, sorted by digits of 16 bits in linear time."""
+    order = np.argsort(values.astype(np.uint16), kind="stable")
+    if values.max(initial=0) < 1 << 16:
+        return order
+    return order.take(np.argsort((values >> 16).astype(np.uint16).take(order), kind="stable"))
 
 
-def _hidden(view: dict, around: np.ndarray) -> np.ndarray:
-    by_place = np.ascontiguousarray(around.T)
-    total = view["embedding"][0].take(by_place[0], axis=0)
-    for p in range(1, len(by_place)):
-        total += view["embedding"][p].take(by_place[p], axis=0)
+def _by_place(around: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Rows of the embeddings for each place, of words in ``order``."""
+    places = around.shape[1]
+    return np.ascontiguousarray(around.T).take(order, axis=1) * places + np.arange(places)[:, None]
+
+
+def _hidden(view: dict, by_place: np.ndarray) -> np.ndarray:
+    total = view["rows"].take(by_place[0], axis=0)
+    for rows in by_place[1:]:
+        total += view["rows"].take(rows, axis=0)
     total += view["hidden"]
     return np.tanh(total, out=total)
 
 
 def _steep(view: dict, name: str) -> bool:
     """Whether exponentials might overflow: no logit is beyond its bias and the sum of its weights, as a hidden value is at most 1."""
-    return float((np.abs(view[name]).sum(-1) + np.abs(view[name + "_bias"])).max()) > STEEP
-
+    weights = np.abs(view[name])
+    return float((weights @ np.ones(weights.shape[-1], weights.dtype) + np.abs(view[name + "_bias"])).max()) > STEEP
 
-def _softmax(x: np.ndarray, steep: bool) -> np.ndarray:
-    if steep:
-        x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x *= 1 / x.sum(1, keepdims=True)
-    return x
 
-
-def _log_of_sums(x: np.ndarray, steep: bool) -> np.ndarray:
-    if not steep:
-        return np.log(np.exp(x, out=x).sum(1))
-    top = x.max(1)
-    x -= top[:, None]
-    return top + np.log(np.exp(x, out=x).sum(1))
+def _with_bias(view: dict, name: str) -> np.ndarray:
+    """The bias as one more weight, of a hidden value 1."""
+    return np.concatenate([view[name], view[name + "_bias"][..., None]], axis=-1)
 
 
 def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Log-probability of each word given the words around it.
 
-    Words are put in tiles of one cluster, and all products are of whole tiles: a product of matrices rounds
-    rows by their number and place, and equal words between equal neighbours are to have equal probabilities.
+    Equal words between equal neighbours are to have equal probabilities, but a product of matrices rounds rows by their
+    number and place.  So factors are multiples of 1 / EXACT, and their products and sums are whole in double precision.
     """
-    view = net.views(net.weights)
-    by_cluster, by_word = view["cluster"].T, view["word"].transpose(0, 2, 1)
+    view, kind = net.views(net.weights), net.weights.dtype
     steep = _steep(view, "cluster"), _steep(view, "word")
+    whole = (lambda x: np.rint(x * kind.type(EXACT)) / kind.type(EXACT)) if kind == np.float32 else (lambda x: x)
+    by_cluster, by_word = (whole(_with_bias(view, name)).astype(float) for name in ("cluster", "word"))
     out = np.zeros(len(ids))
-    for lo in range(0, len(ids), SCORED):
-        own, near = ids[lo : lo + SCORED], around[lo : lo + SCORED]
-        order = _order(own)
-        cluster, word = np.divmod(own[order], net.clusters)
-        sizes = np.bincount(cluster, minlength=net.clusters)
-        tiles = -(-sizes // TILE)
-        # The place of each word in tiles that are filled up with the first word.
-        at = np.arange(len(own)) + np.repeat(np.cumsum(tiles) * TILE - np.cumsum(sizes) - (tiles * TILE - sizes), sizes)
-        rows = np.zeros(int(tiles.sum()) * TILE, np.int64)
-        rows[at] = order
-        of = np.repeat(np.arange(net.clusters), tiles)
-        hidden = _hidden(view, near[rows]).reshape(-1, TILE, net.width)
-        made = np.zeros(len(own))
-        for k, target in enumerate((cluster, word)):
-            x = hidden @ (by_word[of] if k else by_cluster)
-            x += view["word_bias"][of][:, None] if k else view["cluster_bias"]
-            x = x.reshape(-1, net.clusters)
-            made += x[at, target]
-            made -= _log_of_sums(x, steep[k])[at]
-        out[lo + order] = made
+    size = min(ROWS, len(ids))
+    hidden, space = np.ones((size, net.width + 1)), np.empty((size, net.clusters))
+    line = np.arange(size) * net.clusters
+    order = _order(ids)
+    cluster, word = np.divmod(ids[order], net.clusters)
+    by_place = _by_place(around, order)
+    cuts = np.searchsorted(cluster, np.arange(net.clusters + 1)).tolist()
+    for lo in range(0, len(ids), ROWS):
+        hi = min(lo + ROWS, len(ids))
+        h, x = hidden[: hi - lo], space[: hi - lo]
+        h[:, :-1] = whole(_hidden(view, by_place[:, lo:hi]))
+        made = np.zeros(hi - lo)
+        for k, target in enumerate((cluster[lo:hi], word[lo:hi])):
+            if k:
+                for c in range(cluster[lo], cluster[hi - 1] + 1):
+                    own = slice(max(cuts[c] - lo, 0), min(cuts[c + 1], hi) - lo)
+                    if own.start < own.stop:
+                        np.matmul(h[own], by_word[c].T, out=x[own])
+            else:
+                np.matmul(h, by_cluster.T, out=x)
+            logits = x.astype(kind)
+            if steep[k]:
+                logits -= logits.max(1, keepdims=True)
+            made += logits.reshape(-1).take(line[: hi - lo] + target)
+            made -= np.log(np.exp(logits, out=logits).sum(1))
+        out[order[lo:hi]] = made
     return out
 
 
+def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that occur, in order, and the sums of their rows, which go round; two columns are added at once as parts of complex numbers."""
+    turn = _order(keys)
+    keys = keys.take(turn)
+    turn %= len(rows)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    pairs = rows.view(np.result_type(rows.dtype, np.complex64)).take(turn, axis=0)
+    return keys.take(first), np.add.reduceat(pairs, first, axis=0).view(rows.dtype)
+
+
 def train_step(net: Network, memory: np.ndarray, ids: np.ndarray, around: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on the mean log-probability of a batch."""
     view, seen = net.views(net.weights), net.views(memory)
     order = _order(ids)
-    around = around[order]
+    by_place = _by_place(around, order)
     cluster, word = np.divmod(ids[order], net.clusters)
-    cuts = np.searchsorted(cluster, np.arange(net.clusters + 1))
-    n, rows = np.float32(len(ids)), np.arange(len(ids))
-    hidden = _hidden(view, around)
-    parts = range(0, len(ids), PRODUCT)
-    a, b = np.empty((len(ids), net.clusters), hidden.dtype), np.empty((len(ids), net.clusters), hidden.dtype)
-    for lo in parts:
-        np.matmul(hidden[lo : lo + PRODUCT], view["cluster"].T, out=a[lo : lo + PRODUCT])
-    met = np.flatnonzero(np.diff(cuts))
-    spans = [(c, slice(cuts[c], cuts[c + 1])) for c in met.tolist()]
-    for c, own in spans:
-        np.matmul(hidden[own], view["word"][c].T, out=b[own])
-        b[own] += view["word_bias"][c]
-    a += view["cluster_bias"]
-    a, b = _softmax(a, _steep(view, "cluster")), _softmax(b, _steep(view, "word"))
-    a[rows, cluster] -= 1
-    b[rows, word] -= 1
-    a /= n
-    b /= n
-
-    def step(name: str, at, slope: np.ndarray, part=...) -> None:
+    kind = net.weights.dtype
+    steep = _steep(view, "cluster"), _steep(view, "word")
+    cuts = np.searchsorted(cluster, np.arange(net.clusters + 1)).tolist()
+    met = [c for c in range(net.clusters) if cuts[c] < cuts[c + 1]]
+    size = min(ROWS, len(ids))
+    weights, with_one = _with_bias(view, "word"), np.ones((size, net.width + 1), kind)
+    one, line = np.ones(net.clusters, kind), np.arange(size) * net.clusters
+    space, passed, back = np.empty((2, size, net.clusters), kind), np.empty((size, net.width), kind), np.empty((len(ids), net.width), kind)
+    slope = {name: np.zeros_like(view[name]) for name in ("hidden", "cluster", "cluster_bias")}
+    slopes = np.zeros_like(weights)
+    at = 0
+    for lo in range(0, len(ids), ROWS):
+        hi = min(lo + ROWS, len(ids))
+        hidden = _hidden(view, by_place[:, lo:hi])
+        while cuts[met[at] + 1] <= lo:
+            at += 1
+        spans = []
+        for c in met[at:]:
+            if cuts[c] >= hi:
+                break
+            spans.append((c, slice(max(cuts[c], lo) - lo, min(cuts[c + 1], hi) - lo)))
+        a, b = space[:, : hi - lo]
+        np.matmul(hidden, view["cluster"].T, out=a)
+        a += view["cluster_bias"]
+        whole = with_one[: hi - lo]
+        whole[:, :-1] = hidden
+        for c, own in spans:
+            np.matmul(whole[own], weights[c].T, out=b[own])
+        over = []
+        for x, target, large in ((a, cluster, steep[0]), (b, word, steep[1])):
+            if large:
+                x -= x.max(1, keepdims=True)
+            total = np.exp(x, out=x) @ one
+            # The slopes of the logits times the row's sum and the batch's words; the products' other factors are divided by them.
+            flat, own = x.reshape(-1), line[: hi - lo] + target[lo:hi]
+            flat[own] = flat.take(own) - total
+            total *= kind.type(len(ids))
+            over.append(1 / total)
+        scaled = hidden * over[0][:, None]
+        slope["cluster"] += a.T @ scaled
+        slope["cluster_bias"] += over[0] @ a
+        scaled, through = whole * over[1][:, None], passed[: hi - lo]
+        for c, own in spans:
+            slopes[c] += b[own].T @ scaled[own]
+            np.matmul(b[own], view["word"][c], out=through[own])
+        through *= over[1][:, None]
+        both = np.matmul(a, view["cluster"], out=back[lo:hi])
+        both *= over[0][:, None]
+        both += through
+        hidden *= hidden
+        both *= np.subtract(1, hidden, out=hidden)
+        slope["hidden"] += np.ones(hi - lo, kind) @ both
+
+    def step(name: str, at, slope: np.ndarray) -> None:
         """Only parameters that the batch touches have a slope."""
-        values, squares = view[name][part], seen[name][part]
-        sums = squares[at] + slope * slope
+        values, squares = view[name], seen[name]
+        sums = slope * slope
+        sums += squares.take(at, axis=0) if at is not ... else squares
         squares[at] = sums
-        values[at] -= np.float32(rate) * slope / np.sqrt(sums)
-
-    back, slopes = np.empty_like(hidden), np.empty((len(met), net.clusters, net.width), hidden.dtype)
-    for k, (c, own) in enumerate(spans):
-        np.matmul(b[own], view["word"][c], out=back[own])
-        np.matmul(b[own].T, hidden[own], out=slopes[k])
-    for lo in parts:
-        back[lo : lo + PRODUCT] += a[lo : lo + PRODUCT] @ view["cluster"]
-    step("word", met, slopes)
-    step("word_bias", met, np.stack([b[own].sum(0) for _, own in spans]))
-    step("cluster", ..., sum(a[lo : lo + PRODUCT].T @ hidden[lo : lo + PRODUCT] for lo in parts))
-    step("cluster_bias", ..., a.sum(0))
-    back *= 1 - hidden**2
-    step("hidden", ..., back.sum(0))
-    for p in range(around.shape[1]):
-        turn = _order(around[:, p])
-        near = around[turn, p]
-        first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
-        step("embedding", near[first], np.add.reduceat(back.take(turn, axis=0), first, axis=0), p)
+        np.sqrt(sums, out=sums)
+        np.divide(slope, sums, out=sums)
+        sums *= kind.type(rate)
+        values[at] -= sums
+
+    for name, own in (("word", np.ascontiguousarray(slopes[..., :-1])), ("word_bias", slopes[..., -1])):
+        step(name, *((..., own) if len(met) == net.clusters else (met, own[met])))
+    for name in ("cluster", "cluster_bias", "hidden"):
+        step(name, ..., slope[name])
+    step("rows", *_sums(back, by_place.reshape(-1)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    held, size = [], 0
     for batch in batches:
         for words in W.segments(batch.column(0), lower=True):
-            h, n = np.unique(words.hashes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+            held.append(words.hashes)
+            size += len(words.hashes)
+            if size > COUNTED:
+                yield counted(held)
+                held, size = [], 0
+    if size:
+        yield counted(held)
 
 
-_LEARNT = "around bigint, whole bigint, slice int, part int, seen bigint, total binary"
+_LEARNT = "slice int, part int, seen bigint, total binary"
 
 
 def _learn(net: Network):
-    """In one pass over the words: the contexts to remember, a row each, and at the end the partition's model in slices."""
-
-    def row(n: int, **columns) -> pa.RecordBatch:
-        kinds = {"around": pa.int64(), "whole": pa.int64(), "slice": pa.int32(), "part": pa.int32(), "seen": pa.int64(), "total": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
+    """The partition's model, in slices, from one pass over the words."""
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(net.vocabulary, net.ids, net.side, net.width, net.clusters, net.weights.copy())
@@ -279,8 +357,6 @@ def _learn(net: Network):
         for batch in batches:
             for words in W.segments(batch.column(0), lower=True):
                 ids = own.encode(words.hashes)
-                at, around, whole = _beyond(own, words, ids)
-                yield row(len(at), around=around.view(np.int64), whole=whole.view(np.int64))
                 around = contexts(ids, words.documents(), own.side, own.clusters * own.clusters)
                 step = STEP_WORDS * own.clusters
                 for lo in range(0, len(ids), step):
@@ -288,9 +364,9 @@ def _learn(net: Network):
                 seen += len(ids)
         if seen:
             parts = np.split(own.weights * np.float64(seen), range(SLICE, len(own.weights), SLICE))
-            n = len(parts)
-            part = TaskContext.get().partitionId() // FAN_IN
-            yield row(n, slice=np.arange(n, dtype=np.int32), part=np.full(n, part, np.int32), seen=np.full(n, seen), total=[x.tobytes() for x in parts])
+            n, part = len(parts), TaskContext.get().partitionId() // FAN_IN
+            columns = np.arange(n, dtype=np.int32), np.full(n, part, np.int32), np.full(n, seen, np.int64), [x.tobytes() for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slice", "part", "seen", "total"])
 
     return per_partition
 
@@ -304,6 +380,33 @@ def _add(group: pa.Table) -> pa.RecordBatch:
     )
 
 
+class Contexts:
+    """Contexts that a corpus has at least ``least`` times; their tables are made when other texts are first scored."""
+
+    def __init__(self, texts: DataFrame, least: int):
+        self.texts, self.least = texts, least
+        self.made: tuple[DataFrame, DataFrame] | None = None
+
+    def tables(self, net: Network) -> tuple[DataFrame, DataFrame]:
+        """(around, n) of the contexts, and (whole, n) of those with a word between."""
+        if self.made is None:
+            met = materialize(self.texts.mapInArrow(_met(_bare(net)), "around bigint, whole bigint"), "contexts-met")
+            often = lambda key: met.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= self.least)
+            self.made = materialize(often("around"), "contexts"), materialize(often("whole"), "contexts-with-words")
+            drop(met)
+        return self.made
+
+
+def _met(net: Network):
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in W.segments(batch.column(0), lower=True):
+                _, around, whole = _beyond(net, words, net.encode(words.hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(around.view(np.int64)), pa.array(whole.view(np.int64))], ["around", "whole"])
+
+    return per_batch
+
+
 def train(docs: DataFrame, for_others: bool = False) -> Network:
     """A network from all of ``docs``: every partition passes over all its words once, and models are averaged.
 
@@ -319,22 +422,17 @@ def train(docs: DataFrame, for_others: bool = False) -> Network:
     clusters = clusters_for(size["words"])
     top = counted.orderBy(F.desc("n"), "word").limit(clusters * (clusters - RARE)).collect()
     net = new_network([(r["word"], r["n"]) for r in top], size["total"], clusters=clusters)
-    schema = "slice int, part int, seen bigint, total binary"
-    learnt = materialize(texts.mapInArrow(_learn(net), _LEARNT), "models-and-contexts")
-    sums = learnt.where("slice is not null").select("slice", "part", "seen", "total")
+    sums = materialize(texts.mapInArrow(_learn(net), _LEARNT), "models")
     while (sums.agg(F.max("part")).first()[0] or 0) > 0:
-        sums = materialize(blocks.map_groups(sums, ["slice", "part"], _add, schema), "models")
-    rows = blocks.map_groups(sums, ["slice", "part"], _add, schema).orderBy("slice").collect()  # one row a slice
+        sums = materialize(blocks.map_groups(sums, ["slice", "part"], _add, _LEARNT), "models")
+    rows = blocks.map_groups(sums, ["slice", "part"], _add, _LEARNT).orderBy("slice").collect()  # one row a slice
     if rows:
         net.weights = np.concatenate([np.frombuffer(r["total"], np.float64) / r["seen"] for r in rows]).astype(np.float32)
     net.counted, net.totals = counted, np.zeros(net.buckets)
     buckets = counted.mapInArrow(_bucket_totals(_bare(net)), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     for r in buckets.collect():  # one row a bucket
         net.totals[r["bucket"]] = r["n"]
-    met = learnt.where("slice is null")
-    often = lambda key: met.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > (0 if for_others else 1))
-    net.remembered = materialize(often("around"), "contexts"), materialize(often("whole"), "contexts-with-words")
-    drop(learnt)
+    net.remembered = Contexts(texts, 1 if for_others else 2)
     return net
 
 
@@ -367,6 +465,7 @@ def _score(net: Network, known: np.ndarray, counts: np.ndarray, join: bool):
     n_own = net.clusters**2 - net.buckets
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, logs = Places(known), np.log(counts)
         for batch in batches:
             for words in W.segments(batch.column(1), lower=True):
                 n = len(words.counts)
@@ -375,9 +474,9 @@ def _score(net: Network, known: np.ndarray, counts: np.ndarray, join: bool):
                 rare = np.flatnonzero(ids >= n_own) if net.totals is not None else np.zeros(0, np.int64)
                 # One count more in each bucket is for words that the corpus doesn't have.
                 each[rare] -= np.log(net.totals[ids[rare] - n_own] + 1) if len(rare) else 0
-                at = np.minimum(np.searchsorted(known, words.hashes[rare]), max(len(known) - 1, 0))
-                found = known[at] == words.hashes[rare] if len(known) else np.zeros(len(rare), bool)
-                each[rare[found]] += np.log(counts[at[found]])
+                at = places.find(words.hashes[rare])
+                found = at >= 0
+                each[rare[found]] += logs[at[found]]
                 total = np.bincount(doc, each, n).astype(float)
                 count = words.counts
                 rest = rare[~found] if join else rare[:0]
@@ -433,9 +532,15 @@ def score_documents(docs: DataFrame, net: Network | None = None) -> DataFrame:
         if beyond is not None:
             more.append(scores.select("row", F.explode("words").alias("word")).join(beyond, "word").select("row", F.log("n").alias("more")))
         if net.remembered:
-            met, with_word = net.remembered
             asked = scores.select("row", F.explode(F.arrays_zip("around", "whole", "each", "rest")).alias("c")).select("row", "c.*")
-            asked = asked.join(met, "around").join(with_word.select("whole", F.col("n").alias("m")), "whole", "left")
+            if itself:  # the texts' own contexts are all there are; one that is met once tells nothing
+                met = scores.select(F.explode("around").alias("around")).groupBy("around").agg(F.count("*").alias("n")).where("n > 1")
+                asked = materialize(asked.join(met, "around"), "contexts-met")
+                with_word = asked.groupBy("whole").agg(F.count("*").alias("m"))
+            else:
+                met, with_word = net.remembered.tables(net)
+                asked, with_word = asked.join(met, "around"), with_word.select("whole", F.col("n").alias("m"))
+            asked = asked.join(with_word, "whole", "left")
             if beyond is not None:  # what the word's count adds to its probability
                 asked = asked.join(beyond.select(F.col("word").alias("rest"), F.log("n").alias("add")), "rest", "left").withColumn("each", F.col("each") + F.coalesce("add", F.lit(0.0)))
             n, m = F.col("n") - itself, F.greatest(F.coalesce("m", F.lit(0)) - itself, F.lit(0))

@@ -111,13 +111,17 @@ def byte_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, point: in
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     at = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each position on
     size = ends - starts
-    out = size.astype(np.uint64)
     base = np.full(1, POINTS[point], np.uint64)
-    open_, done = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    short = np.minimum(size, LONG_WORD)
+    # The first bytes follow the length, of which there are few.
+    out = _reduced(_times(np.arange(LONG_WORD + 1, dtype=np.uint64), base).take(short) + (at[starts] & _LOWEST.take(np.minimum(size, _PACK))))
+    other = np.flatnonzero((size == 0) | (size > LONG_WORD))
+    out[other] = size[other].astype(np.uint64)
+    open_, done = np.flatnonzero((size > _PACK) & (size <= LONG_WORD)), _PACK
     while len(open_):
-        left = size[open_] - done
-        own = at[starts[open_] + done] & _LOWEST[np.minimum(left, _PACK)]
-        out[open_] = _reduced(_times(out[open_], base) + own)
+        left = size.take(open_) - done
+        own = at[starts.take(open_) + done] & _LOWEST.take(np.minimum(left, _PACK))
+        out[open_] = _reduced(_times(out.take(open_), base) + own)
         open_, done = open_[left > _PACK], done + _PACK
     for k in np.flatnonzero(size > LONG_WORD).tolist():
         places = np.arange(starts[k], ends[k], _PACK)

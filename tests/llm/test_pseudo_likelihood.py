@@ -186,3 +186,38 @@ def test_probabilities_do_not_depend_on_the_other_words():
         got = np.empty(50 + n)
         got[turn] = P.log_probabilities(net, np.r_[ids, rng.integers(0, 1024, n)][turn], np.r_[around, rng.integers(0, 1025, (n, 4))][turn])
         assert (got[:50] == alone).all()
+
+
+def test_equal_rows_have_equal_probabilities_wherever_they_stand():
+    for clusters in (32, 37, 64):
+        rng = np.random.default_rng(clusters)
+        net = P.new_network([(i, 9) for i in range(50)], 1000, clusters=clusters)
+        net.weights = rng.normal(0, 0.5, len(net.weights)).astype(np.float32)
+        n = clusters * clusters
+        for few in (1, 5, 12, 700):
+            ids, around = np.full(few, n // 3), np.tile(rng.integers(0, n + 1, 4), (few, 1))
+            more = rng.integers(0, n, 37), rng.integers(0, n + 1, (37, 4))
+            got = P.log_probabilities(net, np.r_[ids, more[0]], np.r_[around, more[1]])
+            assert (got[:few] == P.log_probabilities(net, ids[:1], around[:1])).all()
+
+
+def test_a_hash_is_found_among_others_with_its_leading_bits():
+    hashes = np.sort(np.r_[np.arange(9, dtype=np.uint64), np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2)])
+    places = P.Places(hashes)
+    assert (places.find(hashes) == np.arange(len(hashes))).all()
+    assert (places.find(np.array([9, 1 << 40, (1 << 64) - 1], np.uint64)) == -1).all() and (P.Places(hashes[:0]).find(hashes) == -1).all()
+
+
+def test_rows_are_summed_by_key():
+    rng = np.random.default_rng(2)
+    rows, keys = rng.normal(0, 1, (600, 6)).astype(np.float32), rng.integers(0, 90_000, 2400) // 600 * 600
+    found, sums = P._sums(rows, keys)
+    assert (found == np.unique(keys)).all()
+    for k in found[:40]:
+        assert np.allclose(sums[found == k], rows[np.flatnonzero(keys == k) % 600].sum(0), atol=1e-4)
+
+
+def test_contexts_are_read_from_the_scored_rows_and_not_learnt(spark, monkeypatch):
+    monkeypatch.setattr(P.Contexts, "tables", lambda *a: 1 / 0)
+    docs = spark.createDataFrame([row(i, language(i, 40)) for i in range(4)], SCHEMA)
+    assert P.score_documents(docs).count() == 4 and P._LEARNT == "slice int, part int, seen bigint, total binary"
