@@ -36,7 +36,7 @@ WIDTH = 24
 #: Words of a training step for each cluster.
 STEP_WORDS = 128
 #: Rows that are worked on at once, so that their logits stay in a core's cache.
-ROWS = 512
+ROWS = 1024
 #: While scoring, hidden values and weights are multiples of its inverse, so that sums below 2 ** 11 are exact in any order.
 EXACT = 1 << 21
 #: Logits from which a row's largest one is taken off before exponentials.
@@ -47,7 +47,7 @@ RATE = 0.1
 #: Joined terms are summed as whole numbers of this fraction, so that their order doesn't matter.
 FINE = float(1 << 32)
 #: Words that are counted at once before they are shuffled.
-COUNTED = 1 << 19
+COUNTED = 1 << 21
 #: Models that are summed in one group while averaging.
 FAN_IN = 32
 #: Parameters of one slice of a model while averaging.
@@ -460,6 +460,20 @@ def _bucket_totals(net: Network):
     return per_batch
 
 
+def _met_often(asked: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+    """How often each context is met, and met with its word, of contexts that are met twice or more.
+
+    Its neighbours have no id: of all words at most one in as many as there are ids is such a neighbour, so groups are small.
+    """
+    sizes = np.diff(begins, append=asked.num_rows)
+    n = np.repeat(sizes, sizes)
+    often = np.flatnonzero(n > 1)
+    kept = asked.select(["row", "each", "rest"]).take(pa.array(often)).combine_chunks()
+    _, at, m = np.unique(asked["whole"].to_numpy()[often], return_inverse=True, return_counts=True)
+    columns = [kept["row"], n[often], m[at], kept["each"], kept["rest"]]
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c.combine_chunks() for c in columns], ["row", "n", "m", "each", "rest"])
+
+
 def _score(net: Network, known: np.ndarray, counts: np.ndarray, join: bool):
     """Scores by row, and words whose counts are not among the ``known``: their counts enter as 1 until they are joined."""
     n_own = net.clusters**2 - net.buckets
@@ -486,13 +500,14 @@ def _score(net: Network, known: np.ndarray, counts: np.ndarray, join: bool):
 
                 def lists(places, values, n=n, doc=doc):
                     offsets = pa.array(np.searchsorted(doc[places], np.arange(n + 1)).astype(np.int32))
-                    return pa.ListArray.from_arrays(offsets, pa.array(values))
+                    return pa.ListArray.from_arrays(offsets, values)
 
-                joined = lists(rest, words.hashes[rest].view(np.int64))
-                context = [lists(at, x) for x in (around.view(np.int64), whole.view(np.int64), each[at].astype(np.float32), to_join[at])]
+                joined = lists(rest, pa.array(words.hashes[rest].view(np.int64)))
+                parts = around.view(np.int64), whole.view(np.int64), each[at].astype(np.float32), to_join[at]
+                context = lists(at, pa.StructArray.from_arrays([pa.array(x) for x in parts], ["around", "whole", "each", "rest"]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(words.lo, n), pa.array(count.astype(np.int64)), pa.array(total), joined, *context],
-                    ["doc_id", "n_words", "log_likelihood", "words", "around", "whole", "each", "rest"],
+                    [batch.column(0).slice(words.lo, n), pa.array(count.astype(np.int64)), pa.array(total), joined, context],
+                    ["doc_id", "n_words", "log_likelihood", "words", "contexts"],
                 )
 
     return per_batch
@@ -522,7 +537,7 @@ def score_documents(docs: DataFrame, net: Network | None = None) -> DataFrame:
         by_hash = np.argsort(known)
         known, counts = known[by_hash], counts[by_hash]
         beyond = often if often.count() > limit else None
-    lists = "words array<bigint>, around array<bigint>, whole array<bigint>, each array<float>, rest array<bigint>"
+    lists = "words array<bigint>, contexts array<struct<around: bigint, whole: bigint, each: float, rest: bigint>>"
     scores = docs.select("doc_id", "text").mapInArrow(
         _score(_bare(net), known, counts, beyond is not None), f"doc_id {kind}, n_words bigint, log_likelihood double, {lists}"
     )
@@ -532,15 +547,12 @@ def score_documents(docs: DataFrame, net: Network | None = None) -> DataFrame:
         if beyond is not None:
             more.append(scores.select("row", F.explode("words").alias("word")).join(beyond, "word").select("row", F.log("n").alias("more")))
         if net.remembered:
-            asked = scores.select("row", F.explode(F.arrays_zip("around", "whole", "each", "rest")).alias("c")).select("row", "c.*")
+            asked = scores.select("row", F.inline("contexts"))
             if itself:  # the texts' own contexts are all there are; one that is met once tells nothing
-                met = scores.select(F.explode("around").alias("around")).groupBy("around").agg(F.count("*").alias("n")).where("n > 1")
-                asked = materialize(asked.join(met, "around"), "contexts-met")
-                with_word = asked.groupBy("whole").agg(F.count("*").alias("m"))
+                asked = blocks.map_runs(asked, ["around"], _met_often, "row bigint, n bigint, m bigint, each float, rest bigint")
             else:
                 met, with_word = net.remembered.tables(net)
-                asked, with_word = asked.join(met, "around"), with_word.select("whole", F.col("n").alias("m"))
-            asked = asked.join(with_word, "whole", "left")
+                asked = asked.join(met, "around").join(with_word.select("whole", F.col("n").alias("m")), "whole", "left")
             if beyond is not None:  # what the word's count adds to its probability
                 asked = asked.join(beyond.select(F.col("word").alias("rest"), F.log("n").alias("add")), "rest", "left").withColumn("each", F.col("each") + F.coalesce("add", F.lit(0.0)))
             n, m = F.col("n") - itself, F.greatest(F.coalesce("m", F.lit(0)) - itself, F.lit(0))

@@ -221,3 +221,9 @@ def test_contexts_are_read_from_the_scored_rows_and_not_learnt(spark, monkeypatc
     monkeypatch.setattr(P.Contexts, "tables", lambda *a: 1 / 0)
     docs = spark.createDataFrame([row(i, language(i, 40)) for i in range(4)], SCHEMA)
     assert P.score_documents(docs).count() == 4 and P._LEARNT == "slice int, part int, seen bigint, total binary"
+
+
+def test_contexts_are_counted_in_whole_groups():
+    t = P.pa.table({"around": [1, 1, 1, 2, 5, 5], "whole": [7, 8, 7, 9, 6, 6], "row": [0, 1, 2, 3, 4, 4], "each": P.pa.array([0.0, 1, 2, 3, 4, 5], P.pa.float32()), "rest": [0, 0, 0, 0, 3, 0]})
+    got = P._met_often(t, np.array([0, 3, 4])).to_pydict()
+    assert got == {"row": [0, 1, 2, 4, 4], "n": [3, 3, 3, 2, 2], "m": [2, 1, 2, 2, 2], "each": [0, 1, 2, 4, 5], "rest": [0, 0, 0, 3, 0]}
